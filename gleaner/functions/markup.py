@@ -42,18 +42,22 @@ def _render_row(cells: Column) -> Column:
 
 def pipe_table(rows: Column) -> Column:
     """Rows of raw cells to a pipe table: empty rows dropped, short rows padded to the widest, first row is the header."""
-    full = F.filter(rows, lambda r: F.exists(r, lambda cell: tx.trim(cell) != ""))
-    width = F.array_max(F.transform(full, F.size))
-    padded = F.transform(
-        full,
-        lambda r: F.transform(
-            F.concat(r, F.array_repeat(F.lit(""), (width - F.size(r)).cast("int"))), table_cell
+    def render(full: Column, width: Column) -> Column:
+        padded = F.transform(
+            full,
+            lambda r: F.transform(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), table_cell),
+        )
+        rendered = F.transform(padded, _render_row)
+        divider = _render_row(F.array_repeat(F.lit("---"), width))
+        return F.array_join(F.array_insert(rendered, 2, divider), "\n")
+
+    kept = F.filter(rows, lambda r: F.exists(r, lambda cell: tx.trim(cell) != ""))
+    return tx.let(
+        kept,
+        lambda full: F.when(F.size(full) == 0, F.lit("")).otherwise(
+            tx.let(F.array_max(F.transform(full, F.size)), lambda width: render(full, width))
         ),
     )
-    divider = _render_row(F.array_repeat(F.lit("---"), width.cast("int")))
-    body = F.transform(F.slice(padded, 2, F.greatest(F.size(padded) - 1, F.lit(0))), _render_row)
-    lines = F.concat(F.array(_render_row(F.element_at(padded, 1)), divider), body)
-    return F.when(F.size(full) == 0, F.lit("")).otherwise(F.array_join(lines, "\n"))
 
 
 def html_table_to_pipe(table: Column) -> Column:
@@ -71,17 +75,17 @@ def _repad(block: Column) -> Column:
     """One run of pipe lines. Without a divider as its second line the run stays untouched."""
     lead = F.when(F.startswith(block, F.lit("\n")), F.lit("\n")).otherwise(F.lit(""))
     lines = F.split(F.regexp_replace(block, r"^\n", ""), "\n")
-    rows = F.transform(
-        lines,
-        lambda line: F.transform(
-            F.split(F.regexp_replace(tx.trim(line), r"^\||\|\z", ""), r"\|"), table_cell
-        ),
-    )
-    divided = (F.size(rows) > 1) & F.forall(F.try_element_at(rows, F.lit(2)), lambda cell: cell.rlike(DIVIDER_CELL))
-    kept = F.concat(
-        F.array(F.element_at(rows, 1)), F.slice(rows, 3, F.greatest(F.size(rows) - 2, F.lit(0)))
+    cells = F.transform(
+        lines, lambda line: F.transform(F.split(F.regexp_replace(tx.trim(line), r"^\||\|\z", ""), r"\|"), table_cell)
     )
-    return F.when(divided, F.concat(lead, pipe_table(kept))).otherwise(block)
+
+    def repadded(rows: Column) -> Column:
+        second = F.try_element_at(rows, F.lit(2))
+        divided = (F.size(rows) > 1) & F.forall(second, lambda cell: cell.rlike(DIVIDER_CELL))
+        kept = F.filter(rows, lambda _, i: i != 1)
+        return F.when(divided, F.concat(lead, pipe_table(kept))).otherwise(block)
+
+    return tx.let(cells, repadded)
 
 
 def pipe_tables(c: Column | str) -> Column:
@@ -109,45 +113,63 @@ def record_line(line: Column | str) -> Column:
     rendered = F.array_join(
         F.transform(kept, lambda p: F.concat(F.lit("- "), p["label"], F.lit("："), p["value"])), "\n"
     )
-    return F.when(
-        line.rlike(lx.RECORD_LINE), F.when(F.size(kept) == 0, lx.EMPTY_RECORD_LINE).otherwise(rendered)
-    ).otherwise(line)
+    filled = F.when(rendered == "", lx.EMPTY_RECORD_LINE).otherwise(rendered)
+    return F.when(line.rlike(lx.RECORD_LINE), filled).otherwise(line)
 
 
 def diagram_nodes(source: Column) -> Column:
     """Nodes of a diagram in first-seen order; a repeated id keeps its last label."""
     ids = F.regexp_extract_all(source, F.lit(DIAGRAM_NODE), 1)
     labels = F.transform(F.regexp_extract_all(source, F.lit(DIAGRAM_NODE), 2), plain_text)
-    seen = F.arrays_zip(ids.alias("id"), labels.alias("label"))
-    return F.transform(
-        F.array_distinct(ids),
-        lambda i: F.struct(
-            i.alias("id"), F.element_at(F.filter(seen, lambda n: n["id"] == i), -1)["label"].alias("label")
-        ),
+    seen = F.zip_with(ids, labels, lambda i, label: F.struct(i.alias("id"), label.alias("label")))
+    # Keep a node where it is first seen; grouping by sorting keeps a long chain from being searched per node.
+    ordered = F.array_sort(
+        F.transform(seen, lambda n, pos: F.struct(n["id"].alias("id"), pos.alias("pos"), n["label"].alias("label")))
     )
 
+    def grouped(nodes: Column) -> Column:
+        def edge(n: Column, i: Column, step: int) -> Column:
+            near = F.get(nodes, i + step)
+            return near.isNull() | (near["id"] != n["id"])
+
+        firsts = F.filter(nodes, lambda n, i: edge(n, i, -1))
+        lasts = F.filter(nodes, lambda n, i: edge(n, i, 1))
+        merged = F.zip_with(
+            firsts, lasts, lambda a, z: F.struct(a["pos"].alias("pos"), a["id"].alias("id"), z["label"].alias("label"))
+        )
+        return F.transform(
+            F.array_sort(merged), lambda m: F.struct(m["id"].alias("id"), m["label"].alias("label"))
+        )
+
+    return tx.let(ordered, grouped)
+
 
 def diagram_edges(source: Column) -> Column:
-    return F.arrays_zip(
-        F.regexp_extract_all(source, F.lit(DIAGRAM_EDGE), 1).alias("src"),
-        F.regexp_extract_all(source, F.lit(DIAGRAM_EDGE), 2).alias("dst"),
+    return F.zip_with(
+        F.regexp_extract_all(source, F.lit(DIAGRAM_EDGE), 1),
+        F.regexp_extract_all(source, F.lit(DIAGRAM_EDGE), 2),
+        lambda a, b: F.struct(a.alias("src"), b.alias("dst")),
     )
 
 
 def diagram_text(source: Column) -> Column:
     """A diagram block as prose: header, one line per node, one line per edge with the node labels."""
-    nodes = diagram_nodes(source)
 
-    def named(i: Column) -> Column:
-        label = F.try_element_at(F.filter(nodes, lambda n: n["id"] == i), F.lit(1))["label"]
-        return F.when(F.coalesce(label, F.lit("")) == "", i).otherwise(label)
+    def prose(nodes: Column, labels: Column) -> Column:
+        def named(i: Column) -> Column:
+            label = F.coalesce(F.element_at(labels, i), F.lit(""))
+            return F.when(label == "", i).otherwise(label)
+
+        node_lines = F.transform(nodes, lambda n: F.concat(F.lit(lx.DIAGRAM_NODE), named(n["id"])))
+        edge_lines = F.transform(
+            diagram_edges(source),
+            lambda e: F.concat(F.lit(lx.DIAGRAM_EDGE), named(e["src"]), F.lit(lx.DIAGRAM_ARROW), named(e["dst"])),
+        )
+        return F.array_join(F.concat(F.array(F.lit(lx.DIAGRAM_HEADER)), node_lines, edge_lines), "\n")
 
-    node_lines = F.transform(nodes, lambda n: F.concat(F.lit(lx.DIAGRAM_NODE), named(n["id"])))
-    edge_lines = F.transform(
-        diagram_edges(source),
-        lambda e: F.concat(F.lit(lx.DIAGRAM_EDGE), named(e["src"]), F.lit(lx.DIAGRAM_ARROW), named(e["dst"])),
+    return tx.let(
+        diagram_nodes(source), lambda nodes: tx.let(F.map_from_entries(nodes), lambda m: prose(nodes, m))
     )
-    return F.array_join(F.concat(F.array(F.lit(lx.DIAGRAM_HEADER)), node_lines, edge_lines), "\n")
 
 
 def normalise_markdown(c: Column | str) -> Column:

@@ -30,6 +30,15 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` once and use it many times.
+
+    Catalyst inlines an expression at every reference, and inside a lambda it is then evaluated per element; binding
+    it to a lambda variable of a one-element array evaluates it once per row.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def text_or_empty(c: Column | str) -> Column:
     return F.coalesce(col(c), F.lit(""))
 

@@ -15,7 +15,8 @@ from gleaner.session import bounded_broadcast
 GRAM = 3
 
 
-def _grams(text: Column, size: int) -> Column:
+def grams(text: Column, size: int) -> Column:
+    """Distinct character n-grams of a text."""
     last = F.length(text) - size + 1
     starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(
         F.array().cast("array<int>")
@@ -23,13 +24,15 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
 
 
-def rarest_gram(needle: Column, commonness: Column) -> Column:
-    """The gram of the needle that is least common by the given map; ties go to the first."""
-    scored = F.transform(
-        _grams(needle, GRAM),
-        lambda g: F.struct(F.coalesce(F.element_at(commonness, g), F.lit(0)).alias("n"), g.alias("g")),
-    )
-    return F.array_min(scored)["g"]
+def anchor(needle: Column, max_size: int = GRAM) -> Column:
+    """The gram a needle is looked up by: its middle, which avoids the frequent prefixes and suffixes of a language."""
+    size = F.least(F.length(needle), F.lit(max_size))
+    start = F.floor((F.length(needle) - size) / 2).cast("int") + 1
+    return F.substring(needle, start, size)
+
+
+def all_grams(text: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
+    return F.concat(*[grams(text, n) for n in sizes])
 
 
 def contains_join(
@@ -37,28 +40,20 @@ def contains_join(
     needles: DataFrame,
     haystack: str = "haystack",
     needle: str = "needle",
-    lengths: tuple[int, ...] = (1, 2, 3),
+    sizes: tuple[int, ...] = (1, 2, 3),
+    small: str = "needles",
 ) -> DataFrame:
     """All ``(haystack, needle)`` pairs with the needle inside the haystack, keeping both sides' columns.
 
-    Both inputs should hold distinct strings; join the wide rows back by string afterwards. ``lengths`` lists the gram
-    sizes that occur among the needles (3 stands for three or more). The needle side carries one row per needle, so a
-    gram found in a third of all haystacks costs that many probes, never a product of two large groups; AQE splits the
-    hot gram when both sides are shuffled.
+    Both inputs should hold distinct strings; join wide rows back by string afterwards. ``sizes`` are the gram sizes
+    that occur among the needles (3 stands for three or more) and ``small`` names the side whose size is checked for a
+    broadcast. A needle carries a single gram, so a gram found in a third of all haystacks costs that many probes and
+    never a product of two large groups; without a broadcast AQE splits the hot gram.
     """
-    parts = []
-    for size in lengths:
-        short = F.length(needle) == size if size < GRAM else F.length(needle) >= GRAM
-        side = needles.filter(short)
-        # The middle gram avoids the frequent prefixes and suffixes of inflected words.
-        middle = F.floor((F.length(needle) - size) / 2).cast("int") + 1
-        side = side.withColumn("_gram", F.substring(F.col(needle), middle, F.lit(size)))
-        grams = haystacks.withColumn("_gram", F.explode(_grams(F.col(haystack), size)))
-        joined = grams.join(bounded_broadcast(side), "_gram")
-        if size >= GRAM:
-            joined = joined.filter(F.contains(F.col(haystack), F.col(needle)))
-        parts.append(joined.drop("_gram"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    left = haystacks.withColumn("_gram", F.explode(all_grams(F.col(haystack), sizes)))
+    right = needles.filter(F.length(needle) >= min(sizes)).withColumn("_gram", anchor(F.col(needle), max(sizes)))
+    if small == "needles":
+        right = bounded_broadcast(right)
+    else:
+        left = bounded_broadcast(left)
+    return left.join(right, "_gram").filter(F.contains(F.col(haystack), F.col(needle))).drop("_gram")

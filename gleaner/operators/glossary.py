@@ -16,7 +16,8 @@ Entries = Iterable[tuple[str, Sequence[str]]]
 LITERAL_ALIASES = 2_000
 _PLAIN_ALIAS = r"(?i)^[a-z0-9 ]+\z"
 # Private-use marker around the position of the replaced alias in the dictionary.
-_MARK_OPEN, _MARK_CLOSE = "", ""
+_MARK_OPEN, _MARK_CLOSE = "\ue000", "\ue001"
+_MARK_DIGITS = "".join(chr(0xE010 + d) for d in range(10))
 
 
 def parse_glossary(documents: DataFrame, alias_line: str = lx.GLOSSARY_ALIAS_LINE) -> DataFrame:
@@ -67,23 +68,25 @@ def replace_ordered(text: Column, pairs: Column) -> Column:
 
     Only aliases that occur in the text are tried, and each is tried as one JVM regular expression.
     """
-    lowered = F.lower(text)
     numbered = F.transform(
         pairs, lambda p, i: F.struct(p["alias"].alias("alias"), p["term"].alias("term"), i.alias("i"))
     )
-    present = F.filter(numbered, lambda p: F.contains(lowered, F.lower(p["alias"])))
+    present = tx.let(
+        F.lower(text), lambda low: F.filter(numbered, lambda p: F.contains(low, F.lower(p["alias"])))
+    )
 
-    def mark(i: Column) -> Column:
-        return F.concat(F.lit(_MARK_OPEN), i.cast("string"), F.lit(_MARK_CLOSE))
+    def marker(i: Column) -> Column:
+        # Position digits become private-use characters, so an alias made of digits cannot match inside a marker.
+        digits = F.translate(i.cast("string"), "0123456789", _MARK_DIGITS)
+        return F.concat(F.lit(_MARK_OPEN), digits, F.lit(_MARK_CLOSE))
 
-    # Digits of the marker are mapped to private-use characters so that an alias made of digits cannot match them.
-    def private(i: Column) -> Column:
-        return F.translate(mark(i), "0123456789", "")
+    def apply(found: Column) -> Column:
+        marked = F.aggregate(
+            found, text, lambda acc, p: F.regexp_replace(acc, _alias_pattern(p["alias"]), marker(p["i"]))
+        )
+        return F.aggregate(found, marked, lambda acc, p: F.replace(acc, marker(p["i"]), p["term"]))
 
-    marked = F.aggregate(
-        present, text, lambda acc, p: F.regexp_replace(acc, _alias_pattern(p["alias"]), private(p["i"]))
-    )
-    return F.aggregate(present, marked, lambda acc, p: F.replace(acc, private(p["i"]), p["term"]))
+    return tx.let(present, apply)
 
 
 def dictionary_column(entries: Entries) -> Column:

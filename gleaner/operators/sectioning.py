@@ -171,10 +171,9 @@ def fenced_answers(segments: Column | str = "segments", question: str = lx.FENCE
     marked = F.array_join(
         F.transform(code, lambda c: F.when(c.rlike(question), F.concat(F.lit(_QUESTION), c)).otherwise(c)), "\n"
     )
-    parts = F.split(marked, _QUESTION)
-    after_first = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    opened = F.filter(F.split(marked, _QUESTION), lambda _, i: i > 0)
     pairs = F.transform(
-        after_first,
+        opened,
         lambda p: F.struct(
             F.substring_index(p, "\n", 1).alias("title"),
             tx.trim(F.substring(p, F.length(F.substring_index(p, "\n", 1)) + 1, F.length(p))).alias("content"),
