@@ -23,11 +23,13 @@ from gleaner.operators.containment import all_grams, anchor, contains_join
 from gleaner.operators.features import tokens
 from gleaner.session import bounded_broadcast, materialise
 
+COMPONENTS = ("direct", "phrase", "coverage", "technical", "concept", "intent")
 SECTION_KEY = ("doc_ord", "section_ord", "chunk_index")
 _RULE = "\ufdd4"  # noncharacter in front of needles that are rules, not words
 _ASCII_WORD = r"[a-z0-9_-]+"
 _TITLE_WORD = r"[a-z0-9_-]+|[\p{IsHan}]+"
-_ENTRY = "array<struct<word:string,t:int,x:int,c:int,k:int,o:int>>"
+_POINTS = ("t", "x", "c", "k", "i", "p")
+_ENTRY = "array<struct<word:string,t:int,x:int,c:int,k:int,i:int,p:int>>"
 
 
 def exclude_glossary(sections: DataFrame, source_pattern: str = lx.GLOSSARY_SOURCE) -> DataFrame:
@@ -63,9 +65,9 @@ def concept_points(
 
 
 def _entry(word: Column, **points: int | Column) -> Column:
-    zero = {name: F.lit(0) for name in "txcko"}
+    zero = {name: F.lit(0) for name in _POINTS}
     zero.update({name: v if isinstance(v, Column) else F.lit(v) for name, v in points.items()})
-    return F.struct(word.alias("word"), *[zero[n].cast("int").alias(n) for n in "txcko"])
+    return F.struct(word.alias("word"), *[zero[n].cast("int").alias(n) for n in _POINTS])
 
 
 def _weighted(words: Column, **points: int) -> Column:
@@ -79,7 +81,7 @@ def section_postings(
     groups: Sequence[tuple[str, Sequence[str]]] = lx.CONCEPTS,
     bonus: Sequence[tuple[str, str, str, int]] = lx.INTENT_BONUS,
 ) -> DataFrame:
-    """``(key, word, t, x, c, k, o)``: token weight, term points, title word, concept points and other rule points.
+    """``(key, word, t, x, c, k, i, p)``: token weight, then points for terms, title words, concepts, intent, title phrase.
 
     The input is partitioned by ``key``; everything after that stays inside the partition.
     """
@@ -96,12 +98,13 @@ def section_postings(
         for concept, points in concept_points(title, content, groups).items()
     ]
     rules += [
-        F.when(points > 0, _entry(F.lit(f"{_RULE}i{name}"), o=points))
+        F.when(points > 0, _entry(F.lit(f"{_RULE}i{name}"), i=points))
         for name, points in intent_points(title, text, tx.text_or_empty("role"), bonus).items()
     ]
     rules.append(
-        F.when(F.length(title) > 1, _entry(F.concat(F.lit(f"{_RULE}p"), title), o=lx.TITLE_PHRASE_POINTS))
+        F.when(F.length(title) > 1, _entry(F.concat(F.lit(f"{_RULE}p"), title), p=lx.TITLE_PHRASE_POINTS))
     )
+    rules_array = F.array_compact(F.array(*rules))
     entries = F.concat(
         _weighted(tokens(title, stop), t=lx.TITLE_WEIGHT).cast(_ENTRY),
         _weighted(tokens(aliases, stop), t=lx.ALIAS_WEIGHT).cast(_ENTRY),
@@ -111,12 +114,12 @@ def section_postings(
         _weighted(words(project, _ASCII_WORD), x=lx.TERM_PROJECT_POINTS).cast(_ENTRY),
         _weighted(words(content, _ASCII_WORD), x=lx.TERM_BODY_POINTS).cast(_ENTRY),
         _weighted(words(names, _TITLE_WORD), c=1).cast(_ENTRY),
-        F.array_compact(F.array(*rules)).cast(_ENTRY),
+        rules_array.cast(_ENTRY),
     )
     slim = sections.select(*dict.fromkeys([*key, "title", "content", "project", "aliases", "role"])).repartition(*key)
     exploded = slim.select(*key, F.explode(entries).alias("e")).select(*key, "e.*")
     return exploded.groupBy(*key, "word").agg(
-        F.sum("t").alias("t"), *[F.max(n).alias(n) for n in ("x", "c", "k", "o")]
+        F.sum("t").alias("t"), *[F.max(n).alias(n) for n in ("x", "c", "k", "i", "p")]
     )
 
 
@@ -153,6 +156,12 @@ def question_postings(features: DataFrame, titles: DataFrame | None, query: str
     )
 
 
+def token_postings(questions: DataFrame) -> DataFrame:
+    """Postings for token hits alone, from a ``q_tokens`` column."""
+    counted = questions.select("query_id", F.explode("q_tokens").alias("needle")).groupBy("query_id", "needle").count()
+    return counted.select("query_id", "needle", F.col("count").alias("nt"), *[F.lit(0).alias(n) for n in ("nx", "nc", "nr")])
+
+
 def score_pairs(
     sections: DataFrame,
     postings: DataFrame,
@@ -176,7 +185,7 @@ def score_pairs(
         .groupBy(*key, "needle")
         .agg(
             F.least(F.sum("t"), F.lit(lx.TOKEN_CAP)).alias("t"),
-            *[F.max(n).alias(n) for n in ("x", "c", "k", "o")],
+            *[F.max(n).alias(n) for n in ("x", "c", "k", "i", "p")],
         )
     )
     summed = (
@@ -187,12 +196,13 @@ def score_pairs(
             F.sum(F.col("x") * F.col("nx")).alias("technical"),
             F.sum(F.col("c") * F.col("nc")).alias("_covered"),
             F.sum(F.col("k") * F.col("nr")).alias("concept"),
-            F.sum(F.col("o") * F.col("nr")).alias("rules"),
+            F.sum(F.col("i") * F.col("nr")).alias("intent"),
+            F.sum(F.col("p") * F.col("nr")).alias("phrase"),
         )
     )
     covered = F.col("_covered")
     coverage = F.when(covered >= lx.TITLE_COVERAGE_MIN, covered * lx.TITLE_COVERAGE_POINTS).otherwise(0)
-    score = F.col("direct") + F.col("technical") + F.col("coverage") + F.col("concept") + F.col("rules")
+    score = sum((F.col(c) for c in COMPONENTS[1:]), F.col(COMPONENTS[0]))
     return (
         summed.withColumn("coverage", coverage)
         .withColumn("score", score)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("corpus",)
+MODULES = ("corpus", "lexical")
 
 
 def all_queries():
