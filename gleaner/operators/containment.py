@@ -17,11 +17,9 @@ GRAM = 3
 
 def grams(text: Column, size: int) -> Column:
     """Distinct character n-grams of a text."""
-    last = F.length(text) - size + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    found = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
+    return F.when(F.length(text) >= size, found).otherwise(F.array().cast("array<string>"))
 
 
 def anchor(needle: Column, max_size: int = GRAM) -> Column:
@@ -31,10 +29,30 @@ def anchor(needle: Column, max_size: int = GRAM) -> Column:
     return F.substring(needle, start, size)
 
 
+def anchor_by_rarity(needles: DataFrame, needle: str = "needle") -> DataFrame:
+    """Add ``_gram``: for each needle its 3-gram shared with the fewest other needles (the whole needle if shorter).
+
+    Meant for small needle tables. It spreads needles evenly over grams, so a probe meets few false candidates.
+    """
+    each = needles.withColumn(
+        "_gram", F.explode(F.when(F.length(needle) <= GRAM, F.array(needle)).otherwise(grams(F.col(needle), GRAM)))
+    )
+    shared = each.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    best = each.join(shared, "_gram").groupBy(*needles.columns)
+    return best.agg(F.min(F.struct("_n", "_gram")).alias("_best")).select(
+        *needles.columns, F.col("_best._gram").alias("_gram")
+    )
+
+
 def all_grams(text: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
     return F.concat(*[grams(text, n) for n in sizes])
 
 
+def word_grams(word: Column) -> Column:
+    """Grams under which a needle may find a word: the whole word when it is that short, else its 2- and 3-grams."""
+    return F.when(F.length(word) <= 2, F.array(word)).otherwise(F.concat(grams(word, 2), grams(word, 3)))
+
+
 def contains_join(
     haystacks: DataFrame,
     needles: DataFrame,

@@ -11,19 +11,20 @@ from gleaner import lexicons as lx
 from gleaner.functions import text as tx
 
 TECHNICAL_TERM = r"[a-z][a-z0-9_-]{1,}"
+_TOKEN = r"[\p{L}\p{N}]{2,}"
+_HAN_TOKEN = r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]{2,}"
+# No Han character lies below the CJK radicals; a range test spares other scripts the slower script lookup.
+_MAYBE_HAN = r"[\u2E80-\x{3FFFF}]"
 TITLE_TERM = r"[a-z][a-z0-9_-]{1,}|[\p{IsHan}]{2,}"
 
 
 def tokens(text: Column | str, stop: Sequence[str] = lx.STOP_TOKENS) -> Column:
     """Lower-cased tokens: each Han character alone, other runs of letters and digits of two or more characters."""
-    t = F.regexp_replace(F.lower(tx.text_or_empty(text)), r"([\p{IsHan}])", " $1 ")
-    t = F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")
-    words = F.split(t, rf"{tx.WS}+")
-    stopped = F.array(*map(F.lit, stop)) if stop else F.array().cast("array<string>")
-    return F.filter(
-        words,
-        lambda w: (w != "") & ~F.array_contains(stopped, w) & ((F.length(w) > 1) | w.rlike(r"\p{IsHan}")),
-    )
+    lowered = F.lower(tx.text_or_empty(text))
+    found = F.when(
+        lowered.rlike(_MAYBE_HAN), F.regexp_extract_all(lowered, F.lit(_HAN_TOKEN), 0)
+    ).otherwise(F.regexp_extract_all(lowered, F.lit(_TOKEN), 0))
+    return F.filter(found, lambda w: ~w.isin(*stop)) if stop else found
 
 
 def apply_synonyms(query: Column | str, synonyms: Sequence[tuple[str, str]] = lx.SYNONYMS) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gleaner import lexicons as lx
 from gleaner.functions import text as tx
-from gleaner.operators.containment import all_grams, anchor, contains_join
+from gleaner.operators.containment import anchor_by_rarity, contains_join, word_grams
 from gleaner.operators.features import tokens
 from gleaner.session import bounded_broadcast, materialise
 
@@ -29,7 +29,7 @@ _RULE = "\ufdd4"  # noncharacter in front of needles that are rules, not words
 _ASCII_WORD = r"[a-z0-9_-]+"
 _TITLE_WORD = r"[a-z0-9_-]+|[\p{IsHan}]+"
 _POINTS = ("t", "x", "c", "k", "i", "p")
-_ENTRY = "array<struct<word:string,t:int,x:int,c:int,k:int,i:int,p:int>>"
+_FIELD = "struct<t:int,x:int,c:int,k:int,i:int,p:int,words:array<string>>"
 
 
 def exclude_glossary(sections: DataFrame, source_pattern: str = lx.GLOSSARY_SOURCE) -> DataFrame:
@@ -64,14 +64,11 @@ def concept_points(
     }
 
 
-def _entry(word: Column, **points: int | Column) -> Column:
-    zero = {name: F.lit(0) for name in _POINTS}
-    zero.update({name: v if isinstance(v, Column) else F.lit(v) for name, v in points.items()})
-    return F.struct(word.alias("word"), *[zero[n].cast("int").alias(n) for n in _POINTS])
-
-
-def _weighted(words: Column, **points: int) -> Column:
-    return F.transform(words, lambda w: _entry(w, **points))
+def _field(words: Column, **points: int | Column) -> Column:
+    """The words of one field together with the points each of them carries."""
+    given = {n: v if isinstance(v, Column) else F.lit(v) for n, v in points.items()}
+    values = [given.get(n, F.lit(0)).cast("int").alias(n) for n in _POINTS]
+    return F.struct(*values, words.alias("words")).cast(_FIELD)
 
 
 def section_postings(
@@ -80,10 +77,12 @@ def section_postings(
     stop: Sequence[str] = lx.STOP_TOKENS,
     groups: Sequence[tuple[str, Sequence[str]]] = lx.CONCEPTS,
     bonus: Sequence[tuple[str, str, str, int]] = lx.INTENT_BONUS,
+    partitioned: bool = False,
 ) -> DataFrame:
     """``(key, word, t, x, c, k, i, p)``: token weight, then points for terms, title words, concepts, intent, title phrase.
 
-    The input is partitioned by ``key``; everything after that stays inside the partition.
+    The input is partitioned by ``key`` unless the caller says it already is by a subset of it (by document, before
+    chunking, say); everything after that stays inside the partition.
     """
     title, content, project = (tx.text_or_empty(c) for c in ("title", "content", "project"))
     aliases = F.array_join(F.coalesce("aliases", F.array().cast("array<string>")), " ")
@@ -93,34 +92,37 @@ def section_postings(
     def words(c: Column, pattern: str) -> Column:
         return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(pattern), 0))
 
+    def rule(name: Column, kind: str, points: Column) -> Column:
+        return F.when(points > 0, _field(F.array(name), **{kind: points}))
+
     rules = [
-        F.when(points > 0, _entry(F.lit(f"{_RULE}k{concept}"), k=points))
+        rule(F.lit(f"{_RULE}k{concept}"), "k", points)
         for concept, points in concept_points(title, content, groups).items()
     ]
     rules += [
-        F.when(points > 0, _entry(F.lit(f"{_RULE}i{name}"), i=points))
+        rule(F.lit(f"{_RULE}i{name}"), "i", points)
         for name, points in intent_points(title, text, tx.text_or_empty("role"), bonus).items()
     ]
-    rules.append(
-        F.when(F.length(title) > 1, _entry(F.concat(F.lit(f"{_RULE}p"), title), p=lx.TITLE_PHRASE_POINTS))
-    )
-    rules_array = F.array_compact(F.array(*rules))
-    entries = F.concat(
-        _weighted(tokens(title, stop), t=lx.TITLE_WEIGHT).cast(_ENTRY),
-        _weighted(tokens(aliases, stop), t=lx.ALIAS_WEIGHT).cast(_ENTRY),
-        _weighted(tokens(project, stop), t=lx.PROJECT_WEIGHT).cast(_ENTRY),
-        _weighted(tokens(content, stop), t=lx.BODY_WEIGHT).cast(_ENTRY),
-        _weighted(words(title, _ASCII_WORD), x=lx.TERM_TITLE_POINTS).cast(_ENTRY),
-        _weighted(words(project, _ASCII_WORD), x=lx.TERM_PROJECT_POINTS).cast(_ENTRY),
-        _weighted(words(content, _ASCII_WORD), x=lx.TERM_BODY_POINTS).cast(_ENTRY),
-        _weighted(words(names, _TITLE_WORD), c=1).cast(_ENTRY),
-        rules_array.cast(_ENTRY),
-    )
-    slim = sections.select(*dict.fromkeys([*key, "title", "content", "project", "aliases", "role"])).repartition(*key)
-    exploded = slim.select(*key, F.explode(entries).alias("e")).select(*key, "e.*")
-    return exploded.groupBy(*key, "word").agg(
-        F.sum("t").alias("t"), *[F.max(n).alias(n) for n in ("x", "c", "k", "i", "p")]
+    phrase = F.when(F.length(title) > 1, F.lit(lx.TITLE_PHRASE_POINTS)).otherwise(0)
+    rules.append(rule(F.concat(F.lit(f"{_RULE}p"), title), "p", phrase))
+    fields = F.array(
+        _field(tokens(title, stop), t=lx.TITLE_WEIGHT),
+        _field(tokens(aliases, stop), t=lx.ALIAS_WEIGHT),
+        _field(tokens(project, stop), t=lx.PROJECT_WEIGHT),
+        _field(tokens(content, stop), t=lx.BODY_WEIGHT),
+        _field(words(title, _ASCII_WORD), x=lx.TERM_TITLE_POINTS),
+        _field(words(project, _ASCII_WORD), x=lx.TERM_PROJECT_POINTS),
+        _field(words(content, _ASCII_WORD), x=lx.TERM_BODY_POINTS),
+        _field(words(names, _TITLE_WORD), c=1),
+        *rules,
     )
+    slim = sections.select(*dict.fromkeys([*key, "title", "content", "project", "aliases", "role"]))
+    if not partitioned:
+        partitions = int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        slim = slim.repartition(partitions, *key)
+    by_field = slim.select(*key, F.explode(F.array_compact(fields)).alias("f"))
+    by_word = by_field.select(*key, *[f"f.{n}" for n in _POINTS], F.explode("f.words").alias("word"))
+    return by_word.groupBy(*key, "word").agg(F.sum("t").alias("t"), *[F.max(n).alias(n) for n in _POINTS[1:]])
 
 
 def question_postings(features: DataFrame, titles: DataFrame | None, query: str = "query") -> DataFrame:
@@ -169,23 +171,27 @@ def score_pairs(
     stop: Sequence[str] = lx.STOP_TOKENS,
     groups: Sequence[tuple[str, Sequence[str]]] = lx.CONCEPTS,
     bonus: Sequence[tuple[str, str, str, int]] = lx.INTENT_BONUS,
+    partitioned: bool = False,
 ) -> DataFrame:
     """Every (question, section) pair with a positive score and its components."""
     rule = F.startswith(F.col("word"), F.lit(_RULE))
-    section_words = section_postings(sections, key, stop, groups, bonus).withColumn(
-        "_gram",
-        F.explode(F.when(rule, F.array("word")).otherwise(all_grams(F.col("word"), (1, 2, 3)))),
+    section_words = section_postings(sections, key, stop, groups, bonus, partitioned).withColumn(
+        "_gram", F.explode(F.when(rule, F.array("word")).otherwise(word_grams(F.col("word"))))
     )
     needles = postings.select("needle").distinct()
     is_rule = F.startswith(F.col("needle"), F.lit(_RULE))
-    anchored = needles.withColumn("_gram", F.when(is_rule, F.col("needle")).otherwise(anchor(F.col("needle"))))
+    anchored = materialise(
+        anchor_by_rarity(needles.filter(~is_rule)).unionByName(
+            needles.filter(is_rule).withColumn("_gram", F.col("needle"))
+        )
+    )
     hits = (
         section_words.join(bounded_broadcast(anchored), "_gram")
         .filter(F.contains("word", "needle"))
         .groupBy(*key, "needle")
         .agg(
             F.least(F.sum("t"), F.lit(lx.TOKEN_CAP)).alias("t"),
-            *[F.max(n).alias(n) for n in ("x", "c", "k", "i", "p")],
+            *[F.max(n).alias(n) for n in _POINTS[1:]],
         )
     )
     summed = (
@@ -231,8 +237,9 @@ def search(
     groups: Sequence[tuple[str, Sequence[str]]] = lx.CONCEPTS,
     bonus: Sequence[tuple[str, str, str, int]] = lx.INTENT_BONUS,
     glossary_source: str = lx.GLOSSARY_SOURCE,
+    partitioned: bool = False,
 ) -> DataFrame:
     """Top-k sections per question with score components; ``features`` comes from ``question_features``."""
     usable = exclude_glossary(sections, glossary_source)
     postings = materialise(question_postings(features, usable))
-    return top_k(score_pairs(usable, postings, key, stop, groups, bonus), k, key)
+    return top_k(score_pairs(usable, postings, key, stop, groups, bonus, partitioned), k, key)

@@ -27,7 +27,14 @@ def split_paragraph(paragraph: Column, limit: int, delimiters: str) -> Column:
     """A paragraph over the limit is packed sentence by sentence; a sentence over the limit is cut hard."""
     pattern = f"[^{delimiters}]+[{delimiters}]?"
     found = F.regexp_extract_all(paragraph, F.lit(pattern), 0)
-    sentences = F.when(F.size(found) == 0, F.array(paragraph)).otherwise(found)
+    # A byte search for the delimiters is far cheaper than the regex, and most text without them skips it.
+    delimited = F.lit(False)
+    for delimiter in delimiters:
+        delimited = delimited | F.contains(paragraph, F.lit(delimiter))
+    whole = F.array(paragraph)
+    sentences = F.when(
+        delimited, tx.let(found, lambda f: F.when(F.size(f) == 0, whole).otherwise(f))
+    ).otherwise(whole)
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
 
     def flushed(acc: Column) -> Column:
@@ -76,9 +83,15 @@ def explode_chunks(
     sections: DataFrame, limit: int = lx.CHUNK_CHARS, delimiters: str = lx.SENTENCE_DELIMITERS
 ) -> DataFrame:
     """One row per chunk with its index, the chunk count and ``text = title + ' ' + chunk``."""
-    keep = [c for c in sections.columns if c not in ("content", "_chunks")]
-    cut = sections.withColumn("_chunks", chunks("content", limit, delimiters))
-    rows = cut.select(*keep, F.size("_chunks").alias("chunk_count"), F.posexplode("_chunks").alias("chunk_index", "content"))
+    keep = [c for c in sections.columns if c != "content"]
+    numbered = tx.let(
+        chunks("content", limit, delimiters),
+        lambda cs: F.transform(
+            cs,
+            lambda c, i: F.struct(F.size(cs).alias("chunk_count"), i.alias("chunk_index"), c.alias("content")),
+        ),
+    )
+    rows = sections.select(*keep, F.explode(numbered).alias("_c")).select(*keep, "_c.*")
     return rows.withColumn("text", F.concat_ws(" ", "title", "content"))
 
 

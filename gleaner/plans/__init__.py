@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("corpus", "lexical")
+MODULES = ("corpus", "lexical", "retrieval")
 
 
 def all_queries():

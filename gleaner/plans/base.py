@@ -90,6 +90,12 @@ def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sectioning.explode_chunks(document_sections(spark, sf_dir))
 
 
+def partitioned_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of documents that were hash-partitioned by ``doc_ord`` first, so chunking and scoring share one shuffle."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return sectioning.explode_chunks(document_sections(spark, sf_dir).repartition(partitions, "doc_ord"))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 

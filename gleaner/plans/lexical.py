@@ -81,7 +81,7 @@ s AS (
 
 
 def scored_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = base.chunk_sections(spark, sf_dir)
+    s = base.partitioned_chunks(spark, sf_dir)
     return s.withColumns(
         {
             "role": F.when(F.col("project") == "de", "profile").otherwise("general"),
@@ -107,7 +107,7 @@ def question_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _feature(name: str, sql: str, value) -> None:
     @query(name, base.with_ctes(QUESTION_SQL, sql))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return question_features(spark, sf_dir).select("query_id", value)
+        return question_features(spark, sf_dir).select("query_id", value())
 
 
 @query(
@@ -126,16 +126,16 @@ def query_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.withColumn("query", features.apply_synonyms("query", SYNONYMS))
 
 
-_feature("query_generic_gate", "SELECT query_id, query FROM q", F.col("query"))
+_feature("query_generic_gate", "SELECT query_id, query FROM q", lambda: F.col("query"))
 _feature(
     "query_concepts",
     "SELECT query_id, array_to_string(q_concepts, '|') AS concepts FROM q",
-    F.array_join("q_concepts", "|").alias("concepts"),
+    lambda: F.array_join("q_concepts", "|").alias("concepts"),
 )
 _feature(
     "query_terms",
     "SELECT query_id, array_to_string(list_sort(q_terms), '|') AS terms FROM q",
-    F.array_join(F.array_sort("q_terms"), "|").alias("terms"),
+    lambda: F.array_join(F.array_sort("q_terms"), "|").alias("terms"),
 )
 
 
@@ -258,7 +258,7 @@ def pairs(spark: SparkSession, sf_dir: str, stop=STOP) -> DataFrame:
     s = lexical.exclude_glossary(scored_sections(spark, sf_dir), "^src19")
     q = question_features(spark, sf_dir)
     postings = lexical.materialise(lexical.question_postings(q, s))
-    scored = lexical.score_pairs(s, postings, stop=stop, groups=CONCEPTS, bonus=BONUS)
+    scored = lexical.score_pairs(s, postings, stop=stop, groups=CONCEPTS, bonus=BONUS, partitioned=True)
     return scored.withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
@@ -334,12 +334,12 @@ WHERE rank <= 5""",
 def benchmark_best_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship slice: documents to chunks, benchmark passages to tokens, token hits, top five chunks per passage."""
     none = F.lit(None).cast("string")
-    bare = base.chunk_sections(spark, sf_dir).withColumns(
+    bare = base.partitioned_chunks(spark, sf_dir).withColumns(
         {"title": none, "project": none, "role": none, "aliases": F.lit(None).cast("array<string>")}
     )
     q = base.questions(spark, sf_dir).withColumn("q_tokens", features.tokens("query", STOP))
     postings = lexical.materialise(lexical.token_postings(q))
-    scored = lexical.score_pairs(bare, postings, stop=STOP, groups=(), bonus=())
+    scored = lexical.score_pairs(bare, postings, stop=STOP, groups=(), bonus=(), partitioned=True)
     ranked = lexical.top_k(scored, 5)
     return ranked.select(
         "query_id",
