@@ -28,6 +28,8 @@ INLINE_WS = r"[ \t\x0B\f\r\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000\uFEFF]"
 #: ASCII word edges, usable between a Latin and a Han character.
 EDGE_BEFORE = r"(?<![A-Za-z0-9_])"
 EDGE_AFTER = r"(?![A-Za-z0-9_])"
+#: An ASCII word boundary in general position.
+EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 HAN = r"\u4E00-\u9FFF"
 
 # Unicode noncharacters: never valid in interchanged text, so they are safe as private separators.
