@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("corpus", "lexical", "retrieval")
+MODULES = ("corpus", "lexical", "retrieval", "policy")
 
 
 def all_queries():
