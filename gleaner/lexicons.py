@@ -341,7 +341,7 @@ DIFFERENCE_GENERIC = r"^(?:模型|产品|项目|平台)\z"
 REDO_QUESTION = r"(重新.{0,8}(做|设计).{0,8}项目|重新做一个项目)"
 REDO_EVIDENCE = r"(重新.{0,20}(做|设计|项目)|复盘|重做|回顾)"
 KEYWORD_FILLERS = r"你|我|他|她|这个|那个|项目|的|是|了|在|有|什么|怎么|如何|介绍|一下|请|问|吗|呢"
-KEYWORD_TERMS = r"[a-z0-9]+|[一-鿿]{2,}"
+KEYWORD_TERMS = r"[a-z0-9]+|[\u4e00-\u9fff]{2,}"
 DONE_QUESTION = r"(做过|负责过|参与过).{0,8}项目"
 DONE_EVIDENCE = r"(做过|负责过|参与过).{0,20}(项目|平台|产品)"
 IGNORED_CHARACTERS = "你我他她这那个的是了在有过吗呢啊什么怎如何介绍项目"

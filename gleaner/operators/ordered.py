@@ -59,6 +59,20 @@ def carry_forward(
     return joined.withColumn(out, F.coalesce("_near", "_halo")).drop("_block", "_v", "_near", "_halo")
 
 
+def running_max(
+    rows: DataFrame, key: Sequence[str], order: str, value: str, out: str, block: Column | None = None
+) -> DataFrame:
+    """Add ``out``: the highest ``value`` of the key up to and including the row."""
+    blocked = rows.withColumn("_block", order_block(order) if block is None else block)
+    inside = Window.partitionBy(*key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    near = blocked.withColumn("_near", F.max(value).over(inside))
+    tops = blocked.groupBy(*key, "_block").agg(F.max(value).alias("_top"))
+    across = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    halo = tops.withColumn("_halo", F.max("_top").over(across)).drop("_top")
+    joined = near.join(halo, [*key, "_block"])
+    return joined.withColumn(out, F.greatest("_near", "_halo")).drop("_block", "_near", "_halo")
+
+
 def keep_latest(rows: DataFrame, key: Sequence[str], version: str) -> DataFrame:
     """Rows carrying the highest version of their key: a map-side maximum joined back, instead of a window."""
     latest = rows.groupBy(*key).agg(F.max(version).alias("_latest"))

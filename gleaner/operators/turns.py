@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
 import unicodedata
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -139,7 +139,7 @@ def clean_marks(text: Column | str) -> Column:
 
     def wide(t: Column) -> Column:
         full = F.translate(t, ",?!", "，？！")
-        return F.when(t.rlike(r"[㐀-鿿]"), full).otherwise(t)
+        return F.when(t.rlike(r"[\u3400-\u9FFF]"), full).otherwise(t)
 
     t = tx.let(tx.squeeze(text), wide)
     return F.regexp_replace(F.regexp_replace(t, r"[？?]{2,}", "？"), r"[！!]{2,}", "！")

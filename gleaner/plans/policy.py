@@ -18,22 +18,17 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _glossary_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One glossary document per part type: a heading per part, its brand and type words as aliases."""
-    p = table(spark, sf_dir, "part")
-    entry = F.concat(
-        F.lit("## "), "p_name", F.lit(" ##\n\nAliases: "), "p_brand", F.lit("， "), "p_type", F.lit("、"), F.lit("\n- alias: "),
-        F.col("p_partkey").cast("string"), F.lit(","), "p_brand", F.lit("\n"),
+    """One small glossary per part: its name with two alias lines (the last wins), and a term without aliases."""
+    markdown = F.concat(
+        F.lit("preface\n## "), "p_name", F.lit(" ##\n\nAliases: "), "p_type", F.lit("， none\n- aliases: "),
+        F.col("p_partkey").cast("string"), F.lit(", "), "p_brand", F.lit("、\n## "), "p_type", F.lit("\nno aliases\n"),
     )
-    gathered = p.groupBy("p_type").agg(
-        F.array_sort(F.collect_list(F.struct("p_partkey", entry.alias("e")))).alias("x")
-    )
-    return gathered.select(F.col("p_type").alias("name"), F.array_join(F.transform("x", lambda x: x["e"]), "").alias("markdown"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("name"), markdown.alias("markdown"))
 
 
 @query(
     "parse_glossary",
-    """SELECT p_type AS name, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS ord, p_name AS term,
-  p_partkey || '|' || p_brand AS aliases FROM part""",
+    """SELECT CAST(p_partkey AS VARCHAR) AS name, 0 AS ord, p_name AS term, p_partkey || '|' || p_brand AS aliases FROM part""",
 )
 def parse_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = glossary.parse_glossary(_glossary_documents(spark, sf_dir))

@@ -10,9 +10,9 @@ import unicodedata
 
 from gleaner import lexicons as lx
 
-_BLANKS = re.compile(r"[\s　﻿]+")
+_BLANKS = re.compile(r"[\s\u3000\ufeff]+")
 _PUNCTUATION = re.compile(lx.COMPARISON_PUNCTUATION)
-_HAN = re.compile(r"[㐀-鿿]")
+_HAN = re.compile(r"[\u3400-\u9fff]")
 _ENDS_ASKING = re.compile(r"[?？]\Z")
 _ENDS_MARKED = re.compile(r"[?？!！]\Z")
 _CUE = re.compile(lx.QUESTION_CUE)
