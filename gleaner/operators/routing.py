@@ -183,6 +183,10 @@ def _with_match_fields(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"score": F.col("score").cast("double"), "rank": F.col("rank").cast("int")})
 
 
+def _field_is_true(name: str):
+    return lambda m: m[name]
+
+
 def route(
     questions: DataFrame,
     candidates: DataFrame,
@@ -248,7 +252,7 @@ def route(
     d = d.withColumns(
         {
             "_m": F.coalesce(bare(F.col("m")), empty),
-            **{f"_{flag}": bare(F.filter("m", lambda m, flag=flag: m[flag])) for flag in flags[:3]},
+            **{f"_{flag}": bare(F.filter("m", _field_is_true(flag))) for flag in flags[:3]},
             "_o": F.coalesce("o", empty),
             "_t": F.coalesce("t", empty),
             "_prof": F.coalesce(F.col("p"), F.col("pf"), empty),

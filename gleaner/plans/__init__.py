@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("corpus", "lexical", "retrieval", "policy")
+MODULES = ("corpus", "lexical", "retrieval", "policy", "routing", "live")
 
 
 def all_queries():

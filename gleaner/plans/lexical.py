@@ -257,7 +257,8 @@ pairs AS (
 def pairs(spark: SparkSession, sf_dir: str, stop=STOP) -> DataFrame:
     s = lexical.exclude_glossary(scored_sections(spark, sf_dir), "^src19")
     q = question_features(spark, sf_dir)
-    postings = lexical.materialise(lexical.question_postings(q, s))
+    # Titles come from the documents, so this pass does not chunk anything.
+    postings = lexical.materialise(lexical.question_postings(q, base.document_sections(spark, sf_dir)))
     scored = lexical.score_pairs(s, postings, stop=stop, groups=CONCEPTS, bonus=BONUS, partitioned=True)
     return scored.withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
