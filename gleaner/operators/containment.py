@@ -10,16 +10,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions import text as tx
 from gleaner.session import bounded_broadcast
 
 GRAM = 3
 
 
-def grams(text: Column, size: int) -> Column:
-    """Distinct character n-grams of a text."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
-    found = F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
-    return F.when(F.length(text) >= size, found).otherwise(F.array().cast("array<string>"))
+def grams(text: Column, *sizes: int) -> Column:
+    """Distinct character n-grams of a text for the given sizes.
+
+    The text is cut into characters once; taking substrings by position would walk it from the start each time.
+    """
+
+    def starting(chars: Column, size: int):
+        return lambda i: F.concat(*[F.get(chars, i + offset) for offset in range(size)])
+
+    def build(chars: Column) -> Column:
+        parts = []
+        for size in sizes:
+            starts = F.sequence(F.lit(0), F.greatest(F.size(chars) - size, F.lit(0)))
+            found = chars if size == 1 else F.transform(starts, starting(chars, size))
+            parts.append(F.when(F.size(chars) >= size, found).otherwise(F.array().cast("array<string>")))
+        return F.array_distinct(parts[0] if len(parts) == 1 else F.concat(*parts))
+
+    return tx.let(F.split(text, ""), build)
 
 
 def anchor(needle: Column, max_size: int = GRAM) -> Column:
@@ -45,12 +59,12 @@ def anchor_by_rarity(needles: DataFrame, needle: str = "needle") -> DataFrame:
 
 
 def all_grams(text: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
-    return F.concat(*[grams(text, n) for n in sizes])
+    return grams(text, *sizes)
 
 
 def word_grams(word: Column) -> Column:
     """Grams under which a needle may find a word: the whole word when it is that short, else its 2- and 3-grams."""
-    return F.when(F.length(word) <= 2, F.array(word)).otherwise(F.concat(grams(word, 2), grams(word, 3)))
+    return F.when(F.length(word) <= 2, F.array(word)).otherwise(grams(word, 2, 3))
 
 
 def contains_join(
@@ -69,9 +83,10 @@ def contains_join(
     never a product of two large groups; without a broadcast AQE splits the hot gram.
     """
     left = haystacks.withColumn("_gram", F.explode(all_grams(F.col(haystack), sizes)))
-    right = needles.filter(F.length(needle) >= min(sizes)).withColumn("_gram", anchor(F.col(needle), max(sizes)))
-    if small == "needles":
-        right = bounded_broadcast(right)
+    right = needles.filter(F.length(needle) >= min(sizes))
+    if small == "needles" and max(sizes) == GRAM:
+        right = bounded_broadcast(anchor_by_rarity(right, needle))
     else:
+        right = right.withColumn("_gram", anchor(F.col(needle), max(sizes)))
         left = bounded_broadcast(left)
     return left.join(right, "_gram").filter(F.contains(F.col(haystack), F.col(needle))).drop("_gram")

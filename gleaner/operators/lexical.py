@@ -180,22 +180,24 @@ def score_pairs(
     )
     needles = postings.select("needle").distinct()
     is_rule = F.startswith(F.col("needle"), F.lit(_RULE))
+    # Needles get a number, so that everything after the substring check groups and joins on integers.
     anchored = materialise(
-        anchor_by_rarity(needles.filter(~is_rule)).unionByName(
-            needles.filter(is_rule).withColumn("_gram", F.col("needle"))
-        )
+        anchor_by_rarity(needles.filter(~is_rule))
+        .unionByName(needles.filter(is_rule).withColumn("_gram", F.col("needle")))
+        .withColumn("_nid", F.monotonically_increasing_id())
     )
+    numbered = postings.join(anchored, "needle").drop("needle", "_gram")
     hits = (
         section_words.join(bounded_broadcast(anchored), "_gram")
         .filter(F.contains("word", "needle"))
-        .groupBy(*key, "needle")
+        .groupBy(*key, "_nid")
         .agg(
             F.least(F.sum("t"), F.lit(lx.TOKEN_CAP)).alias("t"),
             *[F.max(n).alias(n) for n in _POINTS[1:]],
         )
     )
     summed = (
-        hits.join(bounded_broadcast(postings), "needle")
+        hits.join(bounded_broadcast(numbered), "_nid")
         .groupBy("query_id", *key)
         .agg(
             F.sum(F.col("t") * F.col("nt")).alias("direct"),

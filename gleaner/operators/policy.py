@@ -42,14 +42,19 @@ def sections_for_projects(sections: DataFrame, projects: DataFrame) -> DataFrame
     ).drop("_id")
 
 
-def explicit_projects(questions: DataFrame, projects: DataFrame, text: str = "query") -> DataFrame:
-    """``(query_id, explicit_id)``: the project whose longest name or alias stands in the question."""
+def explicit_projects(
+    questions: DataFrame, projects: DataFrame, text: str = "query", sizes: tuple[int, ...] = (1, 2, 3)
+) -> DataFrame:
+    """``(query_id, explicit_id)``: the project whose longest name or alias stands in the question.
+
+    Pass ``sizes=(3,)`` when no name is shorter than three characters, to index fewer grams.
+    """
     names = projects.select(
         "id", "ord", F.posexplode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("pos", "n")
     ).filter(tx.text_or_empty("n") != "")
     needles = names.select(F.lower("n").alias("needle")).distinct()
     hay = questions.select(F.lower(tx.text_or_empty(text)).alias("haystack")).distinct()
-    found = contains_join(hay, needles)
+    found = contains_join(hay, needles, sizes=sizes)
     best = (
         found.join(names.withColumn("needle", F.lower("n")), "needle")
         .groupBy("haystack")

@@ -81,10 +81,14 @@ def latest_question(
             (previous.rlike(condition) & last.rlike(condition_tail)) | last.rlike(generic_tail)
         )
         any_starter = "|".join(tx.quote(s) for s in starters)
-        positions = F.sequence(F.lit(2), F.greatest(F.length(last), F.lit(2)))
-        tails = F.transform(positions, lambda i: F.substring(last, i, F.length(last)))
-        useful = F.filter(tails, lambda s: s.rlike(rf"^(?:{any_starter})") & tx.trim(s).rlike(cue))
-        cut = F.when(last.rlike(rf"(?s).+(?:{any_starter})"), tx.trim(F.try_element_at(useful, F.lit(-1))))
+        # Cut before every starter; a tail is what remains from one of the later cuts on.
+        pieces = F.split(last, f"(?={any_starter})")
+
+        def best(cuts: Column) -> Column:
+            tails = F.transform(cuts, lambda _, i: tx.trim(F.array_join(F.filter(cuts, lambda _, j: j >= i), "")))
+            return F.try_element_at(F.filter(tails, lambda s, i: (i > 0) & s.rlike(cue)), F.lit(-1))
+
+        cut = tx.let(pieces, best)
         return (
             F.when(joined, F.concat(previous, F.lit("。"), last))
             .when(last.rlike(whole), last)
