@@ -120,8 +120,9 @@ def section_postings(
     if not partitioned:
         partitions = int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         slim = slim.repartition(partitions, *key)
-    by_field = slim.select(*key, F.explode(F.array_compact(fields)).alias("f"))
-    by_word = by_field.select(*key, *[f"f.{n}" for n in _POINTS], F.explode("f.words").alias("word"))
+    # The fields are unpacked before the second explode; otherwise every word would carry its whole field along.
+    by_field = slim.select(*key, F.inline(F.array_compact(fields)))
+    by_word = by_field.select(*key, *_POINTS, F.explode("words").alias("word"))
     return by_word.groupBy(*key, "word").agg(F.sum("t").alias("t"), *[F.max(n).alias(n) for n in _POINTS[1:]])
 
 

@@ -51,9 +51,9 @@ def packed_sql(source: str, out: str, limit: int, delims: str = DELIMS) -> str:
     FROM {out}_split GROUP BY doc_ord, section_ord))"""
 
 
-TITLE = r"^\s*(\S+(?:\s+\S+){0,2})"
+TITLE = r"^\s*(\S+(?:\s+\S+){0,1})"
 
-#: documents → one section per document, titled by its first three words.
+#: documents → one section per document, titled by its first two words.
 SECTION_SQL = rf"""
 docs AS (
   SELECT doc_id AS doc_ord, 0 AS section_ord, regexp_extract(text, '{TITLE}', 1) AS title, source || '.md' AS source,

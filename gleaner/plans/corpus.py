@@ -144,7 +144,7 @@ def snapshot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "snapshot_violations",
     r"""
-WITH t AS (SELECT trim(CASE WHEN source = 'src9' THEN ' ' ELSE substr(text, 1, 8) END) AS name, text FROM documents)
+WITH t AS (SELECT trim(CASE WHEN source = 'src9' THEN ' ' ELSE substr(text, 1, 8) END, E' \n') AS name, text FROM documents)
 SELECT name, CASE WHEN name = '' THEN 'blank name' ELSE 'duplicate name' END AS problem, count(*) AS n
 FROM t GROUP BY name HAVING name = '' OR count(*) > 1""",
 )
@@ -369,9 +369,6 @@ def drop_provenance_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("page_id", sectioning.section_content().alias("content"))
 
 
-_LATIN_QUESTION = r"^(?:The|Of|In|De|La|Die)\b.{0,400}"
-
-
 @query(
     "fenced_answers",
     base.with_ctes(

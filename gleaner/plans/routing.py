@@ -15,10 +15,10 @@ _PREDICATES = {
     "own_overview": (r"^Of",),
     "practice": (r"(?i)ing", r"(?i)hethe"),
     "zero_to_one": (r"(?i)rere",),
-    "scenario": (r"(?i)onon.{0,24}the", r"(?i)keit.{0,10}ung"),
-    "technology": r"(?i)(?:tion).{0,22}(?:ble|ment)",
+    "scenario": (r"(?i)onon[^\n]{0,24}the", r"(?i)keit[^\n]{0,10}ung"),
+    "technology": r"(?i)(?:tion)[^\n]{0,22}(?:ble|ment)",
     "count": r"(?i)ndhe",
-    "overview": (r"(?i)and.{0,14}ing", r"(?i)die.{0,16}ein"),
+    "overview": (r"(?i)and[^\n]{0,14}ing", r"(?i)die[^\n]{0,16}ein"),
     "overview_veto": r"(?i)tiou",
     "overview_always": r"(?i)erha\s*the",
 }
