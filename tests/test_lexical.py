@@ -110,7 +110,7 @@ RANKED = "query_id long, rank int, score double, match_type string, source strin
 
 def test_fusion(spark):
     q = spark.createDataFrame(
-        [(1, "about leader agent"), (2, "named zeta"), (3, "nothing lexical"), (4, "dup")], "query_id long, query string"
+        [(1, "leader agent"), (2, "named zeta"), (3, "nothing lexical"), (4, "dup")], "query_id long, query string"
     )
     lex = spark.createDataFrame(
         [
