@@ -150,7 +150,7 @@ def hot_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ENDINGS = ("the.", "on", "de.")
 QUESTION_WORDS = r"(ing|que|lich)"
-FOLLOW_UPS = (r"^(?:The|Of|La)\b", r"^Th[^\n]*(?:re|on)$")
+FOLLOW_UPS = (r"^(?:The|Of|La)[ .,]", r"^Th[^\n]*(?:re|on)$")
 
 
 @query(
@@ -158,7 +158,7 @@ FOLLOW_UPS = (r"^(?:The|Of|La)\b", r"^Th[^\n]*(?:re|on)$")
     r"""SELECT conv_id, turn, complete, follow_up, CASE WHEN complete THEN 1200 ELSE 2200 END AS delay_ms FROM (
   SELECT conv_id, turn, NOT incomplete AND (follow_up OR regexp_matches(t, '(ing|que|lich)')) AS complete, follow_up FROM (
     SELECT *, ends_with(t, 'the.') OR ends_with(t, 'on') OR ends_with(t, 'de.') AS incomplete,
-      regexp_matches(t, '^(?:The|Of|La)\b') OR regexp_matches(t, '^Th[^\n]*(?:re|on)$') AS follow_up
+      regexp_matches(t, '^(?:The|Of|La)[ .,]') OR regexp_matches(t, '^Th[^\n]*(?:re|on)$') AS follow_up
     FROM (SELECT conv_id, turn, regexp_replace(trim(text), '[。！!]+$', '') AS t FROM conversations)))""",
 )
 def classify_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
