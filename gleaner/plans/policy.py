@@ -449,7 +449,16 @@ def archived_without_twin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.without_current_twin(f.filter("archive"), f.filter(~F.col("archive"))).select("doc_ord")
 
 
-@query("personal_context")
+@query(
+    "personal_context",
+    base.with_ctes(
+        _SCOPE_SQL,
+        """ctx AS (SELECT substr('【' || title || E'】\\n' || content, 1, 8000) AS c FROM docs
+  WHERE regexp_matches(title, '^(?:The|De)') ORDER BY doc_ord LIMIT 1)""",
+        """SELECT conv_id, turn, scope, CASE WHEN scope IN ('experience', 'project', 'followup') THEN c ELSE '' END AS personal_context
+FROM scoped, ctx""",
+    ),
+)
 def personal_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = base.document_sections(spark, sf_dir).withColumn("chunk_index", F.lit(0))
     context = policy.personal_context(d, profile=F.col("title").rlike("^(?:The|De)"))
