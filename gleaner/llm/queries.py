@@ -15,6 +15,7 @@ from gleaner.llm import (
     oracles,
     quality,
     simhash,
+    substring_dedup,
     token_counts,
     toxicity,
     url_filter,
@@ -119,3 +120,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_edited",
         "near_next",
     )
+
+
+@query("op4_substring_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(documents(spark, sf_dir))
