@@ -1,11 +1,11 @@
-"""A training-data pipeline: five stages, each one operator applied to what its predecessor kept."""
+"""A training-data pipeline: each stage one operator applied to what its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import byte_bpe, contamination, simhash, toxicity
+from gleaner.llm import byte_bpe, contamination, simhash, substring_dedup, toxicity
 from gleaner.llm.common import table
 from gleaner.llm.queries import fold
 from gleaner.session import materialise, ship_package
@@ -27,6 +27,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(kept, "doc_id", "left_semi")
 
 
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that an earlier document has; ``n_chars`` follows."""
+    ship_package(spark)
+    left = substring_dedup.without_repeats(docs)
+    n_chars = F.length(F.coalesce(F.col("text"), F.lit(""))).cast(docs.schema["n_chars"].dataType)
+    return left.withColumn("n_chars", n_chars)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that benchmark passages do not contaminate."""
     ship_package(spark)
@@ -43,6 +51,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("simhash", drop_near_duplicates),
+    ("suffix_array", drop_repeats),
     ("contamination", drop_contaminated),
     ("byte_bpe", encode),
 ]
