@@ -52,13 +52,9 @@ def _url_filter() -> str:
     ctes += [
         f"""scores AS (SELECT g.u, sum(round((ln(p_allow) - ln(p_block)) * {unit})::BIGINT)::DOUBLE / count(*) / {unit} AS score
           FROM grams g JOIN p{gram} p ON p.gram = g.gram GROUP BY g.u)""",
-        """sums AS (SELECT sum(c_allow)::DOUBLE AS na, sum(c_allow * score) AS sa, sum(c_allow * score * score) AS qa,
-          sum(c_block)::DOUBLE AS nb, sum(c_block * score) AS sb, sum(c_block * score * score) AS qb
+        """cut AS (SELECT CASE WHEN coalesce(sum(c_allow), 0) = 0 OR coalesce(sum(c_block), 0) = 0 THEN 0.0
+          ELSE (sum(c_allow * score) / sum(c_allow) + sum(c_block * score) / sum(c_block)) / 2 END AS threshold
           FROM urls JOIN scores USING (u))""",
-        """spread AS (SELECT *, sa / na AS ma, sb / nb AS mb, sqrt(greatest(qa / na - (sa / na) * (sa / na), 1e-12)) AS da,
-          sqrt(greatest(qb / nb - (sb / nb) * (sb / nb), 1e-12)) AS db FROM sums)""",
-        """cut AS (SELECT CASE WHEN coalesce(na, 0) = 0 OR coalesce(nb, 0) = 0 THEN 0.0
-          ELSE (ma * db + mb * da) / (da + db) END AS threshold FROM spread)""",
     ]
     return "WITH " + ",\n".join(ctes) + """
 SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN score >= threshold THEN 'allow' ELSE 'block' END) AS verdict

@@ -33,7 +33,7 @@ PREFIXES = (4, 5, 6)
 MIN_RATIO, MIN_DOCUMENTS = 12.0, 3
 EPOCHS, BATCH, STEP = 40, 256, 0.1
 #: Penalties of weights and of factors.
-DECAY, FACTOR_DECAY = 2e-4, 2e-3
+DECAY, FACTOR_DECAY = 1e-5, 1e-3
 THRESHOLD = 0.3
 #: Words whose place in the model a worker remembers.
 REMEMBERED = 500_000

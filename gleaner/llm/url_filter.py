@@ -4,7 +4,7 @@ Two variable-order Markov models, of the urls that rules accept and of those tha
 url a probability after its longest known context, interpolated down to a uniform one (Witten-Bell: a context's share for
 shorter contexts grows with the number of different characters that followed it). A url's score is the mean difference of
 the models' logarithms per character. The threshold is calibrated on a fifth of the ruled urls that the models do not
-see: it lies between the means of both sides, nearer to the one that scatters less.
+see: it lies midway between the means of both sides.
 
 Urls are counted once per distinct text, grams are pre-aggregated before each shuffle, and every table is joined on its
 gram, so nothing is broadcast or collected but one row with the calibration sums.
@@ -112,7 +112,7 @@ def judge(
     new = ["host", "path", "rule", "score", "verdict"]
     keep = [c for c in pages.columns if c.lower() not in new]
     lowered = lower_ascii(F.coalesce(F.col(url), F.lit("")))
-    ruled = with_rules(pages, url, rules).withColumns(
+    ruled = with_rules(pages.select(*[f"`{c}`" for c in keep]), url, rules).withColumns(
         {"__u": lowered, "__key": F.xxhash64(lowered), "__check": F.xxhash64(F.concat(F.lit("+"), lowered))}
     )
     held = F.pmod(F.coalesce(F.col(fold), F.lit(0)), F.lit(FOLDS)) == 0
@@ -143,16 +143,10 @@ def judge(
 
 
 def _threshold(scores: DataFrame) -> float:
+    """Midway between the mean scores of accepted and rejected urls that were held back; 0 where a side has none."""
     sums = []
     for side in ("allow", "block"):
-        n, s = F.col(f"c_{side}"), F.col("score")
-        sums += [F.sum(n), F.sum(n * s), F.sum(n * s * s)]
-    row = [x or 0 for x in scores.agg(*sums).first()]
-    if not row[0] or not row[3]:
-        return 0.0
-    mean, spread = {}, {}
-    for i, side in enumerate(("allow", "block")):
-        n, s, q = row[3 * i : 3 * i + 3]
-        mean[side] = s / n
-        spread[side] = max(q / n - mean[side] ** 2, 1e-12) ** 0.5
-    return (mean["allow"] * spread["block"] + mean["block"] * spread["allow"]) / (spread["allow"] + spread["block"])
+        n = F.col(f"c_{side}")
+        sums += [F.sum(n), F.sum(n * F.col("score"))]
+    n_allow, allow, n_block, block = [x or 0 for x in scores.agg(*sums).first()]
+    return (allow / n_allow + block / n_block) / 2 if n_allow and n_block else 0.0
