@@ -31,9 +31,9 @@ HASH_BITS = 24
 PREFIXES = (4, 5, 6)
 #: Least log-likelihood ratio (G squared) and least documents of a term in the model.
 MIN_RATIO, MIN_DOCUMENTS = 12.0, 3
-EPOCHS, BATCH, STEP = 40, 256, 0.1
+EPOCHS, BATCH, STEP = 40, 256, 0.3
 #: Penalties of weights and of factors.
-DECAY, FACTOR_DECAY = 1e-5, 1e-3
+DECAY, FACTOR_DECAY = 1e-5, 1e-2
 THRESHOLD = 0.3
 #: Words whose place in the model a worker remembers.
 REMEMBERED = 500_000
