@@ -216,8 +216,8 @@ def fold_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fold_transcripts")
 def fold_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first words of every turn of a conversation folded as transcript segments."""
-    c = table(spark, sf_dir, "conversations").withColumn("text", F.substring_index("text", " ", 12))
+    """The turns of a conversation folded as transcript segments."""
+    c = table(spark, sf_dir, "conversations")
     return transcripts.fold_text(c, ["conv_id"], "turn", "text")
 
 

@@ -67,7 +67,10 @@ def _complete_frames(key, batches: Iterator[pd.DataFrame], state: GroupState) ->
         if row.is_last and pending:
             out.append((key[0], row.seq, pending))
             pending = ""
-    state.update((pending,))
+    if frame["is_last"].any():
+        state.remove()
+    else:
+        state.update((pending,))
     yield pd.DataFrame(out, columns=["request_id", "seq", "frames"])
 
 

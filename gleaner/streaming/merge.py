@@ -1,96 +1,121 @@
 """The transcript fold: how one more recogniser result changes the text of a capture.
 
-These are the small per-row helpers of the stateful operators; partitioning, ordering and state are Spark's.
+Two texts are compared on their *keys*: the characters that matter, folded, each with the place in the shown text where
+it ends. Everything the fold decides (equal, contained, overlapping, revised) is read off the two key strings, in time
+linear in their length, and cut positions come from the places.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from dataclasses import dataclass
+from functools import lru_cache
 
 from gleaner import lexicons as lx
 
-_BLANKS = re.compile(r"[\s\u3000\ufeff]+")
-_PUNCTUATION = re.compile(lx.COMPARISON_PUNCTUATION)
-_HAN = re.compile(r"[\u3400-\u9fff]")
-_ENDS_ASKING = re.compile(r"[?？]\Z")
-_ENDS_MARKED = re.compile(r"[?？!！]\Z")
+_IGNORED = re.compile(rf"[\s　﻿]|{lx.COMPARISON_PUNCTUATION}")
+_RUN_OF_BLANKS = re.compile(r"[\s　﻿]+")
+_RUN_OF_ASKS, _RUN_OF_CRIES = re.compile(r"[？?]{2,}"), re.compile(r"[！!]{2,}")
 _CUE = re.compile(lx.QUESTION_CUE)
-_WIDE = str.maketrans({",": "，", "?": "？", "!": "！"})
+_ASKS, _MARKS = ("?", "？"), ("?", "？", "!", "！")
+#: Keys of half a text that count as a sentence said twice.
+_HALF = 4
+
+
+@lru_cache(maxsize=8192)
+def _key(character: str) -> str:
+    """What a single character adds to the key: nothing for blanks and punctuation."""
+    return _IGNORED.sub("", unicodedata.normalize("NFKC", character).lower())
+
+
+@dataclass(frozen=True)
+class Keyed:
+    """A shown text with its key and, for every key character, the place after the shown character it came from."""
+
+    shown: str
+    key: str
+    places: tuple[int, ...]
+
+    @classmethod
+    def of(cls, shown: str) -> Keyed:
+        keys, places = [], []
+        for place, character in enumerate(shown, 1):
+            if key := _key(character):
+                keys.append(key)
+                places.extend([place] * len(key))
+        return cls(shown, "".join(keys), tuple(places))
+
+    def rest(self, n: int) -> str:
+        """The shown text after the character that holds key character ``n``."""
+        return self.shown[self.places[n - 1] :].lstrip() if n else self.shown
+
+
+def borders(pattern: str) -> list[int]:
+    """For every prefix of ``pattern``, the length of its longest proper border."""
+    out = [0] * len(pattern)
+    width = 0
+    for i in range(1, len(pattern)):
+        while width and pattern[i] != pattern[width]:
+            width = out[width - 1]
+        width += pattern[i] == pattern[width]
+        out[i] = width
+    return out
+
+
+def overlap(left: str, right: str) -> int:
+    """Length of the longest end of ``left`` that ``right`` starts with."""
+    tail = left[len(left) - min(len(left), len(right)) :]
+    table = borders(right)
+    width = 0
+    for character in tail:
+        while width and (width == len(right) or character != right[width]):
+            width = table[width - 1]
+        width += width < len(right) and character == right[width]
+    return width
 
 
 def comparison_form(text: str) -> str:
-    folded = _BLANKS.sub("", unicodedata.normalize("NFKC", text).lower())
-    return _PUNCTUATION.sub("", folded)
+    return Keyed.of(text).key
 
 
 def collapse_doubled(text: str) -> str:
     """A text that says the same sentence twice, reduced to one with its closing mark."""
     whole = text.strip()
-    form = comparison_form(whole)
-    half, odd = divmod(len(form), 2)
-    if odd or half < 4 or form[:half] != form[half:]:
+    keyed = Keyed.of(whole)
+    half, odd = divmod(len(keyed.key), 2)
+    if odd or half < _HALF or keyed.key[:half] != keyed.key[half:] or keyed.places[half - 1] == keyed.places[half]:
         return whole
-    for cut in range(1, len(whole)):
-        left, right = whole[:cut].strip(), whole[cut:].strip()
-        if len(comparison_form(left)) == half and comparison_form(left) == comparison_form(right):
-            mark = _ENDS_MARKED.search(right)
-            return left if _ENDS_ASKING.search(left) or _ENDS_MARKED.search(left) or not mark else left + mark.group()
-    return whole
+    first, second = whole[: keyed.places[half - 1]].strip(), whole[keyed.places[half - 1] :].strip()
+    if second.endswith(_MARKS) and not first.endswith(_MARKS):
+        return first + second[-1]
+    return first
 
 
 def display_form(text: str) -> str:
-    t = _BLANKS.sub(" ", unicodedata.normalize("NFKC", text)).strip()
-    if _HAN.search(t):
-        t = t.translate(_WIDE)
-    t = re.sub(r"[？?]{2,}", "？", t)
-    return collapse_doubled(re.sub(r"[！!]{2,}", "！", t))
-
-
-def _after(text: str, count: int) -> str:
-    """What follows the first ``count`` characters that matter for comparison."""
-    used = 0
-    for i, character in enumerate(text):
-        used += bool(comparison_form(character))
-        if used == count:
-            return text[i + 1 :].lstrip()
-    return ""
-
-
-def _overlap(current: str, following: str) -> int:
-    for size in range(min(len(current), len(following)), 0, -1):
-        if current.endswith(following[:size]):
-            return size
-    return 0
-
-
-def _shared_prefix(a: str, b: str) -> int:
-    size = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        size += 1
-    return size
+    shown = _RUN_OF_BLANKS.sub(" ", unicodedata.normalize("NFKC", text)).strip()
+    if any("㐀" <= c <= "鿿" for c in shown):
+        shown = shown.translate(str.maketrans(",?!", "，？！"))
+    return collapse_doubled(_RUN_OF_CRIES.sub("！", _RUN_OF_ASKS.sub("？", shown)))
 
 
 def merge_transcript(previous: str, incoming: str) -> str:
-    """Fold one result into the text so far: replace, keep, or append the part that is new."""
-    current, following = display_form(previous or ""), display_form(incoming or "")
-    a, b = comparison_form(current), comparison_form(following)
-    if not b:
-        return current
-    if not a:
-        return following
-    if a == b:
-        asks_more = _ENDS_ASKING.search(following) and not _ENDS_ASKING.search(current)
-        return following if asks_more or len(following) > len(current) else current
-    if b.startswith(a):
-        return following
-    if a.startswith(b):
-        return current
-    if size := _overlap(a, b):
-        return display_form(current + _after(following, size))
-    shared = _shared_prefix(a, b)
-    if 2 <= shared < min(len(a), len(b)) and _CUE.search(following):
-        return display_form(current + _after(following, shared))
-    return display_form(current + following)
+    """Fold one result into the text so far.
+
+    Of two texts that say the same, or of which one begins with the other, the fuller one stays. Otherwise the new text
+    is appended without what the old one already ends with; a question that starts like the old text and then differs is
+    a revision, of which only the part after the common start is appended.
+    """
+    old, new = Keyed.of(display_form(previous or "")), Keyed.of(display_form(incoming or ""))
+    common = next((i for i, (x, y) in enumerate(zip(old.key, new.key)) if x != y), min(len(old.key), len(new.key)))
+    if common == len(new.key) < len(old.key) or not new.key:
+        return old.shown
+    if common == len(old.key) < len(new.key):
+        return new.shown
+    if common == len(old.key) == len(new.key):
+        gains = new.shown.endswith(_ASKS) and not old.shown.endswith(_ASKS)
+        return new.shown if gains or len(new.shown) > len(old.shown) else old.shown
+    known = overlap(old.key, new.key)
+    if not known and common >= 2 and _CUE.search(new.shown):
+        known = common
+    return display_form(old.shown + new.rest(known))

@@ -1,8 +1,8 @@
 """Recogniser messages to finished questions, as a batch job and as a stream with the same fold.
 
 Rows: ``session_id, capture_id, seq, event_time, type, text, is_final``. Within a session a capture is stale once a newer
-one was seen. Result rows are folded into the capture's text; a capture is submitted once, on its final result, on a
-closing event after a stop, or when the wait after the stop runs out.
+one was seen. Result rows are folded into the capture's text, over all its segments; after a stop the capture waits, and is
+submitted once: on a final result, a closing event or a newer capture while it waits, or when the wait runs out.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ OUTPUT_SCHEMA = T.StructType(
         T.StructField("reason", T.StringType()),
     ]
 )
+#: A session's stream state is dropped when nothing came for so long.
+STATE_TTL_MS = 24 * 3_600_000
 EVENT_COLUMNS = ("session_id", "capture_id", "seq", "type", "text", "is_final")
 
 
@@ -76,12 +78,14 @@ def gate_events(events: DataFrame, session: str = "session_id", order: str = "se
 
 
 class Capture:
-    """State of one session: the current capture, its text, and whether it waits for a final result."""
+    """State of one session: the current capture, its text, whether it waits for a final result, and until when."""
 
-    __slots__ = ("capture_id", "text", "waiting", "done")
+    __slots__ = ("capture_id", "text", "waiting", "done", "deadline")
 
-    def __init__(self, capture_id: int = -1, text: str = "", waiting: bool = False, done: bool = False):
-        self.capture_id, self.text, self.waiting, self.done = capture_id, text, waiting, done
+    def __init__(
+        self, capture_id: int = -1, text: str = "", waiting: bool = False, done: bool = False, deadline: int = -1
+    ):
+        self.capture_id, self.text, self.waiting, self.done, self.deadline = capture_id, text, waiting, done, deadline
 
     def submit(self, reason: str) -> tuple[int, str, str] | None:
         self.waiting = False
@@ -107,7 +111,7 @@ class Capture:
                 self.text, self.done = "", True
         elif kind == "result" and text and text.strip() and not self.done:
             self.text = merge_transcript(self.text, text)
-            if is_final:
+            if is_final and self.waiting:
                 out.append(self.submit("final"))
         return [row for row in out if row]
 
@@ -115,27 +119,37 @@ class Capture:
 def fold_captures(events: DataFrame) -> DataFrame:
     """Batch form: one row per submitted capture.
 
-    The fold depends on order, so a session's rows are routed to one task and sorted there by Spark; they stream
-    through a state of one text, and are never gathered as a group.
+    Events of captures that a newer one had replaced are dropped first (a blocked running maximum); what is left depends
+    on its own capture alone, so the fold is keyed by session and capture, and a long session is spread over many tasks. A
+    capture's rows are sorted by Spark and stream through a state of one text.
     """
     partitions = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    routed = events.select(*EVENT_COLUMNS).repartition(partitions, "session_id")
-    routed = routed.sortWithinPartitions("session_id", "seq")
+    rows = events.select(*EVENT_COLUMNS)
+    seen = ordered.running_max(rows, ["session_id"], "seq", "capture_id", "_current")
+    newest = rows.groupBy("session_id").agg(F.max("capture_id").alias("_newest"))
+    live = seen.filter(F.col("capture_id") == F.col("_current")).join(newest, "session_id")
+    live = live.select(*EVENT_COLUMNS, (F.col("capture_id") < F.col("_newest")).alias("_replaced"))
+    routed = live.repartition(partitions, "session_id", "capture_id")
+    routed = routed.sortWithinPartitions("session_id", "capture_id", "seq")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, state = None, Capture()
+        current, state, replaced = None, Capture(), False
         columns = [f.name for f in OUTPUT_SCHEMA.fields]
+
+        def ended() -> list[tuple]:
+            row = state.submit("superseded" if replaced else "timeout") if current and state.waiting else None
+            return [(current[0], *row)] if row else []
+
         for frame in batches:
             out = []
-            for sid, capture, _, kind, text, final in frame.itertuples(index=False):
-                if sid != session:
-                    if session is not None and state.waiting and (row := state.submit("timeout")):
-                        out.append((session, *row))
-                    session, state = sid, Capture()
+            for sid, capture, _, kind, text, final, newer in frame.itertuples(index=False):
+                if (sid, capture) != current:
+                    out += ended()
+                    current, state = (sid, capture), Capture()
+                replaced = bool(newer)
                 out.extend((sid, *row) for row in state.step(int(capture), kind, text, bool(final)))
             yield pd.DataFrame(out, columns=columns)
-        if session is not None and state.waiting and (row := state.submit("timeout")):
-            yield pd.DataFrame([(session, *row)], columns=columns)
+        yield pd.DataFrame(ended(), columns=columns)
 
     return routed.mapInPandas(run, OUTPUT_SCHEMA)
 
@@ -174,14 +188,14 @@ class CaptureProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        schema = "capture_id long, text string, waiting boolean, done boolean"
-        self.state = handle.getValueState("capture", schema)
+        schema = "capture_id long, text string, waiting boolean, done boolean, deadline long"
+        self.state = handle.getValueState("capture", schema, STATE_TTL_MS)
 
     def _load(self) -> Capture:
         return Capture(*self.state.get()) if self.state.exists() else Capture()
 
     def _save(self, c: Capture) -> None:
-        self.state.update((c.capture_id, c.text, c.waiting, c.done))
+        self.state.update((c.capture_id, c.text, c.waiting, c.done, c.deadline))
 
     @staticmethod
     def _frame(session: int, rows: list) -> pd.DataFrame:
@@ -189,19 +203,26 @@ class CaptureProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         capture, out = self._load(), []
-        waited = capture.waiting
+        waited, before = (capture.capture_id if capture.waiting else None), capture.deadline
         frame = pd.concat(list(rows)).sort_values("seq", kind="stable")
         for row in frame.itertuples(index=False):
             out.extend(capture.step(int(row.capture_id), row.type, row.text, bool(row.is_final)))
+        if waited is not None and not (capture.waiting and capture.capture_id == waited):
+            self.handle.deleteTimer(before)
+            capture.deadline = -1
+        if capture.waiting and capture.capture_id != waited:
+            capture.deadline = timerValues.getCurrentProcessingTimeInMs() + self.wait_ms
+            self.handle.registerTimer(capture.deadline)
         self._save(capture)
-        if capture.waiting and not waited:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
         yield self._frame(key[0], out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         capture, out = self._load(), []
-        if capture.waiting and (row := capture.submit("timeout")):
+        # Only the timer of the wait that is still on counts.
+        due = expiredTimerInfo.getExpiryTimeInMs() == capture.deadline
+        if due and capture.waiting and (row := capture.submit("timeout")):
             out.append(row)
+            capture.deadline = -1
         self._save(capture)
         yield self._frame(key[0], out)
 

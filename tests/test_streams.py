@@ -38,11 +38,18 @@ EVENTS = [
     # session, capture, seq, type, text, final
     (1, 1, 1, "result", "什么是", False),
     (1, 1, 2, "result", "什么是RAG", False),
-    (1, 1, 3, "result", "什么是RAG？", True),
-    (1, 1, 4, "result", "多余的话", True),
-    (1, 2, 5, "result", "第二题", False),
-    (1, 1, 6, "result", "旧的", True),
-    (1, 2, 7, "stop", None, False),
+    (1, 1, 3, "result", "什么是RAG？", True),  # a segment ends, the recording goes on
+    (1, 1, 4, "result", "怎么用", True),
+    (1, 1, 5, "stop", None, False),
+    (1, 1, 6, "result", "尾巴", True),
+    (1, 1, 7, "result", "多余的话", True),
+    (1, 2, 8, "result", "第二题", False),
+    (1, 1, 9, "result", "旧的", True),
+    (1, 2, 10, "stop", None, False),
+    (4, 1, 1, "result", "还在等", True),
+    (4, 1, 2, "stop", None, False),
+    (4, 2, 3, "result", "新的", True),
+    (4, 2, 4, "result", "没有停止", True),
     (2, 1, 8, "result", "会中断", False),
     (2, 1, 9, "error", None, False),
     (2, 2, 10, "result", "等待最终", False),
@@ -50,14 +57,16 @@ EVENTS = [
     (2, 2, 12, "closed", None, False),
     (3, 5, 13, "result", "  ", True),
     (3, 5, 14, "ready", None, False),
-    (3, 5, 15, "result", "最后的问题", True),
+    (3, 5, 15, "stop", None, False),
+    (3, 5, 16, "result", "最后的问题", True),
 ]
 SCHEMA = "session_id long, capture_id long, seq long, type string, text string, is_final boolean"
 WANT = [
-    (1, 1, "什么是RAG？", "final"),
+    (1, 1, "什么是RAG？怎么用尾巴", "final"),
     (1, 2, "第二题", "timeout"),
     (2, 2, "等待最终", "closed"),
     (3, 5, "最后的问题", "final"),
+    (4, 1, "还在等", "superseded"),
 ]
 
 
