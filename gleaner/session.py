@@ -11,8 +11,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a lookup side is broadcast. Above it the join is left to Spark (shuffle + AQE).
+#: Rows and bytes (as JSON text) up to which a lookup side is broadcast. Above, the join is left to Spark (shuffle + AQE).
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def local_session(app: str = "gleaner", cpus: str | int = "*", **conf: str) -> SparkSession:
@@ -35,33 +36,44 @@ def local_session(app: str = "gleaner", cpus: str | int = "*", **conf: str) -> S
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a private one only where none is configured (tests)."""
+    """The shared checkpoint folder the cluster names. Only a local session, whose tasks all run on this machine, may go
+    without one and gets a private folder; anywhere else executors would not see each other's files."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="gleaner-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` stays within ``max_rows``; otherwise return it unhinted.
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` stays within both bounds. Measuring stops after ``max_rows + 1`` rows, so it stays cheap on a side
+    that turns out large."""
+    size = F.length(F.to_json(F.struct("*"))).cast("long").alias("size")
+    rows, total = df.limit(max_rows + 1).select(size).agg(F.count(F.lit(1)), F.sum("size")).first()
+    return rows <= max_rows and (total or 0) <= max_bytes
 
-    The count stops at ``max_rows + 1`` rows, so the check itself stays cheap on a side that turns out large.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only after measuring that ``df`` stays within the bounds; otherwise return it unhinted."""
+    return F.broadcast(df) if fits_broadcast(df, max_rows, max_bytes) else df
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back.
 
     Used for small tables that several branches of one plan read (a question table's postings, for example): the work
-    is done once, the lineage is cut, and a lost executor can still read the files.
+    is done once, the lineage is cut, and a lost executor can still read the files. They are deleted when the application
+    ends.
     """
-    path = f"{checkpoint_root(df.sparkSession)}/gleaner-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/gleaner-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _SHIPPED: set[str] = set()
