@@ -40,7 +40,6 @@ BOARD_REFERENCE = "> 图示：飞书画板（原文资源标识：`$1`）。图
 # Annotation
 PROFILE_LABEL = r"(?:自我介绍|个人经历|职业经历|我的情况|个人故事线|讲人设)"
 PROFILE_OPENING = r"(?:个人故事线\s*)?(?:自我介绍)?\s*(?:您好[，,]?(?:我叫|我是)|我有\s*\d+\s*年.{0,12}经验)"
-PROFILE_OPENING_CHARS = 220
 GENERIC_SOURCE = r"(?:面试口述|复盘原文|通用面试问题|通用资料|术语表|回答规则|Skill)"
 GENERIC_PROJECT = r"(?:^(?:项目背景|项目概览|项目介绍|业务背景|方案设计|技术方案|技术架构|核心能力|复盘|附录)|通用|能力|方法论|面试)"
 PROJECT_WORD = r"(?:项目|平台|系统|产品|业务)"
@@ -70,7 +69,6 @@ ANSWER_MARKER = r"(?:^|\n)\s*(?:\*\*)?(?:回答方式|回答)\s*[：:](?:\*\*)?\
 
 # Glossary
 GLOSSARY_ALIAS_LINE = r"(?iu)^\s*(?:[-*]\s*)?(?:别名|关键词|aliases?)\s*[:：]\s*(.+)\z"
-HOT_WORDS = 5_000
 CODE_ASR = r"(?:扣得|扣德|代码|code|c\s*o\s*d\s*e|coder)"
 CONTEXT_RULES = (
     # (pattern, replacement, required context, vetoing context), applied in this order
@@ -202,7 +200,6 @@ VECTOR_VERSION = 3
 EMBEDDING_CHARS = 4_000
 EMBEDDING_BATCH = 12
 SIMILARITY_THRESHOLD = 0.7
-MAX_CANDIDATE_SECTIONS = 500
 RANK_CONSTANT = 60
 SUBJECT_BOOST = 0.26
 SUBJECT_PHRASE = r"[a-z][a-z0-9_-]*(?:\s+[a-z][a-z0-9_-]*)+"
@@ -288,7 +285,6 @@ TECHNOLOGY_TITLE = (
 QUESTION_TITLE = r"(?:什么|怎么|如何|设计|架构|流程|评测|规则|区别|？|\?)"
 PHRASE_FILLERS = r"(?:你们|你|我|请问|请|这个|那个|一下|怎么|如何|制定|设计|是什么|什么是|为什么|的吗|吗|呢|的|是)"
 TITLE_FILLERS = r"(?:问题|回答|请问|请|你们|你的|你|我|怎么|如何|是什么|什么是|吗|呢|的|是)"
-PERSONAL_CONTEXT_CHARS = 8_000
 PERSONAL_CONTEXT_SCOPES = ("experience", "project", "followup")
 
 # Routing

@@ -27,9 +27,9 @@ def is_profile(
     content: Column | str = "content",
     label: str = lx.PROFILE_LABEL,
     opening: str = lx.PROFILE_OPENING,
-    chars: int = lx.PROFILE_OPENING_CHARS,
 ) -> Column:
-    return tx.matches(title, label) | F.substring(tx.text_or_empty(content), 1, chars).rlike(opening)
+    """The title says so, or the pattern of an opening occurs in the content, which is searched whole."""
+    return tx.matches(title, label) | tx.text_or_empty(content).rlike(opening)
 
 
 def source_stem(source: Column | str = "source", prefix: str = lx.SOURCE_PREFIX) -> Column:

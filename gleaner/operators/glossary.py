@@ -12,8 +12,6 @@ from gleaner.functions import text as tx
 
 Entries = Iterable[tuple[str, Sequence[str]]]
 
-#: Entries beyond this go through a table join instead of a plan literal.
-LITERAL_ALIASES = 2_000
 _PLAIN_ALIAS = r"(?i)^[a-z0-9 ]+\z"
 # Private-use marker around the position of the replaced alias in the dictionary.
 _MARK_OPEN, _MARK_CLOSE = "\ue000", "\ue001"
@@ -92,15 +90,14 @@ def replace_ordered(text: Column, pairs: Column) -> Column:
 def dictionary_column(entries: Entries) -> Column:
     """A dictionary given as Python data, as one array literal in application order."""
     pairs = alias_order(entries)
-    if len(pairs) > LITERAL_ALIASES:
-        raise ValueError("pass large dictionaries as a table to normalise_with_table")
     if not pairs:
         return F.array().cast("array<struct<alias:string,term:string>>")
     return F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(t).alias("term")) for a, t in pairs])
 
 
 def normalise_terms(text: Column | str, entries: Entries) -> Column:
-    """Dictionary normalisation of a text column with a small dictionary."""
+    """Dictionary normalisation of a text column with a dictionary given as data; ``normalise_with_table`` takes one that
+    is a table."""
     return replace_ordered(tx.col(text), dictionary_column(entries))
 
 
@@ -147,12 +144,12 @@ def normalise_question(
     return normalise_terms(collapse_noise(apply_context_rules(text, rules)), [*corrections, *glossary])
 
 
-def hot_words(terms: DataFrame, term: str = "term", order: str = "ord", limit: int = lx.HOT_WORDS) -> DataFrame:
-    """Distinct trimmed non-empty terms in first-seen order, the first ``limit`` of them."""
+def hot_words(terms: DataFrame, term: str = "term", order: str = "ord", limit: int | None = None) -> DataFrame:
+    """Distinct trimmed non-empty terms with the place where each was seen first; with ``limit``, only the first so many."""
     distinct = (
         terms.select(tx.trim(tx.text_or_empty(term)).alias("term"), F.col(order).alias("ord"))
         .filter("term <> ''")
         .groupBy("term")
         .agg(F.min("ord").alias("ord"))
     )
-    return distinct.orderBy("ord", "term").limit(limit)
+    return distinct if limit is None else distinct.orderBy("ord", "term").limit(limit)

@@ -332,13 +332,12 @@ def personal_context(
     sections: DataFrame,
     key: Sequence[str] = SECTION_KEY,
     profile: Column | None = None,
-    limit: int = lx.PERSONAL_CONTEXT_CHARS,
 ) -> DataFrame:
-    """One row: the first profile section, titled and cut. Empty when the corpus has none."""
+    """One row: the first profile section, titled, whole. Empty when the corpus has none."""
     profile = annotate.is_profile() if profile is None else profile
     body = F.concat(F.lit("【"), tx.text_or_empty("title"), F.lit("】\n"), tx.text_or_empty("content"))
     first = sections.filter(profile).agg(F.min_by(body, F.struct(*key)).alias("body"))
-    return first.select(F.substring(F.coalesce("body", F.lit("")), 1, limit).alias("personal_context"))
+    return first.select(F.coalesce("body", F.lit("")).alias("personal_context"))
 
 
 def add_personal_context(questions: DataFrame, context: DataFrame) -> DataFrame:

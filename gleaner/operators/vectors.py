@@ -14,20 +14,20 @@ from pyspark.sql import types as T
 from gleaner import lexicons as lx
 from gleaner.functions import similarity
 from gleaner.functions import text as tx
-from gleaner.session import bounded_broadcast
 from gleaner.sources import vector_store
 
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 SECTION_KEY = ("doc_ord", "section_ord", "chunk_index")
+#: Query vectors that are broadcast together.
+QUERY_BLOCK = 20_000
 
 
 def embedding_text(
     retrieval: str = "retrieval_text", project: str = "project", title: str = "title", content: str = "content"
 ) -> Column:
-    """The retrieval text, else project, title and content, cut to the embedding limit."""
+    """The retrieval text, else project, title and content, whole."""
     parts = F.concat_ws("\n", *[tx.text_or_empty(c) for c in (project, title, content)])
-    kept = F.when(tx.text_or_empty(retrieval) != "", F.col(retrieval)).otherwise(parts)
-    return F.substring(kept, 1, lx.EMBEDDING_CHARS)
+    return F.when(tx.text_or_empty(retrieval) != "", F.col(retrieval)).otherwise(parts)
 
 
 def hashed_embedder(width: int = 64) -> Embedder:
@@ -47,24 +47,42 @@ def hashed_embedder(width: int = 64) -> Embedder:
     return embed
 
 
+def _mean(vectors: np.ndarray, weights: Sequence[int]) -> np.ndarray:
+    mean = np.average(vectors, axis=0, weights=weights)
+    norm = float(np.linalg.norm(mean))
+    return (mean / norm if norm else mean).astype(np.float32)
+
+
 def embed_texts(
     rows: DataFrame,
     text: str,
     make_embedder: Callable[[], Embedder] = hashed_embedder,
     batch: int = lx.EMBEDDING_BATCH,
     out: str = "embedding",
+    window: int = lx.EMBEDDING_CHARS,
 ) -> DataFrame:
-    """Add a vector column. The model is made once per task and is called with ``batch`` texts at a time."""
+    """Add a vector column. The model is made once per task and is called with ``batch`` texts at a time.
+
+    A model takes ``window`` characters; a longer text is embedded window by window, and its vector is the mean of theirs,
+    weighted by length and scaled to unit length, so that no part of it is lost.
+    """
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         embed = make_embedder()
         for frame in frames:
             texts = frame[text].fillna("").tolist()
+            parts = [[t[i : i + window] for i in range(0, max(1, len(t)), window)] for t in texts]
+            flat = [p for part in parts for p in part]
             vectors: list = []
-            for start in range(0, len(texts), batch):
-                vectors.extend(embed(texts[start : start + batch]))
-            yield frame.assign(**{out: [np.asarray(v, dtype=np.float32).tolist() for v in vectors]})
+            for start in range(0, len(flat), batch):
+                vectors.extend(embed(flat[start : start + batch]))
+            pooled, at = [], 0
+            for part in parts:
+                own = np.asarray(vectors[at : at + len(part)], dtype=np.float32)
+                at += len(part)
+                pooled.append((own[0] if len(part) == 1 else _mean(own, [len(p) for p in part])).tolist())
+            yield frame.assign(**{out: pooled})
 
     return rows.mapInPandas(run, schema)
 
@@ -87,17 +105,29 @@ def with_norm(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return vectors.withColumn("sq_norm", similarity.squared_norm(vector))
 
 
-def similarities(queries: DataFrame, vectors: DataFrame, key: Sequence[str], exclude_self: str | None = None) -> DataFrame:
-    """Cosine of every query vector with every stored vector, as one scan of the stored side per query batch.
+def similarities(
+    queries: DataFrame,
+    vectors: DataFrame,
+    key: Sequence[str],
+    exclude_self: str | None = None,
+    block_rows: int = QUERY_BLOCK,
+) -> DataFrame:
+    """Cosine of every query vector with every stored vector, as one scan of the stored side per block of queries.
 
-    ``queries`` holds ``(query_id, query_vector)``; it is a question table, and is broadcast only if its size allows.
-    The stored vectors are never moved before the top-k.
+    ``queries`` holds ``(query_id, query_vector)``. The stored vectors are never moved before the top-k; the queries are
+    broadcast, in blocks of about ``block_rows`` (by the hash of their id) where there are more.
     """
     q = queries.withColumn("q_sq", similarity.squared_norm("query_vector"))
     condition = F.lit(True) if exclude_self is None else F.col("query_id") != F.col(exclude_self)
-    paired = with_norm(vectors).join(bounded_broadcast(q), condition)
+    stored = vectors if "sq_norm" in vectors.columns else with_norm(vectors)
     score = similarity.cosine("query_vector", "embedding", F.col("q_sq"), F.col("sq_norm"))
-    return paired.select("query_id", *key, score.alias("semantic_score"))
+    blocks = max(1, -(-queries.count() // block_rows))
+    out = None
+    for block in range(blocks):
+        own = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        scored = stored.join(F.broadcast(own), condition).select("query_id", *key, score.alias("semantic_score"))
+        out = scored if out is None else out.unionByName(scored)
+    return out
 
 
 def threshold_rank(scored: DataFrame, key: Sequence[str], threshold: float = lx.SIMILARITY_THRESHOLD) -> DataFrame:
@@ -121,9 +151,11 @@ def vector_top_k(scored: DataFrame, key: Sequence[str], k: int = lx.SEMANTIC_RES
 
 
 def guard_candidates(
-    candidates: DataFrame, key: Sequence[str] = SECTION_KEY, limit: int = lx.MAX_CANDIDATE_SECTIONS
+    candidates: DataFrame, key: Sequence[str] = SECTION_KEY, limit: int | None = None
 ) -> DataFrame:
-    """First ``limit`` candidates per question in order, of those the ones with a title and a content."""
+    """Candidates with a title and a content; with ``limit``, among the first so many of each question in order."""
+    if limit is None:
+        return candidates.filter(F.col("title").isNotNull() & F.col("content").isNotNull())
     window = Window.partitionBy("query_id").orderBy(*key)
     first = candidates.withColumn("_n", F.row_number().over(window)).filter(F.col("_n") <= limit).drop("_n")
     return first.filter(F.col("title").isNotNull() & F.col("content").isNotNull())

@@ -454,7 +454,7 @@ _ANNOTATED = (
     base.CHUNK_SQL
     + rf""",
 flags AS (SELECT *, regexp_matches(title, '{_LATIN["label"]}')
-    OR regexp_matches(substr(content, 1, 220), '{_LATIN["opening"]}') AS profile,
+    OR regexp_matches(content, '{_LATIN["opening"]}') AS profile,
     regexp_replace(source, '\.(md|markdown|go)$', '') AS stem FROM sections),
 inferred AS (SELECT *, CASE WHEN profile THEN ''
     WHEN project <> '' AND NOT regexp_matches(project, '{_LATIN["generic_project"]}')

@@ -437,15 +437,14 @@ _TITLE_SQL = r"lower(regexp_replace(title, '[^A-Za-z0-9\x{4e00}-\x{9fff}]', '',
     "archived_without_twin",
     base.with_ctes(
         _FLAG_SQL,
-        f"""n AS (SELECT doc_ord, source, arch, substr({_TITLE_SQL}, 1, 5) AS t FROM flags),
+        f"""n AS (SELECT doc_ord, source, arch, {_TITLE_SQL} AS t FROM flags),
 c AS (SELECT DISTINCT source, t FROM n WHERE NOT arch AND length(t) >= 4)""",
         """SELECT doc_ord FROM n WHERE arch AND NOT EXISTS (SELECT 1 FROM c WHERE c.source = n.source AND length(n.t) >= 4
   AND (contains(c.t, n.t) OR contains(n.t, c.t)))""",
     ),
 )
 def archived_without_twin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short = F.substring(F.regexp_replace("title", "[^A-Za-z0-9\\u4e00-\\u9fff]", ""), 1, 5)
-    f = _flags(spark, sf_dir).withColumn("title", short)
+    f = _flags(spark, sf_dir)
     return policy.without_current_twin(f.filter("archive"), f.filter(~F.col("archive"))).select("doc_ord")
 
 
@@ -453,7 +452,7 @@ def archived_without_twin(spark: SparkSession, sf_dir: str) -> DataFrame:
     "personal_context",
     base.with_ctes(
         _SCOPE_SQL,
-        """ctx AS (SELECT substr('【' || title || E'】\\n' || content, 1, 8000) AS c FROM docs
+        """ctx AS (SELECT '【' || title || E'】\\n' || content AS c FROM docs
   WHERE regexp_matches(title, '^(?:The|De)') ORDER BY doc_ord LIMIT 1)""",
         """SELECT conv_id, turn, scope, CASE WHEN scope IN ('experience', 'project', 'followup') THEN c ELSE '' END AS personal_context
 FROM scoped, ctx""",

@@ -101,16 +101,15 @@ _CANDIDATE_SQL = (
     lexical_plans.PAIRS_SQL
     + rf""",
 cand AS (
-  SELECT p.query_id, p.rank, p.doc_ord, p.chunk_index, p.score, p.match_type, s.source, s.project, s.title, s.content, q.query,
-         regexp_extract(q.query, '^\S+', 0) AS short
+  SELECT p.query_id, p.rank, p.doc_ord, p.chunk_index, p.score, p.match_type, s.source, s.project, s.title, s.content, q.query
   FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_ord, chunk_index) AS rank FROM pairs) p
   JOIN s USING (doc_ord, chunk_index) JOIN q USING (query_id) WHERE rank <= 12),
 tested AS (SELECT *,
-  len(regexp_extract_all(short, '(?i)[a-z][a-z0-9_-]{{1,}}')) >= 1 AND regexp_matches(title, '{_Q_TITLE}') AND
-    len(list_filter(regexp_extract_all(short, '(?i)[a-z][a-z0-9_-]{{1,}}'),
+  len(regexp_extract_all(query, '(?i)[a-z][a-z0-9_-]{{1,}}')) >= 1 AND regexp_matches(title, '{_Q_TITLE}') AND
+    len(list_filter(regexp_extract_all(query, '(?i)[a-z][a-z0-9_-]{{1,}}'),
       lambda t: NOT regexp_matches(title, '(?i)\b' || t || '\b'))) = 0 AS explicit,
-  len(list_filter(regexp_extract_all(lower(short), '[a-z][a-z0-9_-]{{1,}}'), lambda t: NOT contains(low, t))) = 0
-    AND len(list_filter(regexp_extract_all(replace(lower(short), 'zz', ' '), '[a-z0-9]+'), lambda w: contains(low, w))) > 0 AS specific,
+  len(list_filter(regexp_extract_all(lower(query), '[a-z][a-z0-9_-]{{1,}}'), lambda t: NOT contains(low, t))) = 0
+    AND len(list_filter(regexp_extract_all(replace(lower(query), 'zz', ' '), '[a-z0-9]+'), lambda w: contains(low, w))) > 0 AS specific,
   regexp_matches(concat_ws(' ', title, content), '{_COUNT_EVIDENCE}') AS counted,
   regexp_matches(title, '{_META_TITLE}') OR regexp_matches(title || E'\n' || content, '{_META_TEXT}') AS meta
   FROM (SELECT *, lower(concat_ws(' ', title, project, content)) AS low FROM cand))"""
@@ -118,14 +117,12 @@ tested AS (SELECT *,
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical top 12 per question with the section columns; ``short`` is the first word of the question."""
+    """Lexical top 12 per question with the section columns and the question."""
     ranked = lexical.materialise(lexical.top_k(lexical_plans.pairs(spark, sf_dir), 12))
     s = lexical_plans.scored_sections(spark, sf_dir).select(
         "doc_ord", "section_ord", F.col("chunk_index").cast("long").alias("chunk_index"), "source", "project", "title", "content"
     )
-    q = lexical_plans.question_features(spark, sf_dir).select(
-        "query_id", F.regexp_extract("query", r"^\S+", 0).alias("short")
-    )
+    q = lexical_plans.question_features(spark, sf_dir).select("query_id", "query")
     return ranked.drop("section_ord").join(s, ["doc_ord", "chunk_index"]).join(q, "query_id")
 
 
@@ -135,7 +132,7 @@ def _specific(query: str) -> F.Column:
 
 @query("explicit_titles", base.with_ctes(_CANDIDATE_SQL, "SELECT query_id, doc_ord, chunk_index FROM tested WHERE explicit"))
 def explicit_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = candidates(spark, sf_dir).filter(routing.explicit_title("short", "title", _Q_TITLE))
+    c = candidates(spark, sf_dir).filter(routing.explicit_title("query", "title", _Q_TITLE))
     return c.select("query_id", "doc_ord", "chunk_index")
 
 
@@ -144,7 +141,7 @@ def explicit_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     base.with_ctes(_CANDIDATE_SQL, "SELECT query_id, doc_ord, chunk_index, specific FROM tested"),
 )
 def specific_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates(spark, sf_dir).select("query_id", "doc_ord", "chunk_index", _specific("short").alias("specific"))
+    return candidates(spark, sf_dir).select("query_id", "doc_ord", "chunk_index", _specific("query").alias("specific"))
 
 
 @query(
@@ -201,13 +198,12 @@ def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = lexical_plans.question_features(spark, sf_dir).select(
         "query_id", "query", F.lit(False).alias("allow_overview")
     )
-    shorts = q.withColumn("short", F.regexp_extract("query", r"^\S+", 0))
     never = {name: F.lit(False) for name in ("q_own_overview", "q_profile", "q_practice", "q_zero_to_one", "q_scenario")}
     never.update({"q_technology": F.lit(False), "q_overview": F.lit(False), "q_count": F.col("query").rlike("(?i)ndhe")})
     return routing.route(
-        shorts,
-        c.drop("short"),
-        query="short",
+        q,
+        c.drop("query"),
+        query="query",
         predicates=never,
         metadata=routing.is_metadata(title_rule=_META_TITLE, text_rule=_META_TEXT),
         profile=F.lit(False),

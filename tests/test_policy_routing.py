@@ -189,7 +189,7 @@ def test_personal_context(spark):
     context = policy.personal_context(s)
     q = spark.createDataFrame([(1, "project"), (2, "general")], "query_id int, scope string")
     got = {r.query_id: r.personal_context for r in policy.add_personal_context(q, context).collect()}
-    assert got[2] == "" and len(got[1]) == 8000 and got[1].startswith("【自我介绍】\nzz")
+    assert got[2] == "" and len(got[1]) == 9007 and got[1].startswith("【自我介绍】\nzz")
 
 
 CANDIDATE = (
