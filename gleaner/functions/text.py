@@ -118,12 +118,15 @@ def substitute(c: Column, pattern: str, rewrite: Callable[[Column], Column]) ->
     """Rewrite every match of ``pattern`` with a column expression, inside the row.
 
     Matches are fenced with noncharacters, the text is split on them, and the odd pieces are rewritten. This stays a
-    JVM expression and needs neither a Python callback nor a shuffle.
+    JVM expression and needs neither a Python callback nor a shuffle. The text is bound once, so that chains of rewrites
+    stay as long as the sum of their steps.
     """
-    marked = F.regexp_replace(c, f"({pattern})", f"{_OPEN}$1{_CLOSE}")
-    parts = F.split(marked, f"[{_OPEN}{_CLOSE}]")
-    done = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, rewrite(p)).otherwise(p)), "")
-    return F.when(c.rlike(pattern), done).otherwise(c)
+
+    def build(t: Column) -> Column:
+        parts = F.split(F.regexp_replace(t, f"({pattern})", f"{_OPEN}$1{_CLOSE}"), f"[{_OPEN}{_CLOSE}]")
+        return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, rewrite(p)).otherwise(p)), "")
+
+    return let(c, lambda t: F.when(t.rlike(pattern), build(t)).otherwise(t))
 
 
 def quote(literal: str) -> str:
