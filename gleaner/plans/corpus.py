@@ -194,7 +194,18 @@ def markup_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", markup.plain_text("html").alias("body"))
 
 
-@query("markup_tables")
+_CELL = r"trim(regexp_replace(regexp_replace(regexp_replace({}, '<[^>]+>', '', 'g'), '(?i)&nbsp;', ' ', 'g'), '\s{{2,}}', ' ', 'g'))"
+
+
+@query(
+    "markup_tables",
+    rf"""
+WITH nav AS (SELECT page_id, html, regexp_extract(html, '<nav><ul>[\s\S]*?</ul></nav>') AS block FROM pages),
+cells AS (SELECT *, list_transform(regexp_extract_all(block, '<li>([\s\S]*?)</li>', 1), lambda x: {_CELL.format("x")}) AS c FROM nav)
+SELECT page_id, CASE WHEN block = '' THEN html ELSE replace(html, block, CASE WHEN len(list_filter(c, lambda x: x <> '')) = 0 THEN ''
+  ELSE '| ' || array_to_string(c, ' | ') || E' |\n| ' || array_to_string(list_transform(c, lambda x: '---'), ' | ') || ' |' END)
+  END AS body FROM cells""",
+)
 def markup_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Navigation lists rewritten as HTML tables, then to pipe tables in place."""
     html = F.regexp_replace("html", "<nav><ul>", "<table><tr>")
@@ -204,7 +215,29 @@ def markup_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", markup.html_tables(html).alias("body"))
 
 
-@query("markup_pipe_tables")
+#: Lines that hold pipes, in runs; every one brings its divider (kept as a row but for a run's first) and a short row.
+_PIPE_SQL = rf"""
+WITH lines AS (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line
+               FROM (SELECT doc_id, string_split(text, E'\n') AS l FROM documents)),
+marked AS (SELECT *, contains(line, '|') AS piped, pos - sum(contains(line, '|')::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS run
+           FROM lines),
+piped AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY pos) AS nth,
+  list_transform(string_split(regexp_replace(regexp_replace(trim('| ' || line || ' |'), '^\|', ''), '\|$', ''), '|'),
+    lambda x: {_CELL.format("x")}) AS cells FROM marked WHERE piped),
+drawn AS (SELECT doc_id, run, pos, k, cells FROM (
+  SELECT doc_id, run, pos, nth, unnest([0, 1, 2]) AS k, unnest([cells, ['---', '---'], ['x']]) AS cells FROM piped) WHERE NOT (nth = 1 AND k = 1)),
+wide AS (SELECT doc_id, run, max(len(cells)) AS w FROM drawn WHERE len(list_filter(cells, lambda x: x <> '')) > 0 GROUP BY ALL),
+tables AS (
+  SELECT doc_id, run, string_agg('| ' || array_to_string(list_concat(cells, list_transform(range(w - len(cells)), lambda x: '')), ' | ') || ' |'
+    || CASE WHEN n = 1 THEN E'\n| ' || array_to_string(list_transform(range(w), lambda x: '---'), ' | ') || ' |' ELSE '' END, E'\n' ORDER BY n) AS body
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY pos, k) AS n FROM drawn JOIN wide USING (doc_id, run)
+        WHERE len(list_filter(cells, lambda x: x <> '')) > 0) GROUP BY ALL),
+pieces AS (SELECT doc_id, pos, line AS body FROM marked WHERE NOT piped
+  UNION ALL SELECT doc_id, (SELECT min(pos) FROM piped p WHERE p.doc_id = t.doc_id AND p.run = t.run), body FROM tables t)
+SELECT doc_id, string_agg(body, E'\n' ORDER BY pos) AS body FROM pieces GROUP BY doc_id"""
+
+
+@query("markup_pipe_tables", _PIPE_SQL)
 def markup_pipe_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document lines that hold pipes, framed as table rows and re-padded."""
     framed = F.regexp_replace("text", r"(?m)^([^|\n]*\|[^\n]*)$", "| $1 |\n|---|---|\n| x |")
@@ -283,7 +316,15 @@ def diagram_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.select("doc_id", "pos", (F.col("edge") + 1).cast("long").alias("edge"), "e.src", "e.dst")
 
 
-@query("diagram_text")
+@query(
+    "diagram_text",
+    base.with_ctes(
+        _DIAGRAM_SQL,
+        """SELECT doc_id, pos, array_to_string(list_concat(['图示文字说明：'],
+  list_transform(list_filter(w, lambda x, i: list_position(w, x) = i), lambda x: '- 节点：' || upper(x)),
+  list_transform(range(1, len(w)), lambda i: '- 链路：' || upper(w[i]) || ' → ' || upper(w[i + 1]))), E'\\n') AS body FROM words""",
+    ),
+)
 def diagram_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _diagrams(spark, sf_dir)
     return d.select("doc_id", "pos", markup.diagram_text(F.col("diagram")).alias("body"))

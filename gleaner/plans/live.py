@@ -69,11 +69,22 @@ def frame_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.select("event_id", "gap_ms", "stale")
 
 
-@query("throttled_rebuilds")
+@query(
+    "throttled_rebuilds",
+    """
+WITH RECURSIVE stale AS (SELECT user_id, ts, gap_ms FROM (
+  SELECT user_id, ts, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) // 1000 AS gap_ms FROM events)
+  WHERE gap_ms > 3600000),
+kept AS (SELECT user_id, min(ts) AS ts FROM stale GROUP BY user_id
+  UNION ALL SELECT k.user_id, min(s.ts) FROM kept k JOIN stale s ON s.user_id = k.user_id AND s.ts > k.ts + INTERVAL 24 HOURS
+  GROUP BY k.user_id, k.ts)
+SELECT user_id, epoch_us(ts) AS at, gap_ms FROM stale JOIN kept USING (user_id, ts)""",
+)
 def throttled_rebuilds(spark: SparkSession, sf_dir: str) -> DataFrame:
     gaps = sessions.frame_gaps(events(spark, sf_dir), ["user_id"], "ts", 3600_000)
     stale = gaps.filter("stale").select("user_id", "ts", "gap_ms")
-    return sessions.throttle(stale, ["user_id"], "ts", 24 * 3600_000)
+    kept = sessions.throttle(stale, ["user_id"], "ts", 24 * 3600_000)
+    return kept.select("user_id", F.unix_micros("ts").alias("at"), "gap_ms")
 
 
 @query(
@@ -209,6 +220,32 @@ def gate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.gate_events(_capture_events(spark, sf_dir)).select("seq", "session_id", "capture_id")
 
 
+#: The capture's state folded over its live events: waits after a stop, ends once.
+_OUTCOME_SQL = """
+WITH e AS (SELECT event_id, user_id, event_type, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) - CASE WHEN value > 60 THEN 1 ELSE 0 END AS capture_id FROM events),
+live AS (SELECT * FROM (SELECT *, max(capture_id) OVER (PARTITION BY user_id ORDER BY event_id) AS cur,
+           max(capture_id) OVER (PARTITION BY user_id) AS newest FROM e) WHERE capture_id = cur),
+steps AS (SELECT user_id, capture_id, capture_id < newest AS replaced, list({'kind': CASE event_type WHEN 'signup' THEN 'stop'
+    WHEN 'error' THEN 'closed' ELSE 'result' END, 'fin': event_type = 'purchase', 'waiting': false, 'done': false, 'said': false,
+    'reason': ''} ORDER BY event_id) AS l FROM live GROUP BY ALL),
+ended AS (SELECT user_id, capture_id, replaced, list_reduce(list_prepend({'kind': '', 'fin': false, 'waiting': false, 'done': false,
+    'said': false, 'reason': ''}, l), lambda a, b: {'kind': '', 'fin': false,
+  'waiting': CASE WHEN b.kind = 'stop' THEN NOT a.done WHEN b.kind = 'closed' THEN false ELSE a.waiting AND NOT b.fin END,
+  'done': a.done OR (b.kind = 'closed' AND (NOT a.waiting OR a.said)) OR (b.kind = 'result' AND b.fin AND a.waiting),
+  'said': a.said OR b.kind = 'result',
+  'reason': CASE WHEN a.done THEN a.reason WHEN b.kind = 'closed' AND a.waiting AND a.said THEN 'closed'
+    WHEN b.kind = 'result' AND b.fin AND a.waiting THEN 'final' ELSE a.reason END}) AS s FROM steps)
+SELECT user_id AS session_id, capture_id, reason FROM (
+  SELECT *, CASE WHEN s.reason <> '' THEN s.reason WHEN s.waiting AND s.said AND NOT s.done THEN
+    CASE WHEN replaced THEN 'superseded' ELSE 'timeout' END END AS reason FROM ended) WHERE reason IS NOT NULL"""
+
+
+@query("capture_outcomes", _OUTCOME_SQL)
+def capture_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which captures are submitted, and why."""
+    return transcripts.fold_captures(_capture_events(spark, sf_dir)).select("session_id", "capture_id", "reason")
+
+
 @query("fold_captures")
 def fold_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.fold_captures(_capture_events(spark, sf_dir))

@@ -201,16 +201,32 @@ def display_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("body", turns.clean_marks("body"))
 
 
-@query("display_form")
+@query(
+    "display_form",
+    r"""SELECT conv_id, turn, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')),
+  '[\s，,。.、:：;；''"“”‘’()（）_-]+$', '') AS body FROM conversations""",
+)
 def display_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole display clean-up with Unicode folding and doubled sentences."""
     rows = conversations(spark, sf_dir).select("conv_id", "turn", F.concat("text", F.lit(" "), "text").alias("body"))
     return turns.clean_display(rows, "body")
 
 
-@query("collapse_repeats")
+_AROUND = r"[\x{4e00}-\x{9fff}，。！？?、\s]"
+
+
+@query(
+    "collapse_repeats",
+    # Without look-around: separators are doubled, so that each side of a single letter has its own, and halved again.
+    rf"""
+WITH p AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(text), '\s{{2,}}', ' ', 'g'),
+  'the(?:\s*the)+', 'the', 'g'), 'and(?:\s*and)+', 'and', 'g'), 'que(?:\s*que)+', 'que', 'g') AS t FROM conversations),
+d AS (SELECT conv_id, turn, regexp_replace(regexp_replace(t, '({_AROUND})', '\1\1', 'g'),
+  '(?i)({_AROUND})[a-z]({_AROUND})', '\1\2', 'g') AS t FROM p)
+SELECT conv_id, turn, trim(regexp_replace(regexp_replace(t, '({_AROUND}){_AROUND}', '\1', 'g'), '\s{{2,}}', ' ', 'g')) AS body FROM d""",
+)
 def collapse_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    phrases = (r"\bthe", r"\band", r"\bque")
+    phrases = ("the", "and", "que")
     return conversations(spark, sf_dir).select("conv_id", "turn", turns.collapse_repeats("text", phrases).alias("body"))
 
 
