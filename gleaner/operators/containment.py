@@ -79,14 +79,19 @@ def contains_join(
 
     Both inputs should hold distinct strings; join wide rows back by string afterwards. ``sizes`` are the gram sizes
     that occur among the needles (3 stands for three or more) and ``small`` names the side whose size is checked for a
-    broadcast. A needle carries a single gram, so a gram found in a third of all haystacks costs that many probes and
-    never a product of two large groups; without a broadcast AQE splits the hot gram.
+    broadcast. A gram row holds the haystack's 128-bit id, not its text; texts come back by id for the candidates alone,
+    where the containment is checked. A needle carries a single gram, so a gram found in a third of all haystacks costs
+    that many probes and never a product of two large groups; without a broadcast AQE splits the hot gram.
     """
-    left = haystacks.withColumn("_gram", F.explode(all_grams(F.col(haystack), sizes)))
+    text = F.col(haystack)
+    named = haystacks.withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.reverse(text))})
+    left = named.select("_h1", "_h2", F.explode(all_grams(text, sizes)).alias("_gram"))
     right = needles.filter(F.length(needle) >= min(sizes))
     if small == "needles" and max(sizes) == GRAM:
         right = bounded_broadcast(anchor_by_rarity(right, needle))
     else:
         right = right.withColumn("_gram", anchor(F.col(needle), max(sizes)))
         left = bounded_broadcast(left)
-    return left.join(right, "_gram").filter(F.contains(F.col(haystack), F.col(needle))).drop("_gram")
+    candidates = left.join(right, "_gram").drop("_gram")
+    found = candidates.join(named, ["_h1", "_h2"]).filter(F.contains(F.col(haystack), F.col(needle)))
+    return found.drop("_h1", "_h2")

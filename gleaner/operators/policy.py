@@ -11,7 +11,6 @@ from gleaner import lexicons as lx
 from gleaner.functions import text as tx
 from gleaner.operators import annotate, ordered, turns
 from gleaner.operators.containment import contains_join
-from gleaner.session import bounded_broadcast
 
 SECTION_KEY = ("doc_ord", "section_ord", "chunk_index")
 
@@ -170,13 +169,17 @@ def normal_title(title: Column | str, synonyms: Sequence[tuple[str, str]] = lx.S
 def without_current_twin(archived: DataFrame, current: DataFrame, key: Sequence[str] = SECTION_KEY) -> DataFrame:
     """Archived rows with no current row of the same source asking the same question (one title containing the other).
 
-    Compared on distinct ``(source, title)``: an anti join on source with the containment as its extra condition.
+    Titles that contain one another are found on distinct titles by grams, whatever their source, so a source with very
+    many titles is no product of its rows; the source is compared on the hits.
     """
     a = archived.withColumn("_t", normal_title("title"))
     c = current.select("source", normal_title("title").alias("_c")).filter(F.length("_c") >= 4).distinct()
     titles = a.filter(F.length("_t") >= 4).select("source", "_t").distinct()
-    twin = (titles["source"] == c["source"]) & (F.contains(titles["_t"], c["_c"]) | F.contains(c["_c"], titles["_t"]))
-    twins = titles.join(c, twin, "left_semi")
+    old, new = titles.select("_t").distinct(), c.select("_c").distinct()
+    wider = contains_join(old, new, "_t", "_c", sizes=(3,)).select("_t", "_c")
+    narrower = contains_join(new, old, "_c", "_t", sizes=(3,)).select("_t", "_c")
+    alike = wider.unionByName(narrower).distinct()
+    twins = titles.join(alike, "_t").join(c, ["source", "_c"], "left_semi").select("source", "_t").distinct()
     return a.join(twins, ["source", "_t"], "left_anti").drop("_t")
 
 
@@ -308,7 +311,7 @@ def select_materials(
         }
     )
     explicit = rows.filter("_explicit").select("query_id").distinct().withColumn("_has_explicit", F.lit(True))
-    rows = rows.join(bounded_broadcast(explicit), "query_id", "left")
+    rows = rows.join(explicit, "query_id", "left")
     has_explicit = F.coalesce(F.col("_has_explicit"), F.lit(False))
     general = (
         F.when(F.col("_any_methodology"), (F.col("_eligible") & F.col("is_methodology")) | F.col("_explicit"))

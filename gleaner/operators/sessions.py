@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,12 +25,18 @@ def silence_sessions(
     complete_ms: int = lx.COMPLETE_DELAY_MS,
     forced_ms: int = lx.FORCED_COMMIT_MS,
     aggregates: Sequence[Column] = (),
+    block: Column | None = None,
 ) -> DataFrame:
     """Sessions ended by silence: a short gap after a complete text, a long one otherwise.
 
-    Works on a stream with a watermark on ``ts`` as well. ``spark.sql.sessionWindow.merge.sessions.in.local.partition``
-    merges sessions before the shuffle when a key is hot.
+    Works on a stream with a watermark on ``ts`` as well. With ``block`` (of the order of ``ts``, a day for example) a
+    batch is cut into blocks, so that the rows of a hot key are spread over its blocks and its sessions.
     """
+    if block is not None:
+        ends = F.col(ts) + F.when(complete, F.expr(f"make_dt_interval(0, 0, 0, {complete_ms} / 1000.0)")).otherwise(
+            F.expr(f"make_dt_interval(0, 0, 0, {forced_ms} / 1000.0)")
+        )
+        return _islands(events, key, ts, ends, "committed", aggregates, block)
     gap = F.when(complete, _gap(complete_ms)).otherwise(_gap(forced_ms))
     window = F.session_window(F.col(ts), gap).alias("session")
     grouped = events.groupBy(*key, window).agg(F.count(F.lit(1)).alias("n"), *aggregates)
@@ -46,8 +52,12 @@ def voice_sessions(
     voiced: Column,
     silence_ms: int = lx.SILENCE_MS,
     aggregates: Sequence[Column] = (),
+    block: Column | None = None,
 ) -> DataFrame:
-    """Submissions of a capture: any voice, then a fixed silence since the last voiced row."""
+    """Submissions of a capture: any voice, then a fixed silence since the last voiced row. ``block`` as above."""
+    if block is not None:
+        ends = F.col(ts) + F.expr(f"make_dt_interval(0, 0, 0, {silence_ms} / 1000.0)")
+        return _islands(events.filter(voiced), key, ts, ends, "submitted", aggregates, block)
     grouped = events.filter(voiced).groupBy(*key, F.session_window(F.col(ts), _gap(silence_ms)).alias("session"))
     summed = grouped.agg(F.count(F.lit(1)).alias("n"), *aggregates)
     return summed.select(
@@ -55,6 +65,31 @@ def voice_sessions(
     )
 
 
+def _islands(
+    events: DataFrame, key: Sequence[str], ts: str, ends: Column, out: str, aggregates: Sequence[Column], block: Column
+) -> DataFrame:
+    """Rows whose stretches ``[ts, ends)`` touch, as one row each: an island opens where no earlier stretch is still open.
+
+    The highest end so far and the latest opening so far are blocked running maxima; islands are then pre-aggregated.
+    """
+    inside = Window.partitionBy(*key, "_block").orderBy(ts).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    blocked = events.withColumn("_end", ends).withColumn("_block", block)
+    # Rows of one time are one row for this purpose: an earlier end is the end of a strictly earlier row.
+    near = blocked.withColumn("_peak", F.max("_end").over(inside))
+    tops = blocked.groupBy(*key, "_block").agg(F.max("_end").alias("_top"))
+    across = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    halo = tops.withColumn("_halo", F.max("_top").over(across)).drop("_top")
+    joined = near.join(halo, [*key, "_block"])
+    times = joined.groupBy(*key, "_block", ts).agg(F.max("_peak").alias("_peak"), F.first("_halo").alias("_halo"))
+    step = Window.partitionBy(*key, "_block").orderBy(ts)
+    open_until = F.greatest(F.lag("_peak").over(step), F.col("_halo"))
+    opened = times.withColumn("_open", F.when(open_until.isNull() | (F.col(ts) >= open_until), F.col(ts)))
+    found = ordered.running_max(opened.select(*key, ts, "_open", F.col("_block").alias("_b")), list(key), ts, "_open", "_island", block=F.col("_b"))
+    summed = blocked.join(found.select(*key, ts, "_island"), [*key, ts]).groupBy(*key, "_island")
+    made = summed.agg(F.max("_end").alias(out), F.count(F.lit(1)).alias("n"), *aggregates)
+    return made.select(*key, F.col("_island").alias("started"), out, "n", *made.columns[len(key) + 3 :])
+
+
 def frame_gaps(
     frames: DataFrame, key: Sequence[str], ts: str, gap_ms: int = lx.FRAME_GAP_MS, block: Column | None = None
 ) -> DataFrame:
@@ -73,18 +108,26 @@ def frame_gaps(
 def throttle(alarms: DataFrame, key: Sequence[str], ts: str, every_ms: int = lx.RECOVERY_MS) -> DataFrame:
     """Keep an alarm only if more than ``every_ms`` passed since the last one kept for its key.
 
-    The decision depends on the one before, so rows are folded in order within their key: partitioned and sorted by
-    Spark, streamed through one small state per key.
+    An alarm that comes more than ``every_ms`` after the alarm before it is kept in any case, so what lies between two such
+    alarms is decided on its own. Those runs, not the keys, are partitioned and sorted by Spark and streamed through one
+    small state; they are found by a look at the previous row and a running maximum, both blocked.
     """
     partitions = int(alarms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    routed = alarms.repartition(partitions, *key).sortWithinPartitions(*key, ts)
+    day = F.date_trunc("day", F.col(ts))
+    before = ordered.previous_rows(alarms, list(key), ts, F.col(ts), 1, "_before", block=day)
+    micros = F.unix_micros(F.col(ts)) - F.unix_micros(F.try_element_at(F.col("_before"), F.lit(1)))
+    opens = before.withColumn("_open", F.when(micros.isNull() | (micros > every_ms * 1000), F.col(ts))).drop("_before")
+    runs = ordered.running_max(opens, list(key), ts, "_open", "_run", block=day)
+    runs = runs.select(*alarms.columns, "_run")
+    routed = runs.repartition(partitions, *key, "_run").sortWithinPartitions(*key, "_run", ts)
+    names = [*key, "_run", ts]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, last = None, None
         wait = pd.Timedelta(milliseconds=every_ms)
         for frame in batches:
             keep = []
-            for values in frame[[*key, ts]].itertuples(index=False):
+            for values in frame[names].itertuples(index=False):
                 name, at = tuple(values[:-1]), values[-1]
                 if name != current:
                     current, last = name, None
@@ -92,7 +135,7 @@ def throttle(alarms: DataFrame, key: Sequence[str], ts: str, every_ms: int = lx.
                 if ok:
                     last = at
                 keep.append(ok)
-            yield frame[pd.Series(keep, index=frame.index, dtype=bool)]
+            yield frame[pd.Series(keep, index=frame.index, dtype=bool)].drop(columns="_run")
 
     return routed.mapInPandas(run, alarms.schema)
 

@@ -38,6 +38,7 @@ def silence_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         _SHORT,
         _LONG,
         [F.round(F.sum("value"), 2).alias("total")],
+        block=F.date_trunc("day", "ts"),
     )
     return s.select(
         "user_id", F.unix_micros("started").alias("started"), F.unix_micros("committed").alias("committed"), "n", "total"
@@ -55,7 +56,7 @@ GROUP BY user_id, s""",
     ),
 )
 def voice_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sessions.voice_sessions(events(spark, sf_dir), ["user_id"], "ts", F.col("value") > 30, 5 * 3600_000)
+    s = sessions.voice_sessions(events(spark, sf_dir), ["user_id"], "ts", F.col("value") > 30, 5 * 3600_000, block=F.date_trunc("day", "ts"))
     return s.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("submitted").alias("submitted"), "n")
 
 
