@@ -231,11 +231,13 @@ def is_eligible(scope: Column | str = "scope") -> Column:
     return ((c == "all") & ~F.col("superseded_all")) | ((c == "np") & ~F.col("is_profile") & ~F.col("superseded_np"))
 
 
-def explicit_archive_answer(query: Column | str, title: Column | str, archive: Column | str = "archive") -> Column:
+def explicit_archive_answer(
+    query: Column | str, title: Column | str, archive: Column | str = "archive", question_title: str = lx.QUESTION_TITLE
+) -> Column:
     """An archived row whose title is what the question asks."""
     words = F.regexp_extract_all(tx.text_or_empty(query), F.lit(r"(?iu)[a-z][a-z0-9_-]{1,}"), 0)
     hit = F.exists(words, lambda w: F.rlike(tx.text_or_empty(title), _whole_word(w)))
-    return tx.col(archive) & (phrase_in_title(query, title) | (hit & tx.matches(title, lx.QUESTION_TITLE)))
+    return tx.col(archive) & (phrase_in_title(query, title) | (hit & tx.matches(title, question_title)))
 
 
 def _whole_word(term: Column) -> Column:
@@ -261,6 +263,7 @@ def select_materials(
     trend_question: Column | None = None,
     direct_question: Column | None = None,
     dedupe: bool = False,
+    question_title: str = lx.QUESTION_TITLE,
 ) -> DataFrame:
     """Keep the (question, section) pairs whose section the question may use.
 
@@ -293,7 +296,7 @@ def select_materials(
 
     scope = F.col("scope")
     rows = pairs.join(lone, list(key), "left").join(F.broadcast(exists))
-    archive_answer = explicit_archive_answer(query, "title")
+    archive_answer = explicit_archive_answer(query, "title", question_title=question_title)
     rows = rows.withColumns(
         {
             "_eligible": is_eligible(),

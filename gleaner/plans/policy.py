@@ -446,9 +446,78 @@ def eligible_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flags(spark, sf_dir).withColumn("scope", scopes).filter(policy.is_eligible()).select("scope", "doc_ord")
 
 
+# -- materials: every scope with every kind of question over all sections ----------------------------------------------
+
+_KINDS = ("plain", "practice", "trend", "direct")
+_ASKED = "the of and die que una"
+_RICH = {"practice": r"and [a-z]+ing ", "trend": r" tion", "technology": r"^(?:En|La)"}
+_ASKED_TITLE = r"(?i)th|de|qu"
+
+
+def _materials(name: str, methodology: str) -> None:
+    words = "|".join(_ASKED.split())
+
+    @query(
+        name,
+        base.with_ctes(
+            base.SECTION_SQL,
+            rf"""b AS (SELECT *, regexp_matches(source, '^src1[0-4]') OR archive AS arch, regexp_matches(title, '^(?:The|De)') AS is_profile,
+  regexp_matches(title || E'\n' || content, '{_RICH["practice"]}') AS practising,
+  regexp_matches(title || E'\n' || content, '{_RICH["trend"]}') AS is_trend, regexp_matches(title, '{_RICH["technology"]}') AS is_technology
+  FROM docs WHERE NOT regexp_matches(source, '^src19') AND project <> 'es')""",
+            """cur AS (SELECT source, max((NOT is_profile)::INT) AS np FROM b WHERE NOT arch GROUP BY source)""",
+            f"""f AS (SELECT b.*, arch AND np IS NOT NULL AS superseded_all, arch AND coalesce(np, 0) = 1 AS superseded_np,
+  is_profile OR practising AS is_practice, regexp_matches(source, '{methodology}') AND NOT arch AS is_methodology,
+  {_TITLE_SQL} AS t FROM b LEFT JOIN cur USING (source))""",
+            """seen AS (SELECT bool_or(NOT superseded_all AND is_practice) AS practice,
+  bool_or(NOT is_profile AND NOT superseded_np AND is_trend) AS trend,
+  bool_or(NOT is_profile AND NOT superseded_np AND is_methodology) AS methodology FROM f)""",
+            """c AS (SELECT DISTINCT source, t FROM f WHERE NOT is_profile AND NOT arch AND length(t) >= 4)""",
+            rf"""r AS (SELECT s.scope, k.kind, f.*, seen.practice, seen.trend, seen.methodology,
+  CASE WHEN scope = 'product' THEN false WHEN scope IN ('general', 'project', 'followup') THEN NOT is_profile AND NOT superseded_np
+    ELSE NOT superseded_all END AS eligible,
+  arch AND regexp_matches(title, '(?i)(^|[^A-Za-z0-9_])({words})([^A-Za-z0-9_]|$)') AND regexp_matches(title, '{_ASKED_TITLE}') AS answer,
+  NOT EXISTS (SELECT 1 FROM c WHERE c.source = f.source AND length(f.t) >= 4 AND (contains(c.t, f.t) OR contains(f.t, c.t))) AS lone
+  FROM f, seen, (SELECT unnest({list(policy.lx.SCOPES)}) AS scope) s, (SELECT unnest({list(_KINDS)}) AS kind) k)""",
+            """e AS (SELECT *, scope = 'general' AND NOT is_profile AND answer AND lone AS explicit,
+  scope IN ('project', 'followup') AND kind = 'direct' AND NOT is_profile AND arch AND (answer OR is_technology) AS again FROM r)""",
+            """h AS (SELECT *, bool_or(explicit) OVER (PARTITION BY scope, kind) AS any_explicit FROM e)""",
+            """o AS (SELECT *, CASE WHEN scope = 'experience' AND kind = 'practice' AND practice THEN eligible AND is_practice
+  WHEN scope = 'general' AND kind = 'trend' AND trend THEN eligible AND is_trend
+  WHEN scope = 'general' AND methodology THEN (eligible AND is_methodology) OR explicit
+  WHEN scope = 'general' AND any_explicit THEN explicit ELSE eligible END AS once FROM h)""",
+            """SELECT scope, kind, doc_ord, once::INT + again::INT AS copies FROM o WHERE once OR again""",
+        ),
+    )
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = base.document_sections(spark, sf_dir).withColumns(
+            {
+                "chunk_index": F.lit(0),
+                "archive": F.col("archive") | F.col("source").rlike("^src1[0-4]"),
+                "source_type": F.when(F.col("project") == "es", "skill").otherwise("knowledge"),
+            }
+        )
+        profile = F.col("title").rlike("^(?:The|De)")
+        flags = policy.section_flags(d, "^src19", profile, methodology, **_RICH)
+        asked = flags.withColumns(
+            {
+                "scope": F.explode(F.array(*map(F.lit, policy.lx.SCOPES))),
+                "query": F.lit(_ASKED),
+            }
+        ).withColumn("kind", F.explode(F.array(*map(F.lit, _KINDS))))
+        asked = asked.withColumn("query_id", F.concat_ws("-", "scope", "kind"))
+        kinds = {f"{k}_question": F.col("kind") == k for k in _KINDS[1:]}
+        kept = policy.select_materials(asked, flags, question_title=_ASKED_TITLE, **kinds)
+        return kept.groupBy("scope", "kind", "doc_ord").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+
+
 _TITLE_SQL = r"lower(regexp_replace(title, '[^A-Za-z0-9\x{4e00}-\x{9fff}]', '', 'g'))"
 
 
+_materials("answer_materials", "^none")
+_materials("answer_materials_by_method", r"^src2\.")
+
+
 @query(
     "archived_without_twin",
     base.with_ctes(

@@ -26,6 +26,19 @@ NAMES = (
     "resample_signal",
     "gate_events",
     "assemble_answers",
+    "answer_materials",
+    "answer_materials_by_method",
+    "archived_without_twin",
+    "capture_outcomes",
+    "collapse_repeats",
+    "cosine_similarity",
+    "diagram_text",
+    "display_form",
+    "embed_sections",
+    "markup_pipe_tables",
+    "markup_tables",
+    "throttled_rebuilds",
+    "voice_sessions",
 )
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables are not here")
 
