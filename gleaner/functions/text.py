@@ -65,12 +65,15 @@ def squeeze(c: Column | str) -> Column:
     """Collapse every blank run to one space and trim.
 
     The single Unicode property is the fast path; the exact class is used only where a text holds U+0085, which the
-    property counts as blank and this data model does not.
+    property counts as blank and this data model does not. Single spaces, which stay as they are, are not matched.
     """
-    c = col(c)
-    fast = F.regexp_replace(F.replace(c, F.lit("\ufeff"), F.lit(" ")), r"(?U)\s+", " ")
-    exact = F.regexp_replace(c, f"[{BLANKS}]+", " ")
-    return trim(F.when(F.contains(c, F.lit("\u0085")), exact).otherwise(fast))
+
+    def build(t: Column) -> Column:
+        fast = F.regexp_replace(F.replace(t, F.lit("\ufeff"), F.lit(" ")), r"(?U)\s{2,}|[^\S ]", " ")
+        exact = F.regexp_replace(t, f"[{BLANKS}]+", " ")
+        return trim(F.when(F.contains(t, F.lit("\u0085")), exact).otherwise(fast))
+
+    return let(col(c), build)
 
 
 def matches(c: Column | str, pattern: str) -> Column:
