@@ -12,7 +12,10 @@ which leaves k rows per task and question to exchange.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -231,6 +234,35 @@ def top_k(pairs: DataFrame, k: int, key: Sequence[str] = SECTION_KEY, score: str
     return pairs.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
+def local_best(pairs: DataFrame, limits: Sequence[tuple[str, int]], key: Sequence[str] = SECTION_KEY) -> DataFrame:
+    """The pairs that may be among the best by any of ``limits`` (score column, k): per task and question, the k best of
+    each, ties by key. A task holds at most the best rows so far and one batch, so all pairs pass through and few leave.
+    """
+
+    def prune(table: pa.Table) -> pa.Table:
+        question = table["query_id"].to_numpy()
+        ties = [table[c].to_numpy() for c in reversed(key)]
+        keep = np.zeros(table.num_rows, bool)
+        for score, k in limits:
+            order = np.lexsort((*ties, -table[score].to_numpy(), question))
+            own = question[order]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            rank = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
+            keep[order[rank < k]] = True
+        return table.filter(pa.array(keep))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                new = pa.Table.from_batches([batch])
+                held = prune(new if held is None else pa.concat_tables([held, new]))
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    return pairs.mapInArrow(run, pairs.schema)
+
+
 def search(
     features: DataFrame,
     sections: DataFrame,

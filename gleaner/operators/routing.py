@@ -393,7 +393,7 @@ def prompt_requests(
         F.concat(F.lit("template:\n"), tx.clip("template", limits["template"])),
     )
     message = F.array(
-        F.struct(F.lit("system").alias("role"), F.lit(system[: limits["rules"]]).alias("content")),
+        F.struct(F.lit("system").alias("role"), tx.clip(F.lit(system), limits["rules"]).alias("content")),
         F.struct(F.lit("user").alias("role"), F.col("user").alias("content")),
     )
     fields = [

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import sectioning
 from gleaner.plans.registry import table
+from gleaner.session import bounded_broadcast
 
 DELIMS = "。！？；!?;"
 
@@ -86,8 +87,12 @@ def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sectioning.explode_chunks(document_sections(spark, sf_dir))
+def chunk_sections(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """Chunks of all documents, or of those whose ``doc_ord`` is in ``only``."""
+    docs = document_sections(spark, sf_dir)
+    if only is not None:
+        docs = docs.join(bounded_broadcast(only.select("doc_ord").distinct()), "doc_ord", "left_semi")
+    return sectioning.explode_chunks(docs)
 
 
 def partitioned_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

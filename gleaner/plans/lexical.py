@@ -80,8 +80,9 @@ s AS (
   FROM sections WHERE NOT regexp_matches(source, '^src19'))"""
 
 
-def scored_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = base.partitioned_chunks(spark, sf_dir)
+def scored_sections(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """All sections, laid out for scoring; or those of the documents in ``only``, to fetch the texts of matches."""
+    s = base.partitioned_chunks(spark, sf_dir) if only is None else base.chunk_sections(spark, sf_dir, only)
     return s.withColumns(
         {
             "role": F.when(F.col("project") == "de", "profile").otherwise("general"),
@@ -267,12 +268,21 @@ def _component(name: str, column: str) -> None:
     @query(
         name,
         base.with_ctes(
-            PAIRS_SQL, f"SELECT query_id, doc_ord, chunk_index, {column} FROM pairs WHERE {column} > 0"
+            PAIRS_SQL,
+            f"""SELECT query_id, count(*) AS n, sum({column})::BIGINT AS total, max({column})::BIGINT AS most,
+  sum({column} * (doc_ord % 1009 + 1) * (chunk_index + 1))::BIGINT AS placed FROM pairs WHERE {column} > 0 GROUP BY query_id""",
         ),
     )
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        p = pairs(spark, sf_dir).filter(F.col(column) > 0)
-        return p.select("query_id", "doc_ord", "chunk_index", F.col(column).cast("long").alias(column))
+        """Per question, sums over the sections that score; ``placed`` weighs each by where it stands."""
+        p, c = pairs(spark, sf_dir).filter(F.col(column) > 0), F.col(column)
+        place = (F.col("doc_ord") % 1009 + 1) * (F.col("chunk_index") + 1)
+        return p.groupBy("query_id").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(c).cast("long").alias("total"),
+            F.max(c).cast("long").alias("most"),
+            F.sum(c * place).cast("long").alias("placed"),
+        )
 
 
 _component("lexical_direct_score", "direct")
