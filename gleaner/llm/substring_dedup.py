@@ -28,14 +28,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import shuffle_partitions
 from gleaner.llm.run_length_index import RunLengthIndex
 
 LENGTH = 50
 #: Bytes of an anchor.
 ANCHOR = 20
-#: Bytes of text in a group of texts, and bytes of text behind a group of hashes.
-TEXT_GROUP = 12 << 20
-HASH_GROUP = 6 << 20
+#: Bytes of text in a group of texts, and bytes of text behind a group of hashes; of small tables, there are as many
+#: groups as shuffle partitions.
+TEXT_GROUP = 8 << 20
+HASH_GROUP = 4 << 20
 #: Texts a reading task remembers to drop their copies.
 REMEMBERED = 100_000
 #: Window starts that are hashed together.
@@ -202,7 +204,8 @@ def marked(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, digest:
     bytes; ``kept`` is the text that is left (characters that lost a part are gone), or with ``digest`` the SHA-256 of all
     bytes that are left."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    text_groups, hash_groups = max(1, -(-size // TEXT_GROUP)), max(1, -(-size // HASH_GROUP))
+    least = shuffle_partitions(docs.sparkSession)
+    text_groups, hash_groups = max(least, -(-size // TEXT_GROUP)), max(least, -(-size // HASH_GROUP))
     texts = distinct_texts(docs, text_groups, length)
 
     def anchors(table: pa.Table) -> pa.Table:
