@@ -11,14 +11,12 @@ from gleaner.functions import text as tx
 _BREAK = "\ufdd2"
 TABLE_ROW = rf"\|[^\n]*\|{tx.INLINE_WS}*"
 DIVIDER_CELL = r"^:?-{1,}:?\z"
-DIAGRAM_NODE = r'([A-Za-z][\w-]*)\s*\["?([^\]\n]+)"?\]'
-DIAGRAM_EDGE = r"([A-Za-z][\w-]*)\s*[-=.]+>\s*([A-Za-z][\w-]*)"
 
 
 def plain_text(c: Column | str) -> Column:
     """Inline markup to text: line breaks kept, images replaced by a placeholder, tags dropped, blank runs limited."""
-    t = F.regexp_replace(tx.col(c), r"(?i)<br\s*/?>", "\n")
-    t = F.regexp_replace(t, r"(?i)<img[^>]*>", lx.IMAGE_PLACEHOLDER)
+    t = F.regexp_replace(tx.col(c), lx.BREAK_TAG, "\n")
+    t = F.regexp_replace(t, lx.IMAGE_TAG, lx.IMAGE_PLACEHOLDER)
     t = F.regexp_replace(t, r"<[^>]+>", "")
     t = F.regexp_replace(t, r"(?i)&nbsp;", " ")
     return tx.trim(F.regexp_replace(t, r"\n{3,}", "\n\n"))
@@ -26,8 +24,8 @@ def plain_text(c: Column | str) -> Column:
 
 def table_cell(c: Column) -> Column:
     """One cell: breaks survive as ``<br>``, other markup goes, pipes are escaped."""
-    t = F.regexp_replace(c, r"(?i)<br\s*/?>", _BREAK)
-    t = F.regexp_replace(t, r"(?i)<img[^>]*>", lx.IMAGE_PLACEHOLDER)
+    t = F.regexp_replace(c, lx.BREAK_TAG, _BREAK)
+    t = F.regexp_replace(t, lx.IMAGE_TAG, lx.IMAGE_PLACEHOLDER)
     t = F.regexp_replace(t, r"<[^>]+>", "")
     t = F.regexp_replace(t, r"(?i)&nbsp;", " ")
     t = F.regexp_replace(t, r"[\r\n]+", " ")
@@ -119,8 +117,8 @@ def record_line(line: Column | str) -> Column:
 
 def diagram_nodes(source: Column) -> Column:
     """Nodes of a diagram in first-seen order; a repeated id keeps its last label."""
-    ids = F.regexp_extract_all(source, F.lit(DIAGRAM_NODE), 1)
-    labels = F.transform(F.regexp_extract_all(source, F.lit(DIAGRAM_NODE), 2), plain_text)
+    ids = F.regexp_extract_all(source, F.lit(lx.DIAGRAM_NODE_PATTERN), 1)
+    labels = F.transform(F.regexp_extract_all(source, F.lit(lx.DIAGRAM_NODE_PATTERN), 2), plain_text)
     seen = F.zip_with(ids, labels, lambda i, label: F.struct(i.alias("id"), label.alias("label")))
     # Keep a node where it is first seen; grouping by sorting keeps a long chain from being searched per node.
     ordered = F.array_sort(
@@ -146,8 +144,8 @@ def diagram_nodes(source: Column) -> Column:
 
 def diagram_edges(source: Column) -> Column:
     return F.zip_with(
-        F.regexp_extract_all(source, F.lit(DIAGRAM_EDGE), 1),
-        F.regexp_extract_all(source, F.lit(DIAGRAM_EDGE), 2),
+        F.regexp_extract_all(source, F.lit(lx.DIAGRAM_EDGE_PATTERN), 1),
+        F.regexp_extract_all(source, F.lit(lx.DIAGRAM_EDGE_PATTERN), 2),
         lambda a, b: F.struct(a.alias("src"), b.alias("dst")),
     )
 

@@ -30,6 +30,10 @@ FENCED_QUESTION = (
 )
 
 # Markup
+BREAK_TAG = r"(?i)<br\s*/?>"
+IMAGE_TAG = r"(?i)<img[^>]*>"
+DIAGRAM_NODE_PATTERN = r'([A-Za-z][\w-]*)\s*\["?([^\]\n]+)"?\]'
+DIAGRAM_EDGE_PATTERN = r"([A-Za-z][\w-]*)\s*[-=.]+>\s*([A-Za-z][\w-]*)"
 IMAGE_PLACEHOLDER = "[图示：原图信息请参考飞书原文]"
 EMPTY_RECORD_LINE = "- 说明：原表格此行没有可读取文字。"
 RECORD_LINE = r"^-\s*记录\s*\d+：(.+)\z"
@@ -110,6 +114,8 @@ CONTEXT_RULES = (
 )
 
 # Query features
+TECHNICAL_TERM = r"[a-z][a-z0-9_-]{1,}"
+TITLE_TERM = r"[a-z][a-z0-9_-]{1,}|[\p{IsHan}]{2,}"
 STOP_TOKENS = (
     "你", "我", "他", "她", "的", "是", "了", "在", "有", "过", "吗", "呢", "啊", "这", "那", "个",
     "一下", "什么", "如何", "怎么", "介绍", "是否", "能够", "可以",

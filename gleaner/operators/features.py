@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from gleaner import lexicons as lx
 from gleaner.functions import text as tx
 
-TECHNICAL_TERM = r"[a-z][a-z0-9_-]{1,}"
+TECHNICAL_TERM = lx.TECHNICAL_TERM
 _TOKEN = r"[\p{L}\p{N}]{2,}"
 _HAN_TOKEN = r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]{2,}"
 # No Han character lies below the CJK radicals; a range test spares other scripts the slower script lookup.
 _MAYBE_HAN = r"[\u2E80-\x{3FFFF}]"
-TITLE_TERM = r"[a-z][a-z0-9_-]{1,}|[\p{IsHan}]{2,}"
+TITLE_TERM = lx.TITLE_TERM
 
 
 def tokens(text: Column | str, stop: Sequence[str] = lx.STOP_TOKENS) -> Column:
