@@ -124,19 +124,23 @@ def train(rows: list[np.ndarray], labels: np.ndarray, sizes: tuple[int, int] | N
     empty = Machine(np.empty(0, np.uint32), np.empty(0), np.empty((0, RANK)), intercept)
     if not ones or not zeros:
         return empty
-    flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    terms, index = np.unique(flat, return_inverse=True)
-    in_one = np.bincount(index, labels[owner], len(terms))
-    in_all = np.bincount(index, minlength=len(terms))
+    # Counts by sorting alone; places are looked up for the few chosen terms only, which keeps the driver's memory small.
+    terms, in_all = np.unique(np.concatenate(rows), return_counts=True)
+    seen, times = np.unique(np.concatenate([r for r, y in zip(rows, labels) if y]), return_counts=True)
+    in_one = np.zeros(len(terms))
+    in_one[np.searchsorted(terms, seen)] = times
     chosen = (_ratio(in_one, ones, in_all - in_one, zeros) >= MIN_RATIO) & (in_all >= MIN_DOCUMENTS)
-    if not chosen.any():
+    terms = terms[chosen]
+    if not len(terms):
         return empty
-    keep = chosen[index]
-    owner, at = owner[keep], (np.cumsum(chosen) - 1)[index[keep]]
-    n_terms = int(chosen.sum())
+    places = []
+    for row in rows:
+        found = np.minimum(np.searchsorted(terms, row), len(terms) - 1)
+        places.append(found[terms[found] == row])
+    owner, at = np.repeat(np.arange(len(rows)), [len(p) for p in places]), np.concatenate(places)
+    n_terms = len(terms)
     rng = np.random.default_rng(seed)
-    machine = Machine(terms[chosen], np.zeros(n_terms), rng.normal(0, 0.01, (n_terms, RANK)), intercept)
+    machine = Machine(terms, np.zeros(n_terms), rng.normal(0, 0.01, (n_terms, RANK)), intercept)
     weight = np.where(labels == 1, n1 / ones, n0 / zeros)
     weight = weight / weight.mean()
     first = np.searchsorted(owner, np.arange(len(rows) + 1))
