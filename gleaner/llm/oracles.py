@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import contamination, url_filter
+from gleaner.llm import contamination, substring_dedup, url_filter
 
 
 def _url_filter() -> str:
@@ -90,3 +90,27 @@ FROM docs LEFT JOIN hit_words USING (k) LEFT JOIN lists USING (k)"""
 
 
 CONTAMINATION = _contamination()
+
+
+def _substring_dedup() -> str:
+    n = substring_dedup.LENGTH
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT k, doc_id, i, substr(h, 2 * i - 1, {2 * n}) AS g FROM (
+  SELECT *, unnest(range(1, length(h) // 2 - {n - 2})) AS i FROM d WHERE doc_id IS NOT NULL AND length(h) >= {2 * n})),
+m AS (SELECT g, min(doc_id) AS least FROM w GROUP BY g),
+hit AS (SELECT k, i, CASE WHEN i <= lag(i) OVER (PARTITION BY k ORDER BY i) + {n} THEN 0 ELSE 1 END AS opens
+  FROM w JOIN m USING (g) WHERE least < doc_id),
+span AS (SELECT k, min(i) AS a, max(i) + {n - 1} AS z FROM (
+  SELECT *, sum(opens) OVER (PARTITION BY k ORDER BY i) AS s FROM hit) GROUP BY k, s),
+cut AS (SELECT k, sum(z - a + 1) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS ends
+  FROM span GROUP BY k)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(starts) + 1), lambda j:
+    substr(h, 2 * (CASE WHEN j = 0 THEN 0 ELSE ends[j] END) + 1,
+      2 * (CASE WHEN j = len(starts) THEN length(h) // 2 ELSE starts[j + 1] - 1 END - CASE WHEN j = 0 THEN 0 ELSE ends[j] END))), '')
+    END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (k)"""
+
+
+SUBSTRING_DEDUP = _substring_dedup()

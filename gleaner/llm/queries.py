@@ -122,6 +122,6 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op4_substring_dedup")
+@query("op4_substring_dedup", oracles.SUBSTRING_DEDUP)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(documents(spark, sf_dir))
