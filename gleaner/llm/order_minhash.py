@@ -26,8 +26,9 @@ SLOTS = 64
 TUPLE = 2
 #: Bits of a packed long that hold the position; positions beyond start anew.
 PLACE_BITS = 24
-#: Documents per range of ids when neighbours are looked up.
+#: Documents per range of ids when neighbours are looked up, and ranges at most (beyond, they hold more documents).
 RANGE_ROWS = 2_000
+MAX_RANGES = 100_000
 
 _PLACE = (1 << PLACE_BITS) - 1
 
@@ -126,17 +127,14 @@ def with_next(df: DataFrame, order: str, values: list[str], range_rows: int = RA
     spark = df.sparkSession
     # Two passes over the id column alone: the count, then the range bounds.
     total = df.count()
-    n = max(1, -(-total // range_rows))
+    n = min(MAX_RANGES, max(1, -(-total // range_rows)))
     bounds = []
     if n > 1:
-        found = df.agg(F.percentile_approx(order, F.array(*[F.lit(i / n) for i in range(1, n)]), 100 * n)).first()[0]
+        shares = F.lit(",".join(str(i / n) for i in range(1, n)))
+        found = df.agg(F.percentile_approx(order, F.split(shares, ",").cast("array<double>"), 100 * n)).first()[0]
         bounds = sorted(set(found or []))
-    split = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else None
-    if split is None:
-        number = F.when(F.col(order).isNotNull(), F.lit(1)).otherwise(F.lit(0))
-    else:
-        # Ranges are numbered from 1 by the bounds at or below an id; ids that are null are in range 0.
-        number = F.coalesce(1 + _bounds_below(F.col(order), bounds), F.lit(0))
+    # Ranges are numbered from 1 by the bounds at or below an id; ids that are null are in range 0.
+    number = F.coalesce(1 + _bounds_below(F.col(order), bounds), F.lit(0))
     ranged = df.withColumn("__range", number)
     tops = {r["__range"]: r["top"] for r in ranged.groupBy("__range").agg(F.max(order).alias("top")).collect()}
     down = sorted(tops, reverse=True)
@@ -168,15 +166,13 @@ def with_next(df: DataFrame, order: str, values: list[str], range_rows: int = RA
 
 
 def _bounds_below(value: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are at or below the value (null for null), by binary search over nested cases."""
-
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(value >= F.lit(bounds[middle]), search(middle + 1, high)).otherwise(search(low, middle))
-
-    return F.when(value.isNotNull(), search(0, len(bounds)))
+    """How many of the sorted bounds are at or below the value (null for null), by binary search in a constant array."""
+    if not bounds:
+        return F.when(value.isNotNull(), F.lit(0))
+    listed = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    reached = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(listed, at + step - 1) <= value, at + step).otherwise(at))
+    return F.when(value.isNotNull(), reached)
 
 
 def compare_with_next(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
