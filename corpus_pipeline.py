@@ -20,11 +20,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class: the one of the smallest id."""
+    """One row of each SimHash class: that of the smallest id, of the least text digest where ids are equal; a row without
+    id stays if its class has none with one, and rows that are repeated stay once."""
     ship_package(spark)
-    classes = simhash.near_duplicates(docs)
-    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return simhash.one_per_class(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

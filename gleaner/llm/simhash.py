@@ -232,6 +232,13 @@ def link_forest(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
     return dealt.mapInArrow(link, "a long, b long")
 
 
+def _with_components(grouped: DataFrame, radius: int) -> DataFrame:
+    """``grouped``, whose ``fp`` are distinct, with ``component``: one number for all fingerprints that links reach."""
+    found = connected(link_forest(grouped.select(F.col("fp").alias("node"), "fp"), radius))
+    made = grouped.join(found, F.col("fp") == F.col("node"), "left")
+    return made.select(*grouped.columns, F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = SHINGLE, radius: int = RADIUS
 ) -> DataFrame:
@@ -247,12 +254,38 @@ def near_duplicates(
         .select("doc_id", F.col("fingerprint").alias("fp"))
     )
     grouped = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = connected(link_forest(grouped.select(F.col("fp").alias("node"), "fp"), radius))
-    named = grouped.join(found, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    )
+    named = _with_components(grouped, radius)
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = named.join(smallest, "component").select("fp", "component_id")
     return prints.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_per_class(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = SHINGLE, radius: int = RADIUS
+) -> DataFrame:
+    """``docs``, one row of each class of ``near_duplicates``: the one of the smallest id (rows without id come last), of
+    several such the one whose text has the least MD5, and of rows with equal id and text that of the least other columns.
+
+    So a class of rows without id keeps one of them, repeated rows stay once, and rows that share an id but not a class
+    are judged each in its own. Null texts and texts without words are one class, as in ``near_duplicates``; an empty table
+    stays empty.
+    """
+    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    own, value = F.col(names[doc_id]).cast("long"), F.coalesce(F.col(names[text]), F.lit(""))
+    key = ["__unnamed", "__id", "__digest"]  # without nulls, so that it joins
+    held = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).withColumns(
+        {"__unnamed": own.isNull(), "__id": F.coalesce(own, F.lit(0)), "__digest": F.unhex(F.md5(value.cast("binary")))}
+    )
+    prints = with_fingerprints(held.select(*key, F.col(names[text]).alias("text")), "text", words)
+    rows = prints.groupBy(F.col("fingerprint").alias("fp"), *key).count()
+    grouped = materialise(rows.groupBy("fp").agg(F.min(F.struct(*key, "count")).alias("least")))
+    least = _with_components(grouped, radius).groupBy("component").agg(F.min("least").alias("least"))
+    chosen = materialise(least.select("least.*"))
+    single, several = chosen.where("count = 1").select(*key), chosen.where("count > 1").select(*key)
+    kept = held.join(single, key, "left_semi").select(*names.values())
+    if not several.isEmpty():
+        alike = held.join(several, key, "left_semi").groupBy(*key).agg(F.min(F.struct(*names.values())).alias("row"))
+        kept = kept.unionByName(alike.select("row.*"))
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -50,3 +50,20 @@ def test_stages(spark, tmp_path):
     assert all(r["n_chars"] == len(r["text"] or "") for r in current.collect())
     final = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r["doc_id"] for r in final) == sorted(want)
+
+
+def test_near_duplicates_keep_one_row_of_each_class(spark):
+    rng = random.Random(12)
+    a, b, c, d, e, f, g = (" ".join(rng.choice("abcdefghij") * 3 + str(rng.randint(0, 999)) for _ in range(60)) for _ in range(7))
+    rows = [
+        (None, a, "en"), (None, b, "en"), (None, b, "en"),  # without id: one of each class
+        (5, c, "en"), (None, c, "en"), (9, c, "en"),  # an id goes before none
+        (7, d, "en"), (7, d, "en"), (7, d, "de"),  # repeated rows: once, of the least other columns
+        (3, e, "en"), (2, e, "en"), (3, f, "en"),  # one id, two classes
+        (0, g, "en"), (None, None, "en"), (None, "", "en"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    want = [(None, a, "en"), (None, b, "en"), (5, c, "en"), (7, d, "de"), (2, e, "en"), (3, f, "en"), (0, g, "en"), (None, None, "en")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
