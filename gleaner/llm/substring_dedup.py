@@ -6,7 +6,8 @@ job, in which equal windows always meet in one group:
 
 1. Equal texts are collapsed (in the tasks that read them, then by text), so that a text is indexed once however many
    copies it has; a copy of at least ``LENGTH`` bytes is covered by the first of them.
-2. Groups of texts hand the hashes of their anchors to groups of hashes, which give back those of more than one text.
+2. Groups of texts hand the hashes of their anchors, each once, to groups of hashes, which give back those of more than
+   one text.
 3. Groups of texts hand the pieces at those anchors, each distinct one once and with its smallest document, to groups of
    hashes. There the distinct pieces become a run-length index (``run_length_index``), every piece is streamed through it,
    and each of its windows gets the smallest document that has the same window.
@@ -199,6 +200,58 @@ def distinct_texts(docs: DataFrame, groups: int, length: int) -> DataFrame:
     return made.select(F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int").alias("g"), "key", "doc_id", "text")
 
 
+def sent_anchors(table: pa.Table, hash_groups: int, length: int, anchor: int) -> pa.Table:
+    """What a group of texts sends to each group of hashes: every anchor hash once, and whether several of its texts have
+    it, so that what meets at a hash is bounded by the groups of texts, not by the places."""
+    own = Texts(table)
+    hashes, _, _, text = own.pieces(length, anchor)
+    rows = []
+    for h, at in _by_group(hashes, hash_groups):
+        short, texts = _short(hashes[at]), text[at]
+        order = np.argsort(short, kind="stable")
+        short, texts = short[order], texts[order]
+        first = np.flatnonzero(np.append(True, short[1:] != short[:-1]))
+        last = np.append(first[1:], len(short)) - 1
+        rows.append((h, _as_bytes(short[first]), _pressed(texts[first] != texts[last])))  # texts ascend within a hash
+    g = table["g"][0].as_py()
+    return pa.table(
+        {
+            "h": pa.array([r[0] for r in rows], pa.int32()),
+            "g": pa.array([g] * len(rows), pa.int32()),
+            "hashes": pa.array([r[1] for r in rows], pa.binary()),
+            "several": pa.array([r[2] for r in rows], pa.binary()),
+        }
+    )
+
+
+def repeated_anchors(table: pa.Table) -> pa.Table:
+    """Of a group of hashes: for each group of texts, those of its hashes that more than one text has."""
+    hashes, several, groups = [], [], []
+    for g, h, s in zip(table["g"].to_pylist(), table["hashes"].to_pylist(), table["several"].to_pylist()):
+        found = _as_hashes(h)
+        hashes.append(found)
+        several.append(_opened(s, bool))
+        groups.append(np.full(len(found), g, np.int32))
+    hashes, several, groups = np.concatenate(hashes), np.concatenate(several), np.concatenate(groups)
+    order = np.argsort(hashes, kind="stable")
+    hashes, several, groups = hashes[order], several[order], groups[order]
+    starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
+    sizes = np.diff(np.append(starts, len(hashes)))
+    # A text is in one group only, so a hash of two groups is one of two texts.
+    keep = np.repeat((sizes > 1) | np.logical_or.reduceat(several, starts), sizes)
+    hashes, groups = hashes[keep], groups[keep]
+    order = np.argsort(groups, kind="stable")
+    hashes, groups = hashes[order], groups[order]
+    starts = np.flatnonzero(np.append(True, np.diff(groups) != 0)) if len(groups) else np.empty(0, np.int64)
+    stops = np.append(starts[1:], len(groups)) if len(starts) else starts
+    return pa.table(
+        {
+            "g": pa.array(groups[starts], pa.int32()),
+            "hashes": pa.array([_as_bytes(hashes[a:b]) for a, b in zip(starts, stops)], pa.binary()),
+        }
+    )
+
+
 def marked(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, digest: bool = False) -> DataFrame:
     """``(key, doc_id, n_removed, n_spans, kept)`` of the smallest document of each distinct text of at least ``length``
     bytes; ``kept`` is the text that is left (characters that lost a part are gone), or with ``digest`` the SHA-256 of all
@@ -209,44 +262,7 @@ def marked(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, digest:
     texts = distinct_texts(docs, text_groups, length)
 
     def anchors(table: pa.Table) -> pa.Table:
-        own = Texts(table)
-        hashes, _, _, text = own.pieces(length, anchor)
-        rows = [(h, _as_bytes(_short(hashes[at])), _pressed(np.diff(text[at], prepend=0).astype(np.int32))) for h, at in _by_group(hashes, hash_groups)]
-        g = table["g"][0].as_py()
-        return pa.table(
-            {
-                "h": pa.array([r[0] for r in rows], pa.int32()),
-                "g": pa.array([g] * len(rows), pa.int32()),
-                "hashes": pa.array([r[1] for r in rows], pa.binary()),
-                "texts": pa.array([r[2] for r in rows], pa.binary()),
-            }
-        )
-
-    def repeated(table: pa.Table) -> pa.Table:
-        hashes, sources, groups = [], [], []
-        for g, h, t in zip(table["g"].to_pylist(), table["hashes"].to_pylist(), table["texts"].to_pylist()):
-            found = _as_hashes(h)
-            hashes.append(found)
-            sources.append(np.cumsum(_opened(t, np.int32)).astype(np.int64) | np.int64(g) << np.int64(32))
-            groups.append(np.full(len(found), g, np.int32))
-        hashes, sources, groups = np.concatenate(hashes), np.concatenate(sources), np.concatenate(groups)
-        order = np.argsort(hashes, kind="stable")
-        hashes, sources, groups = hashes[order], sources[order], groups[order]
-        starts = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-        sizes = np.diff(np.append(starts, len(hashes)))
-        several = np.minimum.reduceat(sources, starts) != np.maximum.reduceat(sources, starts)
-        keep = np.repeat(several, sizes)
-        hashes, groups = hashes[keep], groups[keep]
-        order = np.argsort(groups, kind="stable")
-        hashes, groups = hashes[order], groups[order]
-        starts = np.flatnonzero(np.append(True, np.diff(groups) != 0)) if len(groups) else np.empty(0, np.int64)
-        stops = np.append(starts[1:], len(groups)) if len(starts) else starts
-        return pa.table(
-            {
-                "g": pa.array(groups[starts], pa.int32()),
-                "hashes": pa.array([_as_bytes(np.unique(hashes[a:b])) for a, b in zip(starts, stops)], pa.binary()),
-            }
-        )
+        return sent_anchors(table, hash_groups, length, anchor)
 
     def offered(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {name: [] for name in _OFFER}
@@ -362,8 +378,8 @@ def marked(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, digest:
         )
 
     shared = (
-        texts.groupBy("g").applyInArrow(anchors, "h int, g int, hashes binary, texts binary")
-        .groupBy("h").applyInArrow(repeated, "g int, hashes binary")
+        texts.groupBy("g").applyInArrow(anchors, "h int, g int, hashes binary, several binary")
+        .groupBy("h").applyInArrow(repeated_anchors, "g int, hashes binary")
     )
     offer = ", ".join(f"{n} {'int' if t == pa.int32() else 'binary'}" for n, t in _OFFER.items())
     verdict = (

@@ -4,6 +4,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -225,3 +227,26 @@ def test_order_minhash_neighbours(spark, monkeypatch, range_rows):
     assert [(r["edited"], r["near_next"]) for r in one] == [("a b a b"[:4] + "a b c d"[:3], 1.0)]
     assert order_minhash.compare_with_next(documents(spark, [])).count() == 0
     assert order_minhash.compare_with_next(documents(spark, odd_rows())).count() == len(odd_rows())
+
+
+def test_anchors_travel_once_a_group_of_texts():
+    rng = random.Random(5)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    alone = ["x" * 5000, "".join(rng.choice("ijkl") for _ in range(400)) * 3]  # repeat themselves, no other text
+    groups = {0: [shared + str(i) * 60 for i in range(9)] + alone[:1], 1: alone[1:], 2: ["-" * 70 + shared]}
+    sent, places = [], {}
+    for g, texts in groups.items():
+        table = pa.table({"g": [g] * len(texts), "key": [str(i) for i in range(len(texts))], "doc_id": list(range(len(texts))),
+                          "text": pa.array([t.encode() for t in texts], pa.binary())})
+        hashes, _, _, text = substring_dedup.Texts(table).pieces(50, 20)
+        for h, t in zip(substring_dedup._short(hashes).tolist(), text.tolist()):
+            places.setdefault(h, set()).add((g, t))
+        made = substring_dedup.sent_anchors(table, 3, 50, 20)
+        out = [h for b in made["hashes"].to_pylist() for h in substring_dedup._as_hashes(b).tolist()]
+        assert sorted(out) == sorted(set(substring_dedup._short(hashes).tolist()))
+        sent.append(made)
+    sent, got = pa.concat_tables(sent), set()
+    for h in set(sent["h"].to_pylist()):
+        for r in substring_dedup.repeated_anchors(sent.filter(pc.equal(sent["h"], h))).to_pylist():
+            got |= {(r["g"], x) for x in substring_dedup._as_hashes(r["hashes"]).tolist()}
+    assert got == {(g, h) for h, at in places.items() if len(at) > 1 for g, _ in at}
