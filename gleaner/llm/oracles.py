@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import contamination, substring_dedup, url_filter
+from gleaner.llm import contamination, sharding, substring_dedup, url_filter, vector_codes
 
 
 def _url_filter() -> str:
@@ -114,3 +114,63 @@ FROM d LEFT JOIN cut USING (k)"""
 
 
 SUBSTRING_DEDUP = _substring_dedup()
+
+
+def _vector_codes() -> str:
+    scale, parts, entries = vector_codes.SCALE, vector_codes.PARTS, vector_codes.ENTRIES
+
+    def nearest(books: str) -> str:
+        return f"""SELECT vec_id, label, p, part, arg_min(e, [d, e]) AS e, min(d) AS d FROM (
+          SELECT v.*, b.e, list_sum(list_transform(list_zip(v.part, b.part), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+          FROM parts v JOIN {books} b USING (p)) GROUP BY vec_id, label, p, part"""
+
+    def moved(near: str, books: str) -> str:
+        return f"""SELECT b.p, b.e, coalesce(m.part, b.part) AS part FROM {books} b LEFT JOIN (
+          SELECT p, e, list(floor(s::DOUBLE / n)::BIGINT ORDER BY i) AS part FROM (
+            SELECT p, e, i, sum(part[i]) AS s, count(*) AS n FROM (SELECT *, unnest(range(1, len(part) + 1)) AS i FROM {near})
+            GROUP BY p, e, i) GROUP BY p, e) m USING (p, e)"""
+
+    ctes = [
+        f"""kept AS (SELECT vec_id, label, list_transform(embedding, lambda c: floor({scale} * c::DOUBLE)::BIGINT) AS v
+          FROM embeddings WHERE embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0)""",
+        f"""parts AS (SELECT vec_id, label, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS part
+          FROM (SELECT *, unnest(range({parts})) AS p FROM kept))""",
+        f"""b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, part FROM parts
+          QUALIFY e < {entries})""",
+    ]
+    for n in range(vector_codes.ROUNDS):
+        ctes += [f"a{n} AS ({nearest(f'b{n}')})", f"b{n + 1} AS ({moved(f'a{n}', f'b{n}')})"]
+    last = f"b{vector_codes.ROUNDS}"
+    ctes.append(f"""coded AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error
+          FROM ({nearest(last)}) GROUP BY vec_id, label)""")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(part, ','), ',' ORDER BY p, e)) FROM {last}) AS codebooks_sha256 FROM coded"""
+
+
+def _sharding(shards: int = 8) -> str:
+    table = []
+    for byte in range(256):  # the CRC of each byte, by its polynomial
+        for _ in range(8):
+            byte = (byte >> 1) ^ (0xEDB88320 if byte & 1 else 0)
+        table.append(byte)
+    crc = f"""xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'),
+          lambda h: ('0x' || h)::BIGINT)), lambda c, b: xor(({table})[xor(c & 255, b) + 1], c >> 8)), 4294967295)"""
+    return f"""WITH RECURSIVE docs AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 1 AS size FROM documents),
+groups AS (SELECT text, count(*) * any_value(size) AS bytes, min(doc_id) AS least FROM docs GROUP BY text),
+ranked AS (SELECT *, row_number() OVER (ORDER BY bytes DESC, least) AS i,
+  row_number() OVER (PARTITION BY bytes ORDER BY least) AS rank FROM groups),
+lpt AS (SELECT 0::BIGINT AS i, 0::BIGINT AS bytes, 0 AS shard, list_transform(range({shards}), lambda s: 0::BIGINT) AS loads
+  UNION ALL SELECT g.i, g.bytes, list_position(l.loads, list_min(l.loads)) - 1, list_transform(range(1, {shards + 1}), lambda s:
+    l.loads[s] + CASE WHEN s = list_position(l.loads, list_min(l.loads)) THEN g.bytes ELSE 0 END)::BIGINT[]
+    FROM lpt l JOIN ranked g ON g.i = l.i + 1),
+dealt AS (SELECT bytes, shard, sum(count(*)) OVER (PARTITION BY bytes ORDER BY shard) AS ends FROM lpt WHERE i > 0 GROUP BY bytes, shard),
+placed AS (SELECT r.text, min(d.shard) AS shard FROM ranked r JOIN dealt d ON d.bytes = r.bytes AND r.rank <= d.ends GROUP BY r.text)
+SELECT doc_id, size::BIGINT AS size, ({crc})::BIGINT AS text_crc32, '{sharding.LAW}' AS law, shard::INTEGER AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM docs JOIN placed USING (text)"""
+
+
+VECTOR_CODES = _vector_codes()
+SHARDING = _sharding()

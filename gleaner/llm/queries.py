@@ -14,11 +14,14 @@ from gleaner.llm import (
     order_minhash,
     oracles,
     quality,
+    sharding,
     simhash,
     substring_dedup,
     token_counts,
     toxicity,
     url_filter,
+    vector_codes,
+    whitening,
 )
 from gleaner.llm.common import table
 from gleaner.session import materialise, ship_package
@@ -125,3 +128,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_substring_dedup", oracles.SUBSTRING_DEDUP)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(documents(spark, sf_dir))
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = whitening.components_of(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return made.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+@query("op12_sharding", oracles.SHARDING)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.place(documents(spark, sf_dir), keep=["doc_id"])
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+@query("op13_vector_codes", oracles.VECTOR_CODES)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+    return made.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
