@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators import ordered, sessions
-from gleaner.plans import base
+from gleaner.plans import base, transcript_sql
 from gleaner.plans.registry import query, table
-from gleaner.streaming import deltas, transcripts
+from gleaner.streaming import captures, deltas, replay, transcripts
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,12 +247,80 @@ def capture_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.fold_captures(_capture_events(spark, sf_dir)).select("session_id", "capture_id", "reason")
 
 
-@query("fold_captures")
+#: The same with the text, folded while the capture is open. With times, a wait ends so long after its stop.
+def _fold_sql(wait_ms: int | None = None) -> str:
+    timed = wait_ms is not None
+    order = "ts, event_id" if timed else "event_id"
+    start = "{'kind': '', 'fin': false, 'at': 0::BIGINT, 'x': '', 'waiting': false, 'done': false, 'until': 0::BIGINT, 't': '', 'reason': ''}"
+    row = """{'kind': CASE event_type WHEN 'signup' THEN 'stop' WHEN 'error' THEN 'closed' ELSE 'result' END,
+    'fin': event_type = 'purchase', 'at': epoch_ms(ts), 'x': event_type || ' ' || value, 'waiting': false, 'done': false,
+    'until': 0::BIGINT, 't': '', 'reason': ''}"""
+    # A wait that ended before the event, then the event itself.
+    over = "(e.waiting AND e.until < b.at)" if timed else "false"
+    expired = f"""{{'waiting': e.waiting AND NOT {over}, 'done': e.done OR ({over} AND e.t <> ''), 'until': e.until, 't': e.t,
+    'reason': CASE WHEN {over} AND e.t <> '' THEN 'timeout' ELSE e.reason END}}"""
+    said = "b.kind = 'result' AND NOT a.done"
+    step = f"""{{'kind': '', 'fin': false, 'at': 0::BIGINT, 'x': '',
+    'waiting': CASE WHEN b.kind = 'stop' THEN NOT a.done WHEN b.kind = 'closed' THEN false ELSE a.waiting AND NOT b.fin END,
+    'done': a.done OR (b.kind = 'closed' AND (NOT a.waiting OR a.t <> '')) OR (b.kind = 'result' AND b.fin AND a.waiting),
+    'until': CASE WHEN b.kind = 'stop' AND NOT a.waiting THEN b.at + {wait_ms or 0} ELSE a.until END,
+    't': CASE WHEN {said} THEN {transcript_sql.merge("a.t", "b.x")} WHEN b.kind = 'closed' AND NOT a.waiting AND NOT a.done THEN '' ELSE a.t END,
+    'reason': CASE WHEN a.done THEN a.reason WHEN b.kind = 'closed' AND a.waiting AND a.t <> '' THEN 'closed'
+      WHEN b.kind = 'result' AND b.fin AND a.waiting THEN 'final' ELSE a.reason END}}"""
+    replaced = "coalesce(following <= s.until, false)" if timed else "following IS NOT NULL"
+    return f"""
+WITH e AS (SELECT event_id, user_id, event_type, ts, value, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) - CASE WHEN value > 60 THEN 1 ELSE 0 END AS capture_id FROM events),
+live AS (SELECT * FROM (SELECT *, max(capture_id) OVER (PARTITION BY user_id ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS cur FROM e) WHERE capture_id = cur),
+starts AS (SELECT user_id, capture_id, lead(min(epoch_ms(ts))) OVER (PARTITION BY user_id ORDER BY capture_id) AS following
+  FROM live GROUP BY user_id, capture_id),
+steps AS (SELECT user_id, capture_id, list({row} ORDER BY {order}) AS l FROM live GROUP BY ALL),
+ended AS (SELECT user_id, capture_id, following, list_reduce(list_prepend({start}, l),
+  lambda e, b: {transcript_sql.let("a", expired, step)}) AS s FROM steps JOIN starts USING (user_id, capture_id))
+SELECT user_id AS session_id, capture_id, text, reason FROM (
+  SELECT *, s.t AS text, CASE WHEN s.reason <> '' THEN s.reason WHEN s.waiting AND s.t <> '' AND NOT s.done THEN
+    CASE WHEN {replaced} THEN 'superseded' ELSE 'timeout' END END AS reason FROM ended) WHERE reason IS NOT NULL"""
+
+
+@query("fold_captures", _fold_sql())
 def fold_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.fold_captures(_capture_events(spark, sf_dir))
 
 
-@query("fold_transcripts")
+_WAIT = 6 * 3600_000
+
+
+@query("timed_captures", _fold_sql(_WAIT))
+def timed_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures by event time: a wait ends six hours after its stop."""
+    return captures.fold_by_time(_capture_events(spark, sf_dir), _WAIT)
+
+
+@query("stream_timed_captures", _fold_sql(_WAIT))
+def stream_timed_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream, whose events arrive up to three hours late, in any order, in eight parts."""
+    e = _capture_events(spark, sf_dir).withColumn("ts", F.unix_millis("event_time"))
+    delay = F.pmod(F.xxhash64("seq"), F.lit(3 * 3600_000))
+    parts = replay.arriving(e, F.col("ts") + delay, 8)
+    # An event far ahead lets the watermark pass all others.
+    last = e.agg(F.max("event_time").alias("event_time")).where("event_time IS NOT NULL").select(
+        F.lit(-1).cast(e.schema["session_id"].dataType).alias("session_id"),
+        F.lit(0).cast("long").alias("capture_id"),
+        F.lit(-1).cast(e.schema["seq"].dataType).alias("seq"),
+        (F.col("event_time") + F.expr("INTERVAL 30 DAYS")).alias("event_time"),
+        F.lit("ready").alias("type"),
+        F.lit(None).cast("string").alias("text"),
+        F.lit(False).alias("is_final"),
+    )
+    parts = [p.select(*last.columns) for p in parts] + [last]
+    made = replay.replay(parts, lambda s: captures.stream_by_time(s, "3 hours", _WAIT, 60 * captures.IDLE_MS), 8)
+    return made.select("session_id", "capture_id", "text", "reason")
+
+
+@query(
+    "fold_transcripts",
+    f"""SELECT conv_id, {transcript_sql.fold("l")} AS text FROM (
+  SELECT conv_id, list(coalesce(text, '') ORDER BY turn) AS l FROM conversations GROUP BY conv_id)""",
+)
 def fold_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of a conversation folded as transcript segments."""
     c = table(spark, sf_dir, "conversations")

@@ -76,6 +76,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder name below the shared checkpoint folder; what is written there is deleted when the application ends."""
+    path = f"{checkpoint_root(spark)}/gleaner-{uuid.uuid4().hex}"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file_system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    file_system.mkdirs(hadoop_path)
+    file_system.deleteOnExit(hadoop_path)
+    return path
+
+
 _SHIPPED: set[str] = set()
 
 

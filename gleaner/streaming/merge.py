@@ -3,12 +3,17 @@
 Two texts are compared on their *keys*: the characters that matter, folded, each with the place in the shown text where
 it ends. Everything the fold decides (equal, contained, overlapping, revised) is read off the two key strings, in time
 linear in their length, and cut positions come from the places.
+
+``merge_transcript`` states the rule for two texts. ``Transcript`` folds a long series of results by the same rule, but
+holds key, places and borders as growing arrays and the text as pieces, so that a step costs the new result alone.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -19,6 +24,8 @@ _RUN_OF_BLANKS = re.compile(r"[\s　﻿]+")
 _RUN_OF_ASKS, _RUN_OF_CRIES = re.compile(r"[？?]{2,}"), re.compile(r"[！!]{2,}")
 _CUE = re.compile(lx.QUESTION_CUE)
 _ASKS, _MARKS = ("?", "？"), ("?", "？", "!", "！")
+_CRIES = ("!", "！")
+_WIDE = str.maketrans(",?!", "，？！")
 #: Keys of half a text that count as a sentence said twice.
 _HALF = 4
 
@@ -92,10 +99,14 @@ def collapse_doubled(text: str) -> str:
     return first
 
 
+def has_han(text: str) -> bool:
+    return any("㐀" <= c <= "鿿" for c in text)
+
+
 def display_form(text: str) -> str:
     shown = _RUN_OF_BLANKS.sub(" ", unicodedata.normalize("NFKC", text)).strip()
-    if any("㐀" <= c <= "鿿" for c in shown):
-        shown = shown.translate(str.maketrans(",?!", "，？！"))
+    if has_han(shown):
+        shown = shown.translate(_WIDE)
     return collapse_doubled(_RUN_OF_CRIES.sub("！", _RUN_OF_ASKS.sub("？", shown)))
 
 
@@ -119,3 +130,117 @@ def merge_transcript(previous: str, incoming: str) -> str:
     if not known and common >= 2 and _CUE.search(new.shown):
         known = common
     return display_form(old.shown + new.rest(known))
+
+
+class Transcript:
+    """A text that grows by ``merge``, step for step the same as ``merge_transcript``.
+
+    A result is compared with the first and the last characters of the key only, as many as it has itself. A text said
+    twice shows in the border table: its smallest period divides half its length. The whole text is read again only when
+    it shrinks to half, when a result replaces it, when the first Han character arrives, or when a result begins with a
+    character that combines with the one before.
+    """
+
+    __slots__ = ("pieces", "key", "places", "border", "length", "han", "settled", "wide_mark")
+
+    def __init__(self, pieces: Iterable[str] = (), settled: bool = False, wide_mark: int = -1):
+        self._hold([p for p in pieces if p])
+        #: Whether the display form of the text is the text itself, but for ``wide_mark``.
+        self.settled = settled
+        #: The piece whose last character became wide because it met another mark; the next step narrows it again.
+        self.wide_mark = wide_mark
+
+    def _hold(self, pieces: list[str]) -> None:
+        self.pieces, self.key, self.places, self.border = [], [], array("q"), array("q")
+        self.length, self.han = 0, False
+        for piece in pieces:
+            self._append(piece)
+
+    def _append(self, piece: str) -> None:
+        """Add a piece, its key, and the border of every longer prefix of the key."""
+        keyed = Keyed.of(piece)
+        key, border = self.key, self.border
+        for character, place in zip(keyed.key, keyed.places):
+            width = border[-1] if border else 0
+            while width and character != key[width]:
+                width = border[width - 1]
+            border.append(width + 1 if key and character == key[width] else 0)
+            key.append(character)
+            self.places.append(self.length + place)
+        self.pieces.append(piece)
+        self.length += len(piece)
+        self.han = self.han or has_han(piece)
+
+    @property
+    def text(self) -> str:
+        return "".join(self.pieces)
+
+    def _replace(self, shown: str, settled: bool) -> None:
+        self._hold([shown] if shown else [])
+        self.settled, self.wide_mark = settled, -1
+
+    def _doubled(self) -> bool:
+        half, odd = divmod(len(self.key), 2)
+        if odd or half < _HALF or half % (len(self.key) - self.border[-1]):
+            return False
+        return self.places[half - 1] != self.places[half]
+
+    def _settle(self) -> None:
+        """Bring the text to its display form, as the start of a step does."""
+        if not self.settled:
+            self._replace(display_form(self.text), True)
+            # Marks that were narrowed or a text that was halved may have more to give.
+            self.settled = display_form(self.text) == self.text
+            return
+        if self.wide_mark >= 0:
+            if not self.han:
+                piece = self.pieces[self.wide_mark]
+                self.pieces[self.wide_mark] = piece[:-1] + unicodedata.normalize("NFKC", piece[-1])
+            self.wide_mark = -1
+        if self._doubled():
+            self._replace(collapse_doubled(self.text), False)
+
+    def merge(self, incoming: str) -> None:
+        self._settle()
+        new = Keyed.of(display_form(incoming or ""))
+        size, known = len(self.key), len(new.key)
+        head = self.key[:known]
+        common = next((i for i, (x, y) in enumerate(zip(head, new.key)) if x != y), min(size, known))
+        if not known or common == known < size:
+            return
+        if common == size < known:
+            self._replace(new.shown, False)
+            return
+        if common == size == known:
+            last = self.pieces[-1] if self.pieces else ""
+            gains = new.shown.endswith(_ASKS) and not last.endswith(_ASKS)
+            if gains or len(new.shown) > self.length:
+                self._replace(new.shown, False)
+            return
+        shared = overlap("".join(self.key[-known:]), new.key)
+        if not shared and common >= 2 and _CUE.search(new.shown):
+            shared = common
+        self._extend(new.rest(shared))
+
+    def _extend(self, rest: str) -> None:
+        """The display form of the text followed by ``rest``."""
+        rest = unicodedata.normalize("NFKC", rest)
+        if not rest:
+            return
+        last = self.pieces[-1][-1] if self.pieces else ""
+        han = self.han or has_han(rest)
+        combines = not unicodedata.is_normalized("NFKC", unicodedata.normalize("NFKC", last) + rest[0])
+        if combines or unicodedata.combining(rest[0]) or (han and not self.han):
+            self._replace(display_form(self.text + rest), False)
+            return
+        if han:
+            rest = rest.translate(_WIDE)
+        for marks, wide in ((_ASKS, _ASKS[1]), (_CRIES, _CRIES[1])):
+            if last in marks and rest.startswith(marks):
+                self.pieces[-1] = self.pieces[-1][:-1] + wide
+                self.wide_mark = len(self.pieces) - 1
+                rest = rest.lstrip("".join(marks))
+        if rest:
+            self._append(rest)
+        if self._doubled():
+            self._replace(collapse_doubled(self.text), False)

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from gleaner import lexicons as lx
 from gleaner.functions import text as tx
 from gleaner.operators import ordered
-from gleaner.streaming.merge import merge_transcript
+from gleaner.streaming.merge import Transcript
 
 SENTENCE = "struct<sentence:string,sentence_type:int,speaker_id:int>"
 SPEAKER_MESSAGE = (
@@ -78,14 +78,27 @@ def gate_events(events: DataFrame, session: str = "session_id", order: str = "se
 
 
 class Capture:
-    """State of one session: the current capture, its text, whether it waits for a final result, and until when."""
+    """State of one session: the current capture, its text, whether it waits for a final result, and until when.
 
-    __slots__ = ("capture_id", "text", "waiting", "done", "deadline")
+    ``deadline`` is set where steps carry a time; without times the wait has no end of its own.
+    """
+
+    __slots__ = ("capture_id", "transcript", "waiting", "done", "deadline")
 
     def __init__(
-        self, capture_id: int = -1, text: str = "", waiting: bool = False, done: bool = False, deadline: int = -1
+        self,
+        capture_id: int = -1,
+        text: str | Transcript = "",
+        waiting: bool = False,
+        done: bool = False,
+        deadline: int = -1,
     ):
-        self.capture_id, self.text, self.waiting, self.done, self.deadline = capture_id, text, waiting, done, deadline
+        self.capture_id, self.waiting, self.done, self.deadline = capture_id, waiting, done, deadline
+        self.transcript = text if isinstance(text, Transcript) else Transcript([text])
+
+    @property
+    def text(self) -> str:
+        return self.transcript.text
 
     def submit(self, reason: str) -> tuple[int, str, str] | None:
         self.waiting = False
@@ -94,7 +107,17 @@ class Capture:
         self.done = True
         return self.capture_id, self.text, reason
 
-    def step(self, capture_id: int, kind: str, text: str | None, is_final: bool) -> list[tuple[int, str, str]]:
+    def expire(self, now: int) -> list[tuple[int, str, str]]:
+        """The submission that was due before ``now``, if any."""
+        if not self.waiting or not 0 <= self.deadline < now:
+            return []
+        row = self.submit("timeout")
+        return [row] if row else []
+
+    def step(
+        self, capture_id: int, kind: str, text: str | None, is_final: bool, deadline: int = -1
+    ) -> list[tuple[int, str, str]]:
+        """Fold one event; ``deadline`` is the end of the wait that a stop would begin."""
         out = []
         if capture_id < self.capture_id:
             return out
@@ -103,14 +126,15 @@ class Capture:
                 out.append(self.submit("superseded"))
             self.__init__(capture_id)
         if kind == "stop":
-            self.waiting = not self.done
+            if not self.waiting:
+                self.waiting, self.deadline = not self.done, deadline
         elif kind in ("error", "closed"):
             if self.waiting:
                 out.append(self.submit(kind))
             elif not self.done:
-                self.text, self.done = "", True
+                self.transcript, self.done = Transcript(), True
         elif kind == "result" and text and text.strip() and not self.done:
-            self.text = merge_transcript(self.text, text)
+            self.transcript.merge(text)
             if is_final and self.waiting:
                 out.append(self.submit("final"))
         return [row for row in out if row]
@@ -163,19 +187,19 @@ def fold_text(segments: DataFrame, key: Sequence[str], order: str, text: str, ou
     width = len(key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, merged = None, ""
+        current, merged = None, Transcript()
         for frame in batches:
             rows = []
             for values in frame.itertuples(index=False):
                 name = tuple(values[:width])
                 if name != current:
                     if current is not None:
-                        rows.append((*current, merged))
-                    current, merged = name, ""
-                merged = merge_transcript(merged, values[-1] or "")
+                        rows.append((*current, merged.text))
+                    current, merged = name, Transcript()
+                merged.merge(values[-1] or "")
             yield pd.DataFrame(rows, columns=schema.names)
         if current is not None:
-            yield pd.DataFrame([(*current, merged)], columns=schema.names)
+            yield pd.DataFrame([(*current, merged.text)], columns=schema.names)
 
     return routed.mapInPandas(run, schema)
 
