@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.operators import features, lexical
+from gleaner.operators import features, lexical, lexical_index
 from gleaner.plans import base
 from gleaner.plans.registry import query, table
+from gleaner.session import scratch_folder
 
 # Latin rule tables for the driver's prose.
 STOP = ("the", "of", "and", "to", "de", "la")
@@ -326,6 +327,42 @@ def lexical_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "lexical_index_top_k",
+    base.with_ctes(
+        PAIRS_SQL,
+        """SELECT query_id, rank, doc_ord, chunk_index, score, match_type FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_ord, chunk_index) AS rank FROM pairs)
+WHERE rank <= 12""",
+    ),
+)
+def lexical_index_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stored index: written first, then asked."""
+    return indexed(spark, sf_dir, scratch_folder(spark)).matches.select(
+        "query_id",
+        F.col("rank").cast("long").alias("rank"),
+        "doc_ord",
+        F.col("chunk_index").cast("long").alias("chunk_index"),
+        F.col("score").cast("long").alias("score"),
+        "match_type",
+    )
+
+
+def write_index(spark: SparkSession, sf_dir: str, path: str) -> lexical_index.Index:
+    s = lexical.exclude_glossary(scored_sections(spark, sf_dir), "^src19")
+    return lexical_index.write(s, path, stop=STOP, groups=CONCEPTS, bonus=BONUS)
+
+
+def ask_index(spark: SparkSession, sf_dir: str, index: lexical_index.Index, k: int = 12) -> lexical_index.Found:
+    q = question_features(spark, sf_dir)
+    postings = lexical.materialise(lexical.question_postings(q, lexical_index.titles(index)))
+    return lexical_index.search(index, postings, k)
+
+
+def indexed(spark: SparkSession, sf_dir: str, path: str) -> lexical_index.Found:
+    return ask_index(spark, sf_dir, write_index(spark, sf_dir, path))
+
+
 @query(
     "benchmark_best_chunks",
     base.with_ctes(
