@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.operators import ordered, sessions
 from gleaner.plans import base, transcript_sql
 from gleaner.plans.registry import query, table
-from gleaner.streaming import captures, deltas, replay, transcripts
+from gleaner.streaming import answers, captures, deltas, health, replay, transcripts
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +88,46 @@ def throttled_rebuilds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("user_id", F.unix_micros("ts").alias("at"), "gap_ms")
 
 
+_GAP, _EVERY = 12 * 3600_000, 20 * 3600_000
+#: Alarms of each gap, one after the other; purchases end the listening.
+_MISSED_SQL = f"""
+WITH f AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, bool_or(event_type <> 'purchase') AS listening FROM events GROUP BY ALL),
+g AS (SELECT user_id, ms, coalesce(lead(ms) OVER (PARTITION BY user_id ORDER BY ms), ms + {_EVERY * 4}) AS until, listening FROM f),
+l AS (SELECT user_id, list({{'ms': ms, 'until': until, 'raised': NULL::BIGINT, 'alarms': []::BIGINT[]}} ORDER BY ms) AS gaps
+  FROM g WHERE listening AND until - ms > {_GAP} + 1 GROUP BY user_id),
+r AS (SELECT user_id, list_reduce(list_prepend({{'ms': 0::BIGINT, 'until': 0::BIGINT, 'raised': NULL::BIGINT, 'alarms': []::BIGINT[]}}, gaps),
+  lambda a, b: list_transform([range(greatest(b.ms + {_GAP} + 1, coalesce(a.raised + {_EVERY} + 1, 0)), b.until, {_EVERY} + 1)],
+    lambda n: {{'ms': 0::BIGINT, 'until': 0::BIGINT, 'raised': coalesce(n[-1], a.raised), 'alarms': list_concat(a.alarms, n)}})[1]) AS s FROM l)
+SELECT user_id, unnest(s.alarms) AS "at" FROM r"""
+
+
+@query("missed_frames", _MISSED_SQL)
+def missed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alarms while frames stay out: after twelve hours, then every twenty."""
+    listening = F.col("event_type") != "purchase"
+    return health.missed_frames(events(spark, sf_dir), ["user_id"], "ts", listening, _GAP, _EVERY, _EVERY * 4)
+
+
+@query("stream_missed_frames", _MISSED_SQL)
+def stream_missed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream, whose frames arrive up to three hours late; no frame needs to follow for an alarm."""
+    e = events(spark, sf_dir).select("user_id", "ts", "event_type", "event_id")
+    delay = F.pmod(F.xxhash64("event_id"), F.lit(3 * 3600_000))
+    parts = replay.arriving(e, F.unix_millis("ts") + delay, 6)
+    last = e.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL").select(
+        F.lit(-1).cast(e.schema["user_id"].dataType).alias("user_id"),
+        (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"),
+        F.lit("purchase").alias("event_type"),
+        F.lit(-1).cast(e.schema["event_id"].dataType).alias("event_id"),
+    )
+    listening = F.col("event_type") != "purchase"
+
+    def stream(s: DataFrame) -> DataFrame:
+        return health.stream_missed_frames(s, "user_id", "ts", "3 hours", listening, _GAP, _EVERY, _EVERY * 4)
+
+    return replay.replay([*parts, last], stream, 8)
+
+
 @query(
     "voice_activity",
     """SELECT vec_id, round(rms, 6) AS rms, rms > 0.124 AS voiced FROM (
@@ -253,7 +293,7 @@ def _fold_sql(wait_ms: int | None = None) -> str:
     order = "ts, event_id" if timed else "event_id"
     start = "{'kind': '', 'fin': false, 'at': 0::BIGINT, 'x': '', 'waiting': false, 'done': false, 'until': 0::BIGINT, 't': '', 'reason': ''}"
     row = """{'kind': CASE event_type WHEN 'signup' THEN 'stop' WHEN 'error' THEN 'closed' ELSE 'result' END,
-    'fin': event_type = 'purchase', 'at': epoch_ms(ts), 'x': event_type || ' ' || value, 'waiting': false, 'done': false,
+    'fin': event_type = 'purchase', 'at': epoch_us(ts) // 1000, 'x': event_type || ' ' || value, 'waiting': false, 'done': false,
     'until': 0::BIGINT, 't': '', 'reason': ''}"""
     # A wait that ended before the event, then the event itself.
     over = "(e.waiting AND e.until < b.at)" if timed else "false"
@@ -271,7 +311,7 @@ def _fold_sql(wait_ms: int | None = None) -> str:
     return f"""
 WITH e AS (SELECT event_id, user_id, event_type, ts, value, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) - CASE WHEN value > 60 THEN 1 ELSE 0 END AS capture_id FROM events),
 live AS (SELECT * FROM (SELECT *, max(capture_id) OVER (PARTITION BY user_id ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS cur FROM e) WHERE capture_id = cur),
-starts AS (SELECT user_id, capture_id, lead(min(epoch_ms(ts))) OVER (PARTITION BY user_id ORDER BY capture_id) AS following
+starts AS (SELECT user_id, capture_id, lead(min(epoch_us(ts) // 1000)) OVER (PARTITION BY user_id ORDER BY capture_id) AS following
   FROM live GROUP BY user_id, capture_id),
 steps AS (SELECT user_id, capture_id, list({row} ORDER BY {order}) AS l FROM live GROUP BY ALL),
 ended AS (SELECT user_id, capture_id, following, list_reduce(list_prepend({start}, l),
@@ -359,6 +399,44 @@ def extract_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", "delta")
 
 
+@query(
+    "stream_answers",
+    """SELECT conv_id AS request_id, string_agg(text, '' ORDER BY turn) AS answer, 'ready' AS status FROM conversations GROUP BY 1""",
+)
+def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terminal rows of the answer stream, whose chunks arrive in four parts."""
+    chunks = _delta_chunks(spark, sf_dir)
+    last = chunks.groupBy("request_id").agg(F.max("seq").alias("_last"))
+    chunks = chunks.join(last, "request_id").withColumn("is_last", F.col("seq") == F.col("_last")).drop("_last")
+    made = replay.replay(replay.arriving(chunks, F.col("seq"), 4), lambda s: answers.stream_answers(s, 3_600_000), 8, timers=True)
+    return made.where("status <> 'delta'").select("request_id", F.col("text").alias("answer"), "status")
+
+
+@query(
+    "stream_latest_requests",
+    """SELECT conv_id, turn, role FROM (SELECT *, CASE role WHEN 'user' THEN turn ELSE turn - 1 END AS request_id FROM conversations)
+QUALIFY request_id = max(request_id) OVER (PARTITION BY conv_id)""",
+)
+def stream_latest_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as a stream in shuffled arrival; a turn's time is its number in minutes."""
+    request = F.when(F.col("role") == "user", F.col("turn")).otherwise(F.col("turn") - 1).cast("long")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", request.alias("request_id"))
+    c = c.withColumn("ts", F.timestamp_seconds(F.col("turn") * 60))
+    parts = replay.arriving(c, F.pmod(F.xxhash64("conv_id", "turn"), F.lit(1000)), 4)
+    last = c.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL").select(
+        F.lit(-1).cast(c.schema["conv_id"].dataType).alias("conv_id"),
+        F.lit(-1).cast(c.schema["turn"].dataType).alias("turn"),
+        F.lit("end").alias("role"),
+        F.lit(0).cast("long").alias("request_id"),
+        (F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"),
+    )
+
+    def stream(s: DataFrame) -> DataFrame:
+        return answers.stream_latest_requests(s, "conv_id", "request_id", "ts", "1 day", 3_600_000)
+
+    return replay.replay([*parts, last], stream, 8).select("conv_id", "turn", "role")
+
+
 @query(
     "assemble_answers",
     """SELECT conv_id AS request_id, string_agg(text, '' ORDER BY turn) AS answer, 'ready' AS status FROM conversations GROUP BY 1""",

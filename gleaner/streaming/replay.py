@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from gleaner.session import materialise, scratch_folder
 
@@ -25,9 +27,23 @@ def arriving(rows: DataFrame, arrival: Column, parts: int) -> list[DataFrame]:
     return [placed.where(number == i).drop("_arrival") for i in range(parts)]
 
 
-def replay(parts: Iterable[DataFrame], stream: Callable[[DataFrame], DataFrame], partitions: int | None = None) -> DataFrame:
+def _parts_done(query: StreamingQuery) -> int:
+    """Parts whose micro-batch has ended: the source numbers them from 0."""
+    progress = query.lastProgress
+    number = progress and re.search(r"\d+", str(progress["sources"][0]["endOffset"]))
+    return int(number[0]) + 1 if number else 0
+
+
+def replay(
+    parts: Iterable[DataFrame],
+    stream: Callable[[DataFrame], DataFrame],
+    partitions: int | None = None,
+    timers: bool = False,
+) -> DataFrame:
     """All rows that ``stream`` emits when ``parts`` arrive in order.
 
+    A stream with processing-time timers (``timers``) never runs out of batches; it is stopped when the last part is done.
+
     The state store keeps its number of partitions for good, so it is an argument (the session's shuffle partitions by
     default). Parts, checkpoints and results are in the shared folder, so the run survives lost executors.
     """
@@ -45,8 +61,15 @@ def replay(parts: Iterable[DataFrame], stream: Callable[[DataFrame], DataFrame],
     try:
         rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/part=*")
         made = stream(rows)
-        query = made.writeStream.outputMode("append").format("parquet").option("path", sink)
-        query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        sunk = made.writeStream.outputMode("append").format("parquet").option("path", sink)
+        sunk = sunk.option("checkpointLocation", checkpoint)
+        if timers:
+            query = sunk.trigger(processingTime="0 seconds").start()
+            while not query.awaitTermination(0.5) and _parts_done(query) < len(parts):
+                pass
+            query.stop()
+        else:
+            sunk.trigger(availableNow=True).start().awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
