@@ -45,6 +45,14 @@ def batched(array: pa.Array, max_bytes: int = 4 << 20) -> Iterator[list[str]]:
         yield part
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as it takes to differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_columns_from_text(
     df: DataFrame,
     rows_of: Callable[[Sequence[str]], Sequence[tuple]],
@@ -73,5 +81,6 @@ def with_columns_from_text(
     udf = F.arrow_udf(run, schema)
     source = F.col(text)
     keep = [c for c in df.columns if c.lower() not in {n.lower() for n in names}]
-    made = df.withColumn("__made", udf(source))
-    return made.select(*[made[f"`{c}`"] for c in keep], *[F.col("__made")[n].alias(n) for n in names])
+    held = unused(df, "__made")
+    made = df.withColumn(held, udf(source))
+    return made.select(*[made[f"`{c}`"] for c in keep], *[F.col(held)[n].alias(n) for n in names])

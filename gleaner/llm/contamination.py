@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import ASCII_LOWER, WORD, batched
+from gleaner.llm.common import ASCII_LOWER, WORD, batched, unused
 
 WINDOW = 13
 #: Contaminated: hit words are at least one in so many.
@@ -160,13 +160,16 @@ def mark(
     """
     spark = docs.sparkSession
     made = docs
+    marked = unused(docs, "__marked")
+    chained = False
     for block in _blocks(benchmark, item_id, item_text, block_bytes):
         shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block, window))
-        before = [F.col("__marked")] if "__marked" in made.columns else []
-        made = made.withColumn("__marked", _scan(shared, bool(before))(F.col(text), *before))
+        before = [F.col(marked)] if chained else []
+        made = made.withColumn(marked, _scan(shared, chained)(F.col(text), *before))
+        chained = True
     new = ["n_words", "spans", "items", "n_hit", "contaminated"]
     keep = [c for c in docs.columns if c.lower() not in new]
-    m = F.col("__marked")
+    m = F.col(marked)
     n_hit = F.aggregate(
         F.transform(m["spans"], lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 import ahocorasick
 import numpy as np
@@ -82,51 +82,57 @@ def family(identifier: str) -> tuple[str, float]:
     return identifier, UNKNOWN
 
 
-def evaluate(expression: str) -> tuple[frozenset[str], float] | None:
-    """Labels of a license expression and how freely it lets one reuse (or: the freest, and: the least, with: an
-    exception frees its license somewhat); None unless it starts with a well-formed expression.
+def expression(lexemes: Iterable[str]) -> list[str]:
+    """The longest start of ``lexemes`` that is a well-formed expression. Reading stops at the first lexeme that can't
+    continue one, so what stands after it costs nothing."""
+    read: list[str] = []
+    whole = depth = 0
+    operand_next = True
+    for lexeme in lexemes:
+        if operand_next:
+            if lexeme in _PRECEDENCE or lexeme == ")":
+                break
+            depth += lexeme == "("
+            operand_next = lexeme == "("
+        elif lexeme == ")":
+            if not depth:
+                break
+            depth -= 1
+        elif lexeme in _PRECEDENCE:
+            operand_next = True
+        else:
+            break
+        read.append(lexeme)
+        if not operand_next and not depth:
+            whole = len(read)
+    return read[:whole]
+
+
+def evaluate(text: str, start: int = 0, end: int | None = None) -> tuple[frozenset[str], float] | None:
+    """Labels of the license expression at the start of a part of a text, and how freely it lets one reuse (or: the
+    freest, and: the least, with: an exception frees its license somewhat); None unless there is one.
 
-    Shunting-yard over identifiers, ``and``/``or``/``with`` and brackets; ``with`` binds closest, ``or`` loosest. The
-    expression ends before the first lexeme that can't continue it.
+    Shunting-yard over identifiers, ``and``/``or``/``with`` and brackets; ``with`` binds closest, ``or`` loosest. What
+    follows the expression on its line is prose. Takes time in the length of the expression.
     """
-    output: list[tuple[frozenset[str], float]] = []
+    found = _LEXEME.finditer(text, start, len(text) if end is None else end)
+    output: list[tuple[set[str], float]] = []
     operators: list[str] = []
-    # Where a whole expression last ended: what stands after it on the line is prose.
-    best = None
 
     def apply() -> None:
         operator = operators.pop()
         right, left = output.pop(), output.pop()
         if operator == "with":
             output.append((left[0], min(1.0, left[1] + EXCEPTION)))
-        else:
-            output.append((left[0] | right[0], (max if operator == "or" else min)(left[1], right[1])))
-
-    def finished():
-        """Value of what was read, if no bracket is open."""
-        if "(" in operators:
-            return None
-        values, pending = list(output), list(operators)
-        while operators:
-            apply()
-        value = output[0]
-        output[:], operators[:] = values, pending
-        return value
+            return
+        more, fewer = (left[0], right[0]) if len(left[0]) >= len(right[0]) else (right[0], left[0])
+        more |= fewer
+        output.append((more, (max if operator == "or" else min)(left[1], right[1])))
 
-    operand_next = True
-    for lexeme in _LEXEME.findall(expression):
-        if operand_next:
-            if lexeme == "(":
-                operators.append(lexeme)
-                continue
-            if lexeme in _PRECEDENCE or lexeme == ")":
-                break
-            label, freedom = family(lexeme)
-            output.append((frozenset([label]), freedom))
-            operand_next = False
+    for lexeme in expression(m.group() for m in found):
+        if lexeme == "(":
+            operators.append(lexeme)
         elif lexeme == ")":
-            if "(" not in operators:
-                break
             while operators[-1] != "(":
                 apply()
             operators.pop()
@@ -134,12 +140,12 @@ def evaluate(expression: str) -> tuple[frozenset[str], float] | None:
             while operators and operators[-1] != "(" and _PRECEDENCE[operators[-1]] >= _PRECEDENCE[lexeme]:
                 apply()
             operators.append(lexeme)
-            operand_next = True
         else:
-            break
-        if not operand_next:
-            best = finished() or best
-    return best
+            label, freedom = family(lexeme)
+            output.append(({label}, freedom))
+    while operators:
+        apply()
+    return (frozenset(output[0][0]), output[0][1]) if output else None
 
 
 class Scanner:
@@ -173,9 +179,12 @@ class Scanner:
                     base_labels.add(label)
                 doubt *= 1 - (BASE_WEIGHT if is_base else NOTICE_WEIGHT)
         freedom = None
+        line_end = -1
         for end, _ in self.tags.iter(lower):
-            line = lower[end + 1 :].split("\n", 1)[0] if "\n" in lower[end + 1 :] else lower[end + 1 :]
-            value = evaluate(line)
+            if line_end <= end:
+                line_end = lower.find("\n", end + 1)
+                line_end = len(lower) if line_end < 0 else line_end
+            value = evaluate(lower, end + 1, line_end)
             if value is not None:
                 labels |= value[0]
                 freedom = value[1] if freedom is None else min(freedom, value[1])

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import with_columns_from_text
+from gleaner.llm.common import unused, with_columns_from_text
 
 #: Shrinkage of class covariances to the pooled one, and of both to the diagonal.
 TO_POOLED, TO_DIAGONAL = 0.15, 0.05
@@ -225,6 +225,7 @@ def score(stats: DataFrame, model: Discriminant | float, threshold: float = THRE
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     keep = [c for c in stats.columns if c.lower() not in ("statistics", "score", "predicted")]
-    made = stats.withColumn("__score", F.arrow_udf(run, T.DoubleType())("statistics"))
-    out = made.select(*[made[f"`{c}`"] for c in keep], F.col("__score").alias("score"))
+    held = unused(stats, "__score")
+    made = stats.withColumn(held, F.arrow_udf(run, T.DoubleType())("statistics"))
+    out = made.select(*[made[f"`{c}`"] for c in keep], F.col(held).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
