@@ -70,24 +70,26 @@ def _islands(
 ) -> DataFrame:
     """Rows whose stretches ``[ts, ends)`` touch, as one row each: an island opens where no earlier stretch is still open.
 
-    The highest end so far and the latest opening so far are blocked running maxima; islands are then pre-aggregated.
+    Rows are dealt once, by key and block, and find their island within the block. Of a block only its highest end and the
+    start of its last island matter to later blocks: one summary row, carried across the blocks of a key. An island whose
+    start lies before the highest earlier end belongs to the last island that opened in an earlier block.
     """
-    inside = Window.partitionBy(*key, "_block").orderBy(ts).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    blocked = events.withColumn("_end", ends).withColumn("_block", block)
+    held = events.withColumns({"_end": ends, "_block": block, "_at": F.unix_micros(F.col(ts).cast("timestamp"))})
+    inside = Window.partitionBy(*key, "_block").orderBy("_at")
     # Rows of one time are one row for this purpose: an earlier end is the end of a strictly earlier row.
-    near = blocked.withColumn("_peak", F.max("_end").over(inside))
-    tops = blocked.groupBy(*key, "_block").agg(F.max("_end").alias("_top"))
+    open_until = F.max("_end").over(inside.rangeBetween(Window.unboundedPreceding, -1))
+    opened = held.withColumn("_open", F.when(open_until.isNull() | (F.col(ts) >= open_until), F.col(ts)))
+    near = opened.withColumn("_near", F.max("_open").over(inside.rangeBetween(Window.unboundedPreceding, 0)))
+    blocks = near.groupBy(*key, "_block").agg(F.max("_end").alias("_top"), F.max("_near").alias("_last"))
     across = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    halo = tops.withColumn("_halo", F.max("_top").over(across)).drop("_top")
-    joined = near.join(halo, [*key, "_block"])
-    times = joined.groupBy(*key, "_block", ts).agg(F.max("_peak").alias("_peak"), F.first("_halo").alias("_halo"))
-    step = Window.partitionBy(*key, "_block").orderBy(ts)
-    open_until = F.greatest(F.lag("_peak").over(step), F.col("_halo"))
-    opened = times.withColumn("_open", F.when(open_until.isNull() | (F.col(ts) >= open_until), F.col(ts)))
-    found = ordered.running_max(opened.select(*key, ts, "_open", F.col("_block").alias("_b")), list(key), ts, "_open", "_island", block=F.col("_b"))
-    summed = blocked.join(found.select(*key, ts, "_island"), [*key, ts]).groupBy(*key, "_island")
-    made = summed.agg(F.max("_end").alias(out), F.count(F.lit(1)).alias("n"), *aggregates)
-    return made.select(*key, F.col("_island").alias("started"), out, "n", *made.columns[len(key) + 3 :])
+    carried = blocks.withColumn("_carry", F.max("_top").over(across))
+    own = F.when(F.col("_carry").isNull() | (F.col("_last") >= F.col("_carry")), F.col("_last"))
+    carried = carried.withColumn("_before", F.max(own).over(across)).select(*key, "_block", "_carry", "_before")
+    joined = near.join(carried, [*key, "_block"])
+    starts_here = F.col("_carry").isNull() | (F.col("_near") >= F.col("_carry"))
+    island = F.when(starts_here, F.col("_near")).otherwise(F.col("_before"))
+    made = joined.groupBy(*key, island.alias("started")).agg(F.max("_end").alias(out), F.count(F.lit(1)).alias("n"), *aggregates)
+    return made.select(*key, "started", out, "n", *made.columns[len(key) + 3 :])
 
 
 def frame_gaps(
