@@ -16,6 +16,7 @@ from gleaner.functions import text as tx
 from gleaner.operators import annotate
 from gleaner.operators.fusion import IDENTITY
 from gleaner.operators.policy import no_blanks, phrase_in_title
+from gleaner.session import bounded_broadcast
 
 SECTION_KEY = ("doc_ord", "section_ord", "chunk_index")
 MATCH_FIELDS = (*SECTION_KEY, "source", "project", "title", "content", "score", "match_type", "semantic_score")
@@ -342,7 +343,9 @@ def expand_siblings(
     """
     group = ("source", "project", "title")
     m = matches.select("query_id", "rank", *key, *group)
-    s = materials.select(*key, *group)
+    # Only groups that have a match are ranked.
+    wanted = m.select(*group).distinct()
+    s = materials.select(*key, *group).join(bounded_broadcast(wanted), list(group), "left_semi")
     # Siblings of a match beyond ``limit`` can never be kept, so a group is cut per title before it meets a question.
     per_group = Window.partitionBy(*group).orderBy(*key)
     near = s.withColumn("_n", F.row_number().over(per_group)).filter(F.col("_n") <= limit + 1).drop("_n")

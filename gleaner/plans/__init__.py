@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("corpus", "lexical", "retrieval", "policy", "routing", "title_routing", "live")
+MODULES = ("corpus", "lexical", "retrieval", "policy", "routing", "title_routing", "answer_job", "live")
 
 
 def all_queries():

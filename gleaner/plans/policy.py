@@ -123,6 +123,20 @@ def context_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations(spark, sf_dir).select("conv_id", "turn", body.alias("body"))
 
 
+_WHOLE = _context_sql("text").replace("AS body", "AS ruled")
+
+
+@query(
+    "normalise_questions",
+    f"""SELECT conv_id, turn, replace(replace({_DICT_SQL}, '<', ''), '>', '') AS body FROM (
+  SELECT conv_id, turn, trim(regexp_replace(regexp_replace(ruled, '^\\s+|\\s+$', '', 'g'), '\\s{{2,}}', ' ', 'g')) AS t FROM ({_WHOLE}))""",
+)
+def normalise_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context rules, blanks and the dictionary in one go, as a question goes through them."""
+    whole = glossary.normalise_question("text", _ENTRIES, (), _RULES)
+    return conversations(spark, sf_dir).select("conv_id", "turn", whole.alias("body"))
+
+
 @query(
     "collapse_noise",
     r"""SELECT conv_id, turn, regexp_replace(regexp_replace(replace(text, '.', ' '), '^\s+|\s+$', '', 'g'), '\s{2,}', ' ', 'g') AS body
@@ -137,7 +151,7 @@ def collapse_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     "hot_words",
     """SELECT term, min(ord) AS ord FROM (
   SELECT trim(w) AS term, p_partkey AS ord FROM part, unnest(string_split(p_name || ' ' || p_type, ' ')) AS u(w))
-WHERE term <> '' GROUP BY term ORDER BY ord, term LIMIT 5000""",
+WHERE term <> '' GROUP BY term""",
 )
 def hot_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "part").select(

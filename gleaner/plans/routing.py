@@ -315,3 +315,44 @@ def prompt_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(
         "query_id", "scope_label", parsed.alias("r"), F.contains("user", F.lit("previous:\n")).alias("has_previous")
     ).select("query_id", "scope_label", "r.*", "has_previous")
+
+
+def _clip_sql(text: str, limit: int) -> str:
+    return f"CASE WHEN length(trim({text})) > {limit} THEN substr(trim({text}), 1, {limit}) || '…' ELSE trim({text}) END"
+
+
+_LIMITS = routing.lx.PROMPT_LIMITS
+_TEMPLATE = "Answer in order. " * 200
+_PROMPT_SQL = f"""scoped AS (SELECT item_id AS query_id, text AS query, CASE WHEN contains(text, 'ing') THEN 'project'
+  WHEN contains(text, 'que') THEN 'product' ELSE 'general' END AS scope, repeat(text, 3) AS previous, text || ' / ' || text AS context,
+  lower(text) AS background FROM benchmark),
+asked AS (SELECT query_id, 'question: ' || query || E'\\n\\nscope: ' || CASE scope WHEN 'project' THEN 'project'
+    WHEN 'product' THEN '{routing.lx.SCOPE_LABELS["product"]}' ELSE '{routing.lx.SCOPE_LABELS["general"]}' END
+  || E'\\n\\nprevious:\\n' || {_clip_sql("previous", _LIMITS["previous"])} || E'\\n\\nmaterial:\\n' || context
+  || E'\\n\\nbackground:\\n' || {_clip_sql("background", _LIMITS["personal"])}
+  || E'\\n\\ntemplate:\\n' || {_clip_sql(f"'{_TEMPLATE}'", _LIMITS["template"])} AS u FROM scoped)"""
+
+
+@query(
+    "prompt_texts",
+    base.with_ctes(
+        _PROMPT_SQL,
+        f"""SELECT query_id, u AS "user", to_json({{'model': 'm1', 'temperature': {routing.lx.REQUEST_TEMPERATURE}::DOUBLE,
+  'max_tokens': {routing.lx.REQUEST_MAX_TOKENS}, 'messages': [{{'role': 'system', 'content': 'Be brief.'}}, {{'role': 'user', 'content': u}}],
+  'stream': true}})::VARCHAR AS request FROM asked""",
+    ),
+)
+def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole prompts and requests, with every part and every limit in use."""
+    q = base.questions(spark, sf_dir)
+    scope = F.when(F.contains("query", F.lit("ing")), "project").when(F.contains("query", F.lit("que")), "product")
+    q = q.withColumns(
+        {
+            "scope": scope.otherwise("general"),
+            "context": F.concat_ws(" / ", "query", "query"),
+            "personal_context": F.lower("query"),
+            "previous_context": F.repeat("query", F.lit(3)),
+            "template": F.lit(_TEMPLATE),
+        }
+    )
+    return routing.prompt_requests(q, "m1", "Be brief.").select("query_id", "user", "request")

@@ -39,41 +39,58 @@ def _reason(name: str) -> str:
     return "'" + lx.REASONS[name] + "'"
 
 
-def _picked(name: str, rules, take: int, floor: int) -> str:
+def _picked(name: str, rules, take: int, floor: int, doc: str, order: str) -> str:
     arms = " ".join(f"WHEN regexp_matches(title, '{p}') THEN {n}" for n, p in rules)
-    return f"""{name} AS (SELECT query_id, list({{'doc': doc_ord || '/' || chunk_index, 'score': greatest(score, {floor})}} ORDER BY priority DESC, doc_ord, chunk_index) AS l FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY priority DESC, doc_ord, chunk_index) AS n FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id, title ORDER BY priority DESC, doc_ord, chunk_index) AS tn
+    return f"""{name} AS (SELECT query_id, list({{'doc': {doc}, 'score': greatest(score, {floor})}} ORDER BY priority DESC, {order}) AS l FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY priority DESC, {order}) AS n FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id, title ORDER BY priority DESC, {order}) AS tn
     FROM (SELECT *, CASE {arms} END AS priority FROM tested WHERE NOT meta) WHERE priority IS NOT NULL) WHERE tn = 1)
   WHERE n <= {take} GROUP BY query_id)"""
 
 
-def _routes_sql() -> str:
+def predicates_sql(source: str, name: str = "q") -> str:
+    """``name``: the rows of ``source(query_id, query, …)`` with the predicates of the routing."""
     r = _RULES
-    q = f"""titled AS (SELECT title, doc_ord, regexp_extract(content, '^\\s*\\S+\\s+\\S+\\s+(\\S+)', 1) AS third FROM docs WHERE title <> ''),
-q0 AS (SELECT min(doc_ord) AS query_id, title, arg_min(third, doc_ord) AS third FROM titled GROUP BY title),
-q1 AS (SELECT query_id, lower(split_part(regexp_replace(title, '\\s+', ' ', 'g'), ' ', 1)) AS word,
-  CASE WHEN query_id % 2 = 0 THEN title ELSE title || ' ' || third END AS query FROM q0),
-q AS (SELECT *, length(query) % 2 = 0 AS allow, {_any("d", r["own_overview"])} AS q_own, {_any("d", r["profile"])} AS q_profile,
+    return f"""{name} AS (SELECT *, length(query) % 2 = 0 AS allow, {_any("d", r["own_overview"])} AS q_own, {_any("d", r["profile"])} AS q_profile,
   regexp_matches(d, '{r["practice"][0]}') AND regexp_matches(d, '{r["practice"][1]}') AS q_practice,
   {_any("d", r["zero_to_one"])} AS q_zero, {_any("d", r["scenario"])} AS q_scenario,
   regexp_matches(query, '{r["technology"]}') AS q_technology, regexp_matches(query, '{r["count"]}') AS q_count,
   (NOT regexp_matches(query, '{r["overview_veto"]}') AND {_any("query", r["overview"])}) OR regexp_matches(query, '{r["overview_always"]}') AS q_overview
-  FROM (SELECT *, regexp_replace(query, '\\s+', '', 'g') AS d FROM q1))"""
-    cand = f"""s AS (SELECT *, lower(split_part(regexp_replace(title, '\\s+', ' ', 'g'), ' ', 1)) AS word, length(content) % 13 AS score,
-  ['keyword', 'hybrid', 'semantic'][1 + length(content) % 3] AS match_type FROM sections WHERE length(content) > 150),
-best AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, doc_ord, chunk_index) AS rank FROM s QUALIFY rank <= {_TAKEN}),
-tested AS (SELECT *, regexp_matches(title, '{_META_TITLE}') OR regexp_matches(title || E'\\n' || content, '{_META_TEXT}') AS meta,
+  FROM (SELECT *, regexp_replace(query, '\\s+', '', 'g') AS d FROM {source}))"""
+
+
+def tested_sql(source: str) -> str:
+    """``tested``: candidates ``source(query_id, query, rank, title, project, content, …)`` with the flags of the routing."""
+    return f"""tested AS (SELECT *, regexp_matches(title, '{_META_TITLE}') OR regexp_matches(title || E'\\n' || content, '{_META_TEXT}') AS meta,
   regexp_matches(title, '{_PROFILE}') AS profile, regexp_matches(concat_ws(E'\\n', title, content), '{_PRACTICE}') AS f_practice,
   len(regexp_extract_all(query, '{_TERMS}')) >= 1 AND regexp_matches(title, '{_EXPLICIT}') AND len(list_filter(
     regexp_extract_all(query, '{_TERMS}'), lambda t: NOT regexp_matches(title, '(?i)\\b' || t || '\\b'))) = 0 AS f_explicit,
   len(list_filter(regexp_extract_all(lower(query), '[a-z][a-z0-9_-]{{1,}}'), lambda t: NOT contains(low, t))) = 0
     AND len(list_filter(regexp_extract_all(lower(query), '[a-z0-9]+'), lambda w: contains(low, w))) > 0 AS f_specific,
   regexp_matches(concat_ws(' ', title, content), '{_COUNTED}') AS f_count
-  FROM (SELECT q.query_id, q.query, best.*, lower(concat_ws(' ', title, project, content)) AS low FROM q JOIN best USING (word)))"""
+  FROM (SELECT *, lower(concat_ws(' ', title, project, content)) AS low FROM {source}))"""
+
+
+def _routes_sql() -> str:
+    q = f"""titled AS (SELECT title, doc_ord, regexp_extract(content, '^\\s*\\S+\\s+\\S+\\s+(\\S+)', 1) AS third FROM docs WHERE title <> ''),
+q0 AS (SELECT min(doc_ord) AS query_id, title, arg_min(third, doc_ord) AS third FROM titled GROUP BY title),
+q1 AS (SELECT query_id, lower(split_part(regexp_replace(title, '\\s+', ' ', 'g'), ' ', 1)) AS word,
+  CASE WHEN query_id % 2 = 0 THEN title ELSE title || ' ' || third END AS query FROM q0),
+{predicates_sql("q1")}"""
+    cand = f"""s AS (SELECT *, lower(split_part(regexp_replace(title, '\\s+', ' ', 'g'), ' ', 1)) AS word, length(content) % 13 AS score,
+  ['keyword', 'hybrid', 'semantic'][1 + length(content) % 3] AS match_type FROM sections WHERE length(content) > 150),
+best AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, doc_ord, chunk_index) AS rank FROM s QUALIFY rank <= {_TAKEN}),
+asked AS (SELECT q.query_id, q.query, best.* FROM q JOIN best USING (word)),
+{tested_sql("asked")}"""
+    return ",\n".join([base.CHUNK_SQL, q, cand, decision_sql("doc_ord || '/' || chunk_index", "doc_ord, chunk_index")])
+
+
+def decision_sql(doc: str, order: str, questions: str = "q") -> str:
+    """``decided(query_id, d)``: the whole decision over ``questions`` and ``tested``; ``doc`` names a candidate, ``order`` is
+    corpus order."""
     four = f"""four AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM tested WHERE NOT meta
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= {_ROUTED})"""
-    item = "{'doc': doc_ord || '/' || chunk_index, 'score': score}"
+    item = f"{{'doc': {doc}, 'score': score}}"
     ranked = ", ".join(
         f"coalesce(list({item} ORDER BY rank) FILTER (f_{f}), []) AS l_{f}" for f in ("practice", "explicit", "specific")
     )
@@ -113,10 +130,9 @@ prof AS (SELECT query_id, [arg_min({item}, rank)] AS l FROM tested WHERE profile
     decided = f"""decided AS (SELECT query_id, CASE {" ".join(arms)} END AS d FROM (SELECT q.*, {empty} AS l_none, {typed("agg.m")} AS m,
   {typed("agg.l_practice")} AS l_practice, {typed("agg.l_explicit")} AS l_explicit, {typed("agg.l_specific")} AS l_specific, top_count,
   {typed("prof.l")} AS p, {typed("ov.l")} AS o, {typed("te.l")} AS t
-  FROM q LEFT JOIN agg USING (query_id) LEFT JOIN prof USING (query_id) LEFT JOIN ov USING (query_id) LEFT JOIN te USING (query_id)))"""
-    return ",\n".join(
-        [base.CHUNK_SQL, q, cand, four, agg, _picked("ov", _OVERVIEW, 2, 20), _picked("te", _TECHNOLOGY, 3, 18), decided]
-    )
+  FROM {questions} q LEFT JOIN agg USING (query_id) LEFT JOIN prof USING (query_id) LEFT JOIN ov USING (query_id) LEFT JOIN te USING (query_id)))"""
+    picks = [_picked("ov", _OVERVIEW, 2, 20, doc, order), _picked("te", _TECHNOLOGY, 3, 18, doc, order)]
+    return ",\n".join([four, agg, *picks, decided])
 
 
 def _word(title: str) -> F.Column:
@@ -150,12 +166,11 @@ def title_candidates(spark: SparkSession, sf_dir: str, questions: DataFrame) ->
     return questions.select("query_id", "word", "query").join(best, "word").drop("word")
 
 
-def title_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = materialise(title_questions(spark, sf_dir))
-    c = materialise(title_candidates(spark, sf_dir, q))
+def decide(q: DataFrame, c: DataFrame, key=routing.SECTION_KEY) -> DataFrame:
+    """The routes of questions ``q`` over candidates ``c``, both materialised."""
     meta = routing.is_metadata(title_rule=_META_TITLE, text_rule=_META_TEXT)
     picks = [
-        routing.priority_pick(c, rules, take, floor, metadata=meta)
+        routing.priority_pick(c, rules, take, floor, key=key, metadata=meta)
         for rules, take, floor in ((_OVERVIEW, 2, 20), (_TECHNOLOGY, 3, 18))
     ]
     return routing.route(
@@ -172,6 +187,11 @@ def title_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def title_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = materialise(title_questions(spark, sf_dir))
+    return decide(q, materialise(title_candidates(spark, sf_dir, q)))
+
+
 def _keys(array: str) -> F.Column:
     return F.array_join(F.transform(array, lambda m: F.concat_ws("/", m["doc_ord"].cast("string"), m["chunk_index"].cast("string"))), ",")
 

@@ -82,9 +82,3 @@ def fill_missing(
         )
     added = incoming.join(current.select(key).distinct(), key, "left_anti")
     return current.unionByName(added.select(*current.columns))
-
-
-def newest_per_key(rows: DataFrame, key: str, order: Sequence) -> DataFrame:
-    """First row per key under an explicit order, as a ranking window (planned with a group limit before the shuffle)."""
-    window = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("_rank", F.row_number().over(window)).filter("_rank = 1").drop("_rank")
