@@ -50,8 +50,9 @@ items AS (SELECT query_id, d.mode AS mode, d.reason AS reason, unnest(d.l).doc A
   WHERE d.mode IN ('direct', 'compose')),
 kept AS (SELECT i.query_id, f.m, f.title, f.project, f.content, row_number() OVER (PARTITION BY i.query_id ORDER BY n) AS rank
   FROM items i JOIN twelve f ON f.query_id = i.query_id AND f.m = i.m
-  LEFT JOIN ov ON ov.query_id = i.query_id LEFT JOIN te ON te.query_id = i.query_id
-  WHERE match_type IN ('keyword', 'hybrid')
+  LEFT JOIN ov ON ov.query_id = i.query_id LEFT JOIN te ON te.query_id = i.query_id LEFT JOIN sk ON sk.query_id = f.query_id
+    AND sk.source = f.source AND sk.project = f.project AND sk.title = f.title AND sk.content = f.content
+  WHERE f.match_type IN ('keyword', 'hybrid') OR (f.match_type = 'semantic' AND sk.semantic_score >= {lx.EVIDENCE_SIMILARITY})
     OR (reason IN ({title_routing._reason("scenario")}, {title_routing._reason("project")}) AND list_contains(list_transform(ov.l, lambda x: x.doc), i.m))
     OR (reason = {title_routing._reason("technology")} AND list_contains(list_transform(te.l, lambda x: x.doc), i.m))),
 grounded AS (SELECT query_id, string_agg(m, ',' ORDER BY rank) AS docs,

@@ -39,6 +39,16 @@ NAMES = (
     "markup_tables",
     "throttled_rebuilds",
     "voice_sessions",
+    "fold_captures",
+    "fold_transcripts",
+    "timed_captures",
+    "missed_frames",
+    "normalise_questions",
+    "prompt_texts",
+    "route_title_questions",
+    "title_evidence",
+    "explicit_title_questions",
+    "answer_job",
 )
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables are not here")
 
