@@ -29,9 +29,9 @@ def some_questions(spark):
     return features.question_features(spark.createDataFrame(rows, "query_id long, query string"))
 
 
-@pytest.mark.parametrize("pairs", [lexical_index.EXPANSION_ROWS, 60])
-def test_equals_full_scan(spark, tmp_path, monkeypatch, pairs):
-    monkeypatch.setattr(lexical_index, "EXPANSION_ROWS", pairs)
+@pytest.mark.parametrize("questions_a_pass", [lexical_index.QUESTIONS, 3])
+def test_equals_full_scan(spark, tmp_path, monkeypatch, questions_a_pass):
+    monkeypatch.setattr(lexical_index, "QUESTIONS", questions_a_pass)
     monkeypatch.setattr(lexical_index, "FIRST", 2)
     sections = some_sections(spark)
     index = lexical_index.write(sections, str(tmp_path / "index"), KEY)
