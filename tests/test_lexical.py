@@ -105,6 +105,18 @@ def test_contains_join_is_exact(spark):
         assert sorted(map(tuple, got)) == want
 
 
+def test_contains_join_checks_broadcast_needles_in_place(spark):
+    """Candidates outnumber the text they come from, so they must not be exchanged before the check."""
+    from gleaner.operators.containment import contained_words, contains_join
+
+    h = spark.createDataFrame([("retrieval of knowledge",), ("knower",)], "haystack string")
+    n = spark.createDataFrame([("knowl",), ("retrieval",), ("xknow",)], "needle string")
+    for joined in (contains_join(h, n, sizes=(5,)), contained_words(h, n, word="haystack", size=5)):
+        assert sorted(map(tuple, joined.collect())) == [("retrieval of knowledge", "knowl"), ("retrieval of knowledge", "retrieval")]
+        probe = joined._jdf.queryExecution().optimizedPlan().toString()
+        assert "_h1" not in probe and probe.count("Join") == 2 + probe.count("LeftSemi")
+
+
 RANKED = "query_id long, rank int, score double, match_type string, source string, project string, title string, content string"
 
 

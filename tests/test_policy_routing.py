@@ -112,6 +112,10 @@ def test_project_context(spark):
     )
     got = {r.query_id: r.explicit_id for r in policy.explicit_projects(q, projects).collect()}
     assert got == {1: "geo plus", 2: "geo", 4: "geo"}
+    long = q.union(spark.createDataFrame([(5, "ageo plusb"), (6, "Xgeo"), (7, "plus geo"), (8, None), (1, "geo")], q.schema))
+    for sizes in ((1, 2, 3), (1, 2, 3, 4)):
+        got = sorted((r.query_id, r.explicit_id) for r in policy.explicit_projects(long, projects, sizes=sizes).collect())
+        assert got == [(1, "geo plus"), (2, "geo"), (4, "geo"), (5, "geo plus"), (6, "geo"), (7, "geo")]
     rows = spark.createDataFrame(
         [("x", "a", "b", "l"), ("x", "a", "b", None), ("CEO 项目", None, "b", None), ("x", None, "b", None), ("x", None, None, None)],
         "t string, e string, a string, l string",
