@@ -117,6 +117,15 @@ def test_contains_join_checks_broadcast_needles_in_place(spark):
         assert "_h1" not in probe and probe.count("Join") == 2 + probe.count("LeftSemi")
 
 
+def test_possible_needles_lose_no_pair(spark):
+    from gleaner.operators.containment import possible_needles
+
+    h = spark.createDataFrame([("the leader",), ("agent \n one",), (None,)], "haystack string")
+    n = spark.createDataFrame([("leader",), ("he lea",), ("t \n o",), ("a b c",), ("leader of all the agents",)], "needle string")
+    assert sorted(r.needle for r in possible_needles(n, h).collect()) == ["he lea", "leader", "t \n o"]
+    assert possible_needles(n, h.limit(0)).count() == 0
+
+
 RANKED = "query_id long, rank int, score double, match_type string, source string, project string, title string, content string"
 
 
