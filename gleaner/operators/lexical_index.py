@@ -74,7 +74,8 @@ def write(
     within it they keep the order of ``key``. Keys must be unique."""
     spark = sections.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    columns = dict.fromkeys([*key, *cluster, "title", "content", "project", "aliases", "role"])
+    forms = [c for c in ("title_forms",) if c in sections.columns]
+    columns = dict.fromkeys([*key, *cluster, "title", "content", "project", "aliases", "role", *forms])
     order = [*cluster, *key]
     laid = sections.select(*columns).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
     # A number holds the partition above and the place below, so a block never spans two partitions.

@@ -82,9 +82,18 @@ s AS (
 
 
 def scored_sections(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
-    """All sections, laid out for scoring; or those of the documents in ``only``, to fetch the texts of matches."""
-    s = base.partitioned_chunks(spark, sf_dir) if only is None else base.chunk_sections(spark, sf_dir, only)
-    return s.withColumns(
+    """All sections, laid out for scoring; or those of the documents in ``only``, to fetch the texts of matches.
+
+    The SQL counts a title term once for each title that reads alike in lower case, hence ``title_forms``.
+    """
+    if only is not None:
+        return _with_names(base.chunk_sections(spark, sf_dir, only))
+    docs = _with_names(base.document_sections(spark, sf_dir))
+    return base.partitioned_chunks(spark, lexical.with_title_forms(docs, lexical.exclude_glossary(docs, "^src19")))
+
+
+def _with_names(sections: DataFrame) -> DataFrame:
+    return sections.withColumns(
         {
             "role": F.when(F.col("project") == "de", "profile").otherwise("general"),
             "aliases": F.array(
@@ -382,7 +391,7 @@ WHERE rank <= 5""",
 def benchmark_best_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship slice: documents to chunks, benchmark passages to tokens, token hits, top five chunks per passage."""
     none = F.lit(None).cast("string")
-    bare = base.partitioned_chunks(spark, sf_dir).withColumns(
+    bare = base.partitioned_chunks(spark, base.document_sections(spark, sf_dir)).withColumns(
         {"title": none, "project": none, "role": none, "aliases": F.lit(None).cast("array<string>")}
     )
     q = base.questions(spark, sf_dir).withColumn("q_tokens", features.tokens("query", STOP))

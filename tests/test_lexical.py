@@ -126,6 +126,19 @@ def test_possible_needles_lose_no_pair(spark):
     assert possible_needles(n, h.limit(0)).count() == 0
 
 
+def test_title_forms_multiply_coverage(spark):
+    rows = [(1, "Agent memory", "p"), (2, "AGENT memory", "p"), (3, "Agent memory", "p"), (4, "agent Memory", "q"), (5, None, "p")]
+    s = spark.createDataFrame(rows, "doc_ord int, title string, project string").withColumns(
+        {"section_ord": F.lit(0), "chunk_index": F.lit(0), "content": F.lit(""), "role": F.lit(""), "aliases": F.array("project")}
+    )
+    counted = lexical.with_title_forms(s, s)
+    assert {r.doc_ord: r.title_forms for r in counted.collect()} == {1: 2, 2: 2, 3: 2, 4: 1, 5: 1}
+    postings = spark.createDataFrame([(1, "agent", 0, 0, 1, 0)], "query_id int, needle string, nt int, nx int, nc int, nr int")
+    scored = {r.doc_ord: r.coverage for r in lexical.score_pairs(counted, postings).collect()}
+    assert scored == {1: 48, 2: 48, 3: 48}
+    assert lexical.score_pairs(s, postings).count() == 0
+
+
 RANKED = "query_id long, rank int, score double, match_type string, source string, project string, title string, content string"
 
 
