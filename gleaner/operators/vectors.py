@@ -31,15 +31,21 @@ def embedding_text(
 
 
 def hashed_embedder(width: int = 64) -> Embedder:
-    """Stand-in model: mean of hashed word features, scaled to unit length. Needs no model file."""
+    """Stand-in model: mean of hashed word features, scaled to unit length. Needs no model file.
+
+    Where the signs of a text's words cancel each other out, they are left away, so only a text without words is zero.
+    """
 
     def embed(texts: list[str]) -> list[np.ndarray]:
         out = []
         for text in texts:
             vector = np.zeros(width, dtype=np.float32)
-            for word in text.lower().split():
-                h = zlib.crc32(word.encode("utf-8"))
+            hashes = [zlib.crc32(word.encode("utf-8")) for word in text.lower().split()]
+            for h in hashes:
                 vector[h % width] += 1.0 if h & 0x80000000 else -1.0
+            if not vector.any():
+                for h in hashes:
+                    vector[h % width] += 1.0
             norm = float(np.linalg.norm(vector))
             out.append(vector / norm if norm else vector)
         return out

@@ -139,6 +139,18 @@ def test_title_forms_multiply_coverage(spark):
     assert lexical.score_pairs(s, postings).count() == 0
 
 
+def test_words_that_cancel_out_have_a_vector():
+    from itertools import count
+    from zlib import crc32
+
+    from gleaner.operators.vectors import hashed_embedder
+
+    first = crc32(b"agent")
+    other = next(f"w{i}" for i in count() if crc32(f"w{i}".encode()) % 64 == first % 64 and (crc32(f"w{i}".encode()) ^ first) >> 31)
+    both, none = hashed_embedder()([f"agent {other}", " "])
+    assert abs(float(both @ both) - 1) < 1e-6 and not none.any()
+
+
 RANKED = "query_id long, rank int, score double, match_type string, source string, project string, title string, content string"
 
 
