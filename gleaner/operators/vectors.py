@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,8 @@ Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 SECTION_KEY = ("doc_ord", "section_ord", "chunk_index")
 #: Query vectors that are broadcast together.
 QUERY_BLOCK = 20_000
+#: Query vectors and stored vectors of a tile: its scores stay in a core's cache while they are summed.
+QUERY_TILE, STORED_TILE = 128, 512
 
 
 def embedding_text(
@@ -111,27 +115,104 @@ def with_norm(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return vectors.withColumn("sq_norm", similarity.squared_norm(vector))
 
 
+def _packed(rows: DataFrame, size: int) -> DataFrame:
+    """One row per ``size`` rows of a task, every column a list."""
+    schema = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in rows.schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, size):
+                part = batch.slice(start, size)
+                offsets = pa.array([0, part.num_rows], pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.concat_arrays([c])) for c in part.columns]
+                yield pa.RecordBatch.from_arrays(lists, names=part.schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _by_width(vectors: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places, components (by position) and squared norms of the vectors of each width that have a direction."""
+    widths = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(vectors), 0))
+    out = {}
+    for width in np.unique(widths[widths > 0]):
+        places = np.flatnonzero(widths == width)
+        flat = vectors.take(pa.array(places)).flatten().cast(pa.float64())
+        whole = np.asarray(flat.is_valid()).reshape(-1, width).all(axis=1)
+        values = np.ascontiguousarray(flat.to_numpy(zero_copy_only=False).reshape(-1, width)[whole].T)
+        squares = np.zeros(values.shape[1])
+        for component in values:
+            squares += component * component
+        usable = ~(squares <= 0)
+        out[int(width)] = places[whole][usable], np.ascontiguousarray(values[:, usable]), squares[usable]
+    return out
+
+
+def _cosines(queries: pa.ListArray, vectors: pa.ListArray) -> np.ndarray:
+    """Cosines of all pairs; 0 as in ``similarity.cosine``. Products are summed in the order of the components, so the
+    values are those of a sum row by row."""
+    out = np.zeros((len(queries), len(vectors)))
+    right = _by_width(vectors)
+    for width, (rows, q, q_sq) in _by_width(queries).items():
+        columns, v, v_sq = right.get(width, (np.empty(0, int),) * 3)
+        if not len(rows) or not len(columns):
+            continue
+        dots, product = np.zeros((len(rows), len(columns))), np.empty((len(rows), len(columns)))
+        for a, b in zip(q, v):
+            np.multiply(a[:, None], b[None, :], out=product)
+            dots += product
+        out[np.ix_(rows, columns)] = dots / np.sqrt(q_sq[:, None] * v_sq[None, :])
+    return out
+
+
 def similarities(
     queries: DataFrame,
     vectors: DataFrame,
     key: Sequence[str],
     exclude_self: str | None = None,
     block_rows: int = QUERY_BLOCK,
+    at_least: float | None = None,
+    best: int | None = None,
 ) -> DataFrame:
     """Cosine of every query vector with every stored vector, as one scan of the stored side per block of queries.
 
     ``queries`` holds ``(query_id, query_vector)``. The stored vectors are never moved before the top-k; the queries are
-    broadcast, in blocks of about ``block_rows`` (by the hash of their id) where there are more.
+    broadcast, in blocks of about ``block_rows`` (by the hash of their id) where there are more. Both sides are packed, so
+    that a row of the product is a tile of pairs. Pairs below ``at_least``, and those that are not among a tile's ``best``
+    of their question (ties stay), need not leave the tile.
     """
-    q = queries.withColumn("q_sq", similarity.squared_norm("query_vector"))
-    condition = F.lit(True) if exclude_self is None else F.col("query_id") != F.col(exclude_self)
-    stored = vectors if "sq_norm" in vectors.columns else with_norm(vectors)
-    score = similarity.cosine("query_vector", "embedding", F.col("q_sq"), F.col("sq_norm"))
+    stored = _packed(vectors.select(*key, F.col("embedding").alias("_embedding")), STORED_TILE)
+    q = queries.select("query_id", "query_vector")
+    schema = T.StructType(
+        [q.schema["query_id"], *[vectors.schema[c] for c in key], T.StructField("semantic_score", T.DoubleType())]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    cell = {name: batch.column(name).slice(i, 1).flatten() for name in batch.schema.names}
+                    scores = _cosines(cell["query_vector"], cell["_embedding"])
+                    keep = np.ones(scores.shape, bool)
+                    if exclude_self is not None:
+                        own = cell["query_id"].to_numpy(zero_copy_only=False)[:, None]
+                        keep &= own != cell[exclude_self].to_numpy(zero_copy_only=False)[None, :]
+                    if at_least is not None:
+                        keep &= ~(scores < at_least)
+                    if best is not None and scores.shape[1] > best + 1:
+                        # One more than asked for, as the vector itself may be among them.
+                        least = np.partition(scores, -best - 1, axis=1)[:, -best - 1]
+                        keep &= ~(scores < least[:, None])
+                    row, column = np.nonzero(keep)
+                    row_of, column_of = pa.array(row), pa.array(column)
+                    columns = [cell["query_id"].take(row_of), *[cell[c].take(column_of) for c in key]]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(scores[row, column])], names=schema.names)
+
     blocks = max(1, -(-queries.count() // block_rows))
     out = None
     for block in range(blocks):
         own = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        scored = stored.join(F.broadcast(own), condition).select("query_id", *key, score.alias("semantic_score"))
+        tiles = stored.join(F.broadcast(_packed(own, QUERY_TILE)))
+        scored = tiles.mapInArrow(run, schema)
         out = scored if out is None else out.unionByName(scored)
     return out
 

@@ -151,6 +151,31 @@ def test_words_that_cancel_out_have_a_vector():
     assert abs(float(both @ both) - 1) < 1e-6 and not none.any()
 
 
+def test_tiled_similarities_equal_row_by_row_cosines(spark, monkeypatch):
+    from gleaner.functions import similarity
+    from gleaner.operators import vectors
+
+    monkeypatch.setattr(vectors, "QUERY_TILE", 3)
+    monkeypatch.setattr(vectors, "STORED_TILE", 8)
+    odd = [None, [], [0.0, 0.0], [1.0, None], [1.0], [float("nan"), 1.0], [float("inf"), 1.0]]
+    values = odd + [[float(i % 5) - 2, float(i % 3) - 0.7] for i in range(40)]
+    v = spark.createDataFrame(list(enumerate(values)), "vec_id long, embedding array<float>").repartition(3)
+    q = v.filter("vec_id % 4 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    plain = q.join(v, F.col("query_id") != F.col("vec_id")).select(
+        "query_id", "vec_id", similarity.cosine("query_vector", "embedding").alias("semantic_score")
+    )
+
+    def rows(df):
+        return sorted(map(str, df.select("query_id", "vec_id", "semantic_score").collect()))
+
+    assert rows(vectors.similarities(q, v, ["vec_id"], "vec_id")) == rows(plain)
+    bounded = vectors.similarities(q, v, ["vec_id"], "vec_id", at_least=0.2)
+    assert rows(vectors.threshold_rank(bounded, ["vec_id"], 0.2)) == rows(plain.filter("semantic_score >= 0.2"))
+    best = vectors.similarities(q, v, ["vec_id"], "vec_id", best=2)
+    assert best.count() < plain.count()
+    assert rows(vectors.vector_top_k(best, ["vec_id"], 2)) == rows(vectors.vector_top_k(plain, ["vec_id"], 2))
+
+
 RANKED = "query_id long, rank int, score double, match_type string, source string, project string, title string, content string"
 
 
