@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from gleaner import lexicons as lx
 from gleaner.operators import lexical
 from gleaner.operators.containment import anchor_by_rarity, word_grams
+from gleaner.operators.needle_sums import POINTS, SUMS, Asked, spread, total
 from gleaner.session import bounded_broadcast, materialise
 
 BLOCK_BITS = 4
@@ -38,9 +39,6 @@ EXPANSION_ROWS = 8_000_000
 QUESTIONS = 2_000
 #: Cells (section, question) whose sums a task holds at once.
 CELLS = 1 << 20
-POINTS = ("t", "x", "c", "k", "i", "p")
-FLAGS = ("nt", "nx", "nc", "nr", "nr", "nr")
-SUMS = ("direct", "technical", "covered", "concept", "intent", "phrase")
 
 
 @dataclass
@@ -116,62 +114,6 @@ def titles(index: Index) -> DataFrame:
     return index.words.where(F.startswith("word", rule)).select(F.substring("word", 3, 2**30).alias("title"))
 
 
-@dataclass
-class Asked:
-    """Some questions as arrays: needles by word number, question flags by needle."""
-
-    wids: np.ndarray
-    word_ends: np.ndarray
-    nids: np.ndarray
-    needle_ends: np.ndarray
-    places: np.ndarray
-    flags: np.ndarray
-    ids: list
-
-    def scores(self, place: np.ndarray, wid: np.ndarray, points: np.ndarray, n: int, wanted: np.ndarray | None = None):
-        """The six sums, ``(6, n, questions)``, of postings at ``place`` (below n); only of cells ``wanted[place,
-        question]``, if given."""
-        size = len(self.ids)
-        if not len(self.wids) or not len(wid):
-            return np.zeros((len(SUMS), n, size))
-        at = np.minimum(np.searchsorted(self.wids, wid), len(self.wids) - 1)
-        known = self.wids[at] == wid
-        place, points, at = place[known], points[:, known], at[known]
-        row, needle = _spread(self.word_ends, at)
-        cell = place[row] * (len(self.needle_ends) - 1) + self.nids[needle]
-        order = np.argsort(cell, kind="stable")
-        cell, row = cell[order], row[order]
-        starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
-        if not len(starts):
-            return np.zeros((len(SUMS), n, size))
-        # Words that hold a needle add up to the cap; of the other points the highest counts.
-        got = [np.minimum(np.add.reduceat(points[0][row], starts), lx.TOKEN_CAP)]
-        got += [np.maximum.reduceat(p[row], starts) for p in points[1:]]
-        place, nid = np.divmod(cell[starts], len(self.needle_ends) - 1)
-        row, post = _spread(self.needle_ends, nid)
-        to = place[row] * size + self.places[post]
-        if wanted is not None:
-            due = wanted.ravel()[to]
-            row, post, to = row[due], post[due], to[due]
-        flags = {name: self.flags[i][post] for i, name in enumerate(("nt", "nx", "nc", "nr"))}
-        sums = [np.bincount(to, g[row] * flags[f], n * size) for g, f in zip(got, FLAGS)]
-        return np.array(sums).reshape(len(SUMS), n, size)
-
-
-def _spread(ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For the slices ``ends[a]:ends[a + 1]`` of all ``at``: the number of the slice and the place, one after the other."""
-    sizes = ends[at + 1] - ends[at]
-    row = np.repeat(np.arange(len(at)), sizes)
-    first = np.repeat(ends[at] - (np.cumsum(sizes) - sizes), sizes)
-    return row, np.arange(len(row)) + first
-
-
-def total(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The coverage and the score of six sums. Of highest points it is an upper bound: every part grows with them."""
-    coverage = np.where(sums[2] >= lx.TITLE_COVERAGE_MIN, sums[2] * lx.TITLE_COVERAGE_POINTS, 0)
-    return coverage, coverage + sums[0] + sums[1] + sums[3] + sums[4] + sums[5]
-
-
 def _asked(index: Index, postings: DataFrame) -> Iterator[Asked]:
     """The questions in groups whose needles meet at most ``EXPANSION_ROWS`` words (or one question)."""
     needles = postings.select("needle").distinct()

@@ -246,3 +246,32 @@ def test_cosine_guards(spark):
     ]
     d = spark.createDataFrame(rows, "a array<float>, b array<float>")
     assert [round(r.c, 6) for r in d.select(cosine("a", "b").alias("c")).collect()] == [0, 0, 0, -1, 1, 0]
+
+
+def test_pairs_in_place_equal_the_joins(spark, monkeypatch):
+    """Sections repeated under one key, over several batches and blocks; needles in parts of words, alone and as rules."""
+    words = ["agent", "agents", "memory", "re", "a", "项目", "memo-ry", "Éen", "x" * 300]
+    rows = [
+        (i % 40 if i % 40 != 7 else None, 0, i % 3, " ".join(words[i % 4 : i % 4 + 2]), " ".join(words[(i * j) % 9] for j in range(i % 7)),
+         words[i % 5], "profile" if i % 6 else None, ["ment", None] if i % 2 else None)
+        for i in range(300)
+    ]
+    s = spark.createDataFrame(
+        rows, "doc_ord int, section_ord int, chunk_index int, title string, content string, project string, role string, aliases array<string>"
+    )
+    needles = [(q, n, 1 + q % 2, int(n != "re"), q % 2, 0) for q in range(30) for n in ("gent", "re", "mem", "x" * 200, "a", "项目", None)]
+    needles += [(q, f"{lexical._RULE}{r}", 0, 0, 0, 1) for q in (1, 2, None) for r in ("kment", "pagent agents", "imetric")]
+    p = spark.createDataFrame(needles, "query_id long, needle string, nt int, nx int, nc int, nr int")
+    rules = {"groups": (("ment", ("ment",)),), "bonus": (("metric", "title", "agent", 60),)}
+    monkeypatch.setattr(lexical, "CELLS", 64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = lexical.score_pairs(s, p, **rules)
+        assert "MapInArrow" in got._jdf.queryExecution().toString()
+        mine = sorted(map(str, got.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(lexical, "fits_broadcast", lambda df: False)
+    joined = lexical.score_pairs(s, p, **rules).select(*got.columns)
+    assert mine == sorted(map(str, joined.collect())) and len(mine) > 1000
+    assert lexical.score_pairs(s.limit(0), p).count() == 0
