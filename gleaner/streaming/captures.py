@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -26,6 +26,7 @@ IDLE_MS = 24 * 3_600_000
 LATE = "late"
 STREAM_SCHEMA = T.StructType([*OUTPUT_SCHEMA.fields, T.StructField("seq", T.LongType())])
 _DAY_MS = 24 * 3_600_000
+_EMITTED = Row(*STREAM_SCHEMA.names)
 
 
 def _timed(events: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ class TimedCaptureProcessor(StatefulProcessor):
     """State per session: events ahead of the watermark, the capture they lead to, and its text in pieces.
 
     One event-time timer stands for the earliest thing to come: an event to fold, the end of a wait, or the end of the
-    session's state.
+    session's state. Rows go through as rows, and a call asks the state store no more often than it must.
     """
 
     def __init__(self, wait_ms: int, idle_ms: int):
@@ -97,12 +98,18 @@ class TimedCaptureProcessor(StatefulProcessor):
             "pending", "at long, seq long, capture_id long, type string, text string, is_final boolean"
         )
 
-    def _load(self) -> tuple[Capture, int, int, int]:
-        if not self.head.exists():
-            return Capture(), 0, -1, -1
-        capture_id, waiting, done, deadline, settled, wide_mark, n, last, timer = self.head.get()
+    def _load(self) -> tuple[Capture, int, int]:
+        head = self.head.get()
+        if head is None:
+            return Capture(), -1, -1
+        capture_id, waiting, done, deadline, settled, wide_mark, n, last, timer = head
         pieces = [p[0] for p in self.pieces.get()] if n else []
-        return Capture(capture_id, Transcript(pieces, settled, wide_mark), waiting, done, deadline), n, last, timer
+        return Capture(capture_id, Transcript(pieces, settled, wide_mark), waiting, done, deadline), last, timer
+
+    @staticmethod
+    def _head_of(c: Capture) -> tuple:
+        t = c.transcript
+        return c.capture_id, c.waiting, c.done, c.deadline, t.settled, t.wide_mark, len(t.pieces)
 
     def _save(self, c: Capture, before: list[str], last: int, timer: int) -> None:
         """New pieces are appended; the list is only written anew where an old piece changed."""
@@ -111,13 +118,11 @@ class TimedCaptureProcessor(StatefulProcessor):
             if pieces[len(before) :]:
                 self.pieces.appendList([(p,) for p in pieces[len(before) :]])
         else:
-            self.pieces.clear()
             if pieces:
                 self.pieces.put([(p,) for p in pieces])
-        t = c.transcript
-        self.head.update(
-            (c.capture_id, c.waiting, c.done, c.deadline, t.settled, t.wide_mark, len(pieces), last, timer)
-        )
+            else:
+                self.pieces.clear()
+        self.head.update((*self._head_of(c), last, timer))
 
     def _move_timer(self, old: int, new: int) -> None:
         if old != new:
@@ -125,34 +130,29 @@ class TimedCaptureProcessor(StatefulProcessor):
                 self.handle.deleteTimer(old)
             self.handle.registerTimer(new)
 
-    @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=[f.name for f in STREAM_SCHEMA.fields])
-        frame["seq"] = frame["seq"].astype("Int64")
-        return frame
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
         late, ahead = [], []
-        for frame in rows:
-            for r in frame.itertuples(index=False):
-                if r.at <= watermark:
-                    late.append((key[0], int(r.capture_id), r.text, LATE, int(r.seq)))
-                else:
-                    ahead.append((int(r.at), int(r.seq), int(r.capture_id), r.type, r.text, bool(r.is_final)))
+        for r in rows:
+            if r.at <= watermark:
+                late.append(_EMITTED(key[0], r.capture_id, r.text, LATE, r.seq))
+            else:
+                ahead.append((r.at, r.seq, r.capture_id, r.type, r.text, bool(r.is_final)))
         if ahead:
             self.pending.appendList(ahead)
-            capture, _, last, timer = self._load()
-            first = min(a[0] for a in ahead)
-            if timer < 0 or first < timer:
+            *state, last, timer = self.head.get() or (*self._head_of(Capture()), -1, -1)
+            first, newest = min(a[0] for a in ahead), max(a[0] for a in ahead)
+            earlier = timer < 0 or first < timer
+            if earlier:
                 self._move_timer(timer, first)
                 timer = first
-            self._save(capture, list(capture.transcript.pieces), max(last, max(a[0] for a in ahead)), timer)
-        yield self._frame(late)
+            if earlier or newest > last:
+                self.head.update((*state, max(last, newest), timer))
+        return iter(late)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        capture, _, last, timer = self._load()
+        capture, last, timer = self._load()
         before, out = list(capture.transcript.pieces), []
         waiting_rows = sorted(self.pending.get(), key=lambda r: (r[0], r[1]))
         ahead = [r for r in waiting_rows if r[0] > watermark]
@@ -160,9 +160,10 @@ class TimedCaptureProcessor(StatefulProcessor):
             out += capture.expire(at)
             out += capture.step(capture_id, kind, text, final, at + self.wait_ms)
         out += capture.expire(watermark + 1)
-        self.pending.clear()
         if ahead:
             self.pending.put([tuple(r) for r in ahead])
+        elif waiting_rows:
+            self.pending.clear()
         due = [r[0] for r in ahead[:1]] + ([capture.deadline] if capture.waiting else [])
         due.append(last + self.idle_ms)
         if min(due) <= watermark:  # only the end of the state is due
@@ -173,7 +174,7 @@ class TimedCaptureProcessor(StatefulProcessor):
             if following != timer or timer == expiredTimerInfo.getExpiryTimeInMs():
                 self.handle.registerTimer(following)
             self._save(capture, before, last, following)
-        yield self._frame([(key[0], *row, None) for row in out])
+        return iter([_EMITTED(key[0], *row, None) for row in out])
 
     def close(self) -> None:
         pass
@@ -193,7 +194,7 @@ def stream_by_time(
     provider. A session is one key; its buffered events are what the delay spans.
     """
     marked = events.withColumn("event_time", F.col("event_time").cast("timestamp")).withWatermark("event_time", delay)
-    return _timed(marked).groupBy("session_id").transformWithStateInPandas(
+    return _timed(marked).groupBy("session_id").transformWithState(
         statefulProcessor=TimedCaptureProcessor(wait_ms, idle_ms),
         outputStructType=STREAM_SCHEMA,
         outputMode="Append",

@@ -129,7 +129,7 @@ def stream_missed_frames(
     marked = frames.withColumn("_time", F.col(ts).cast("timestamp")).withWatermark("_time", delay)
     rows = marked.where("_time IS NOT NULL").select(key, F.unix_millis("_time").alias("at"), on.alias("listening"))
     output = T.StructType([frames.schema[key], T.StructField("at", T.LongType())])
-    return rows.groupBy(key).transformWithStateInPandas(
+    return rows.groupBy(key).transformWithState(
         statefulProcessor=AlarmProcessor(output, gap_ms, every_ms, idle_ms),
         outputStructType=output,
         outputMode="Append",

@@ -2,14 +2,15 @@
 
 Rows wait in state until the watermark has passed them and are then folded in order. Between two rows a fold may owe
 something to the clock (an alarm, the end of a wait); it says when, and one event-time timer per key stands for whatever
-comes first. A key that nothing came for in ``idle_ms`` is forgotten.
+comes first. A key that nothing came for in ``idle_ms`` is forgotten. Rows go through as rows, and a call asks the state store no more
+often than it must: with many keys of few rows each, that is what a stream costs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -47,33 +48,30 @@ class OrderedProcessor(StatefulProcessor):
         self.pending = handle.getListState("pending", f"at long, {self.row_schema}")
 
     def _load(self) -> tuple[tuple, int, int]:
-        if not self.head.exists():
+        head = self.head.get()
+        if head is None:
             return self.first(), -1, -1
-        *state, last, timer = self.head.get()
+        *state, last, timer = head
         return tuple(state), last, timer
 
-    def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *r) for r in rows], columns=self.output.names)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        ahead = []
-        for frame in rows:
-            frame = frame.astype(object).where(frame.notna(), None)
-            ahead += [tuple(r) for r in frame[self.names].itertuples(index=False) if r.at > watermark]
+        ahead = [tuple(r[c] for c in self.names) for r in rows if r.at > watermark]
         if ahead:
             self.pending.appendList(ahead)
             state, last, timer = self._load()
-            first = min(r[0] for r in ahead)
-            if timer < 0 or first < timer:
+            first, newest = min(r[0] for r in ahead), max(r[0] for r in ahead)
+            earlier = timer < 0 or first < timer
+            if earlier:
                 if timer >= 0:
                     self.handle.deleteTimer(timer)
                 self.handle.registerTimer(first)
                 timer = first
-            self.head.update((*state, max(last, max(r[0] for r in ahead)), timer))
-        yield self._frame(key, [])
+            if earlier or newest > last:
+                self.head.update((*state, max(last, newest), timer))
+        return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
         state, last, _ = self._load()
         # Rows of one time are in the order of their other columns, so that arrival does not matter.
@@ -86,16 +84,18 @@ class OrderedProcessor(StatefulProcessor):
         ends = last + self.idle_ms
         # What is owed after the last row is owed until the key is forgotten.
         state = self.advance(state, min(watermark + 1, ends), out)
-        self.pending.clear()
+        if ahead:
+            self.pending.put(ahead)
+        elif rows:
+            self.pending.clear()
         if ends <= watermark and not ahead:
             self.head.clear()
         else:
-            if ahead:
-                self.pending.put(ahead)
             following = min(x for x in (ends, self.due(state), *(r[0] for r in ahead[:1])) if x is not None)
             self.handle.registerTimer(max(following, watermark + 1))
             self.head.update((*state, last, max(following, watermark + 1)))
-        yield self._frame(key, out)
+        emitted = Row(*self.output.names)
+        return iter([emitted(*key, *r) for r in out])
 
     def close(self) -> None:
         pass
