@@ -118,8 +118,14 @@ def record_line(line: Column | str) -> Column:
 def diagram_nodes(source: Column) -> Column:
     """Nodes of a diagram in first-seen order; a repeated id keeps its last label."""
     ids = F.regexp_extract_all(source, F.lit(lx.DIAGRAM_NODE_PATTERN), 1)
-    labels = F.transform(F.regexp_extract_all(source, F.lit(lx.DIAGRAM_NODE_PATTERN), 2), plain_text)
+    labels = F.regexp_extract_all(source, F.lit(lx.DIAGRAM_NODE_PATTERN), 2)
     seen = F.zip_with(ids, labels, lambda i, label: F.struct(i.alias("id"), label.alias("label")))
+
+    def shown(label: Column) -> Column:
+        """``plain_text`` of a label that is kept; one without markup only loses its outer blanks."""
+        marked = F.contains(label, F.lit("<")) | F.contains(label, F.lit("&"))
+        return F.when(marked, plain_text(label)).otherwise(tx.trim(label))
+
     # Keep a node where it is first seen; grouping by sorting keeps a long chain from being searched per node.
     ordered = F.array_sort(
         F.transform(seen, lambda n, pos: F.struct(n["id"].alias("id"), pos.alias("pos"), n["label"].alias("label")))
@@ -136,7 +142,7 @@ def diagram_nodes(source: Column) -> Column:
             firsts, lasts, lambda a, z: F.struct(a["pos"].alias("pos"), a["id"].alias("id"), z["label"].alias("label"))
         )
         return F.transform(
-            F.array_sort(merged), lambda m: F.struct(m["id"].alias("id"), m["label"].alias("label"))
+            F.array_sort(merged), lambda m: F.struct(m["id"].alias("id"), shown(m["label"]).alias("label"))
         )
 
     return tx.let(ordered, grouped)
@@ -153,20 +159,26 @@ def diagram_edges(source: Column) -> Column:
 def diagram_text(source: Column) -> Column:
     """A diagram block as prose: header, one line per node, one line per edge with the node labels."""
 
-    def prose(nodes: Column, labels: Column) -> Column:
-        def named(i: Column) -> Column:
-            label = F.coalesce(F.element_at(labels, i), F.lit(""))
-            return F.when(label == "", i).otherwise(label)
+    def named(node: Column) -> Column:
+        name = F.when(node["label"] == "", node["id"]).otherwise(node["label"])
+        return F.struct(node["id"].alias("id"), name.alias("name"))
 
-        node_lines = F.transform(nodes, lambda n: F.concat(F.lit(lx.DIAGRAM_NODE), named(n["id"])))
+    def prose(nodes: Column, names: Column) -> Column:
+        node_lines = F.transform(nodes, lambda n: F.concat(F.lit(lx.DIAGRAM_NODE), n["name"]))
         edge_lines = F.transform(
             diagram_edges(source),
-            lambda e: F.concat(F.lit(lx.DIAGRAM_EDGE), named(e["src"]), F.lit(lx.DIAGRAM_ARROW), named(e["dst"])),
+            lambda e: F.concat(
+                F.lit(lx.DIAGRAM_EDGE),
+                F.coalesce(F.element_at(names, e["src"]), e["src"]),
+                F.lit(lx.DIAGRAM_ARROW),
+                F.coalesce(F.element_at(names, e["dst"]), e["dst"]),
+            ),
         )
         return F.array_join(F.concat(F.array(F.lit(lx.DIAGRAM_HEADER)), node_lines, edge_lines), "\n")
 
     return tx.let(
-        diagram_nodes(source), lambda nodes: tx.let(F.map_from_entries(nodes), lambda m: prose(nodes, m))
+        F.transform(diagram_nodes(source), named),
+        lambda nodes: tx.let(F.map_from_entries(nodes), lambda m: prose(nodes, m)),
     )
 
 

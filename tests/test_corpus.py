@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner import lexicons as lx
 from gleaner.functions import markup
 from gleaner.operators import annotate, sectioning
 from gleaner.sources import documents, snapshot, vector_store
@@ -177,3 +178,14 @@ def test_incremental_vectors_equal_a_rebuild(spark, tmp_path):
     whole = {r.section_key: r.embedding for r in vectors.build_vectors(s, empty).collect()}
     grown = {r.section_key: r.embedding for r in vector_store.read_vectors(spark, path).collect()}
     assert grown == whole and len(whole) == 30
+
+
+def test_diagram_labels_keep_their_last_text_without_markup(spark):
+    source = 'a["x<br>y &nbsp; z"] --> b[ ]\nb --> c\na[<b> last </b>] --> d[D & E]\nd --> a'
+    row = spark.createDataFrame([(source,)], "s string").select(
+        markup.diagram_nodes(F.col("s")).alias("n"), markup.diagram_text(F.col("s")).alias("t")
+    ).first()
+    assert [tuple(n) for n in row.n] == [("a", "last"), ("b", ""), ("d", "D & E")]
+    lines = row.t.split("\n")[1:]
+    assert lines[:3] == [lx.DIAGRAM_NODE + name for name in ("last", "b", "D & E")]
+    assert lx.DIAGRAM_EDGE + "b" + lx.DIAGRAM_ARROW + "c" in lines and lx.DIAGRAM_EDGE + "D & E" + lx.DIAGRAM_ARROW + "last" in lines
