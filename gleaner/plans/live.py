@@ -125,7 +125,7 @@ def stream_missed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     def stream(s: DataFrame) -> DataFrame:
         return health.stream_missed_frames(s, "user_id", "ts", "3 hours", listening, _GAP, _EVERY, _EVERY * 4)
 
-    return replay.replay([*parts, last], stream, 8)
+    return replay.replay([*parts, last], stream, replay.width(spark))
 
 
 @query(
@@ -352,7 +352,7 @@ def stream_timed_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(False).alias("is_final"),
     )
     parts = [p.select(*last.columns) for p in parts] + [last]
-    made = replay.replay(parts, lambda s: captures.stream_by_time(s, "3 hours", _WAIT, 60 * captures.IDLE_MS), 8)
+    made = replay.replay(parts, lambda s: captures.stream_by_time(s, "3 hours", _WAIT, 60 * captures.IDLE_MS), replay.width(spark))
     return made.select("session_id", "capture_id", "text", "reason")
 
 
@@ -408,7 +408,7 @@ def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _delta_chunks(spark, sf_dir)
     last = chunks.groupBy("request_id").agg(F.max("seq").alias("_last"))
     chunks = chunks.join(last, "request_id").withColumn("is_last", F.col("seq") == F.col("_last")).drop("_last")
-    made = replay.replay(replay.arriving(chunks, F.col("seq"), 4), lambda s: answers.stream_answers(s, 3_600_000), 8, timers=True)
+    made = replay.replay(replay.arriving(chunks, F.col("seq"), 4), lambda s: answers.stream_answers(s, 3_600_000), replay.width(spark), timers=True)
     return made.where("status <> 'delta'").select("request_id", F.col("text").alias("answer"), "status")
 
 
@@ -434,7 +434,7 @@ def stream_latest_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     def stream(s: DataFrame) -> DataFrame:
         return answers.stream_latest_requests(s, "conv_id", "request_id", "ts", "1 day", 3_600_000)
 
-    return replay.replay([*parts, last], stream, 8).select("conv_id", "turn", "role")
+    return replay.replay([*parts, last], stream, replay.width(spark)).select("conv_id", "turn", "role")
 
 
 @query(
