@@ -265,12 +265,12 @@ pairs AS (
 )
 
 
-def pairs(spark: SparkSession, sf_dir: str, stop=STOP) -> DataFrame:
+def pairs(spark: SparkSession, sf_dir: str, stop=STOP, parts=lexical.COMPONENTS, best=()) -> DataFrame:
     s = lexical.exclude_glossary(scored_sections(spark, sf_dir), "^src19")
     q = question_features(spark, sf_dir)
     # Titles come from the documents, so this pass does not chunk anything.
     postings = lexical.materialise(lexical.question_postings(q, base.document_sections(spark, sf_dir)))
-    scored = lexical.score_pairs(s, postings, stop=stop, groups=CONCEPTS, bonus=BONUS, partitioned=True)
+    scored = lexical.score_pairs(s, postings, stop=stop, groups=CONCEPTS, bonus=BONUS, partitioned=True, parts=parts, best=best)
     return scored.withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
@@ -285,7 +285,7 @@ def _component(name: str, column: str) -> None:
     )
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Per question, sums over the sections that score; ``placed`` weighs each by where it stands."""
-        p, c = pairs(spark, sf_dir).filter(F.col(column) > 0), F.col(column)
+        p, c = pairs(spark, sf_dir, parts=(column,)).filter(F.col(column) > 0), F.col(column)
         place = (F.col("doc_ord") % 1009 + 1) * (F.col("chunk_index") + 1)
         return p.groupBy("query_id").agg(
             F.count(F.lit(1)).alias("n"),
@@ -325,7 +325,7 @@ WHERE rank <= 12""",
     ),
 )
 def lexical_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = lexical.top_k(pairs(spark, sf_dir), 12)
+    ranked = lexical.top_k(pairs(spark, sf_dir, best=[("score", 12)]), 12)
     return ranked.select(
         "query_id",
         F.col("rank").cast("long").alias("rank"),
@@ -396,7 +396,9 @@ def benchmark_best_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     q = base.questions(spark, sf_dir).withColumn("q_tokens", features.tokens("query", STOP))
     postings = lexical.materialise(lexical.token_postings(q))
-    scored = lexical.score_pairs(bare, postings, stop=STOP, groups=(), bonus=(), partitioned=True)
+    scored = lexical.score_pairs(
+        bare, postings, stop=STOP, groups=(), bonus=(), partitioned=True, parts=("direct",), best=[("score", 5)]
+    )
     ranked = lexical.top_k(scored, 5)
     return ranked.select(
         "query_id",

@@ -118,7 +118,7 @@ tested AS (SELECT *,
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical top 12 per question with the section columns and the question."""
-    ranked = lexical.materialise(lexical.top_k(lexical_plans.pairs(spark, sf_dir), 12))
+    ranked = lexical.materialise(lexical.top_k(lexical_plans.pairs(spark, sf_dir, best=[("score", 12)]), 12))
     s = lexical_plans.scored_sections(spark, sf_dir, only=ranked).select(
         "doc_ord", "section_ord", F.col("chunk_index").cast("long").alias("chunk_index"), "source", "project", "title", "content"
     )

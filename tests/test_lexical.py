@@ -275,3 +275,66 @@ def test_pairs_in_place_equal_the_joins(spark, monkeypatch):
     joined = lexical.score_pairs(s, p, **rules).select(*got.columns)
     assert mine == sorted(map(str, joined.collect())) and len(mine) > 1000
     assert lexical.score_pairs(s.limit(0), p).count() == 0
+
+
+def _repeated_sections(spark):
+    words = ["agent", "agents", "memory", "re", "rerere", "memo-ry", "Éen", "项目", "agentagent"]
+    rows = [
+        (i, 0, i % 3, " ".join(words[i % 4 : i % 4 + 2]), " ".join(words[(i * j) % 9] for j in range(i % 7)), words[i % 5], "profile", ["ment"])
+        for i in range(400)
+    ]
+    schema = "doc_ord int, section_ord int, chunk_index int, title string, content string, project string, role string, aliases array<string>"
+    needles = [(q, n, 1 + q % 2, int(n != "re"), q % 2, 0) for q in range(5) for n in ("gent", "re", "mem", "en")]
+    needles += [(q, f"{lexical._RULE}{r}", 0, 0, 0, 1) for q in (1, 2) for r in ("kagent", "pagent agents", "imetric")]
+    p = spark.createDataFrame(needles, "query_id long, needle string, nt int, nx int, nc int, nr int")
+    rules = {"groups": (("ment", ("ment",)), ("agent", ("agent",))), "bonus": (("metric", "title", "agent", 60),)}
+    return spark.createDataFrame(rows, schema), p, rules
+
+
+def test_only_pairs_that_may_be_best_leave_a_task(spark, monkeypatch):
+    """Many ties, blocks of twelve sections: the top rows are those of all pairs, and few others come along."""
+    s, p, rules = _repeated_sections(spark)
+    monkeypatch.setattr(lexical, "CELLS", 64)
+    every = lexical.score_pairs(s, p, **rules)
+    limits = [("score", 4), ("technical", 2)]
+    best = lexical.score_pairs(s, p, **rules, best=limits)
+    for score, k in limits:
+        want, got = (sorted(map(str, lexical.top_k(d, k, score=score).select(*every.columns, "rank").collect())) for d in (every, best))
+        assert got == want and len(got) == 5 * k
+    assert best.count() < every.count() / 3
+
+
+def test_parts_are_scored_alone(spark, monkeypatch):
+    s, p, rules = _repeated_sections(spark)
+    every = [r.asDict() for r in lexical.score_pairs(s, p, **rules).collect()]
+    key = ("query_id", "doc_ord", "chunk_index")
+    for joined in (False, True):
+        if joined:
+            monkeypatch.setattr(lexical, "fits_broadcast", lambda df: False)
+        for part in lexical.COMPONENTS if not joined else ("technical",):
+            alone = lexical.score_pairs(s, p, **rules, parts=(part,)).collect()
+            want = {(*(r[k] for k in key), r[part]) for r in every if r[part]}
+            assert {(*(r[k] for k in key), r["score"]) for r in alone} == want and want
+            assert all(r[c] == 0 for r in alone for c in lexical.COMPONENTS if c != part)
+
+
+def test_needles_are_found_in_words_by_bytes(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from gleaner.operators import needle_sums
+
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choice("abé项") for _ in range(rng.randint(1, 5))) for _ in range(120)}) + [f"{needle_sums.RULE}pab", ""]
+    words = list({"".join(rng.choice("abé项") for _ in range(rng.randint(0, 12))) for _ in range(300)}) + [f"{needle_sums.RULE}pab"]
+    flags = {f: [1] * len(names) for f in ("nt", "nx", "nc", "nr")}
+    postings = pa.table({"query_id": list(range(len(names))), "needle": names} | flags)
+    for table in (needle_sums.TABLE, 0):
+        monkeypatch.setattr(needle_sums, "TABLE", table)
+        ends, found = needle_sums.Needles.of(postings).inside(pa.array(words[1:], pa.large_string()).slice(1))
+        for i, word in enumerate(words[2:]):
+            rule = word.startswith(needle_sums.RULE)
+            want = {j for j, n in enumerate(names) if (n == word if rule or len(word) < 2 or len(n) < 2 else n in word)}
+            mine = found[ends[i] : ends[i + 1]].tolist()
+            assert sorted(mine) == sorted(want), word
