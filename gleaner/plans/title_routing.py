@@ -163,33 +163,49 @@ def title_candidates(spark: SparkSession, sf_dir: str, questions: DataFrame) ->
     )
     rank = F.row_number().over(Window.partitionBy("word").orderBy(F.col("score").desc(), "doc_ord", "chunk_index"))
     best = s.withColumn("rank", rank).where(F.col("rank") <= _TAKEN)
+    best = best.withColumns({f"is_{name}": rule for name, rule in section_rules().items()})
+    # All questions of a word have the same candidates, so those cut to an answer are known here.
+    place = F.row_number().over(Window.partitionBy("word", "is_metadata").orderBy("rank"))
+    best = best.withColumn("may_answer", ~F.col("is_metadata") & (place <= _ROUTED))
     return questions.select("query_id", "word", "query").join(best, "word").drop("word")
 
 
-def decide(q: DataFrame, c: DataFrame, key=routing.SECTION_KEY) -> DataFrame:
-    """The routes of questions ``q`` over candidates ``c``, both materialised."""
-    meta = routing.is_metadata(title_rule=_META_TITLE, text_rule=_META_TEXT)
+def section_rules() -> dict[str, F.Column]:
+    """What the routing tests of a section alone."""
+    return {
+        "metadata": routing.is_metadata(title_rule=_META_TITLE, text_rule=_META_TEXT),
+        "profile": F.col("title").rlike(_PROFILE),
+        "practice": F.concat_ws("\n", "title", "content").rlike(_PRACTICE),
+        "counted": routing.count_evidence(pattern=_COUNTED),
+    }
+
+
+def pair_rules(query: str) -> dict[str, F.Column]:
+    """What it tests of a section and the question in column ``query``."""
+    specific = routing.specific_evidence(query, routing.section_text(), keyword_fillers="\x00", keyword_terms="[a-z0-9]+")
+    return {"explicit": routing.explicit_title(query, "title", _EXPLICIT), "specific": specific}
+
+
+def decide(q: DataFrame, c: DataFrame, key=routing.SECTION_KEY, tested: bool = False) -> DataFrame:
+    """The routes of questions ``q`` over candidates ``c``, both materialised; ``tested`` candidates have the rules' results
+    as columns ``is_<rule>``."""
+    rules = section_rules() | pair_rules("_query")
+    if tested:
+        rules = {name: F.col(f"is_{name}") for name in rules}
     picks = [
-        routing.priority_pick(c, rules, take, floor, key=key, metadata=meta)
-        for rules, take, floor in ((_OVERVIEW, 2, 20), (_TECHNOLOGY, 3, 18))
+        routing.priority_pick(c, order, take, floor, key=key, metadata=rules["metadata"])
+        for order, take, floor in ((_OVERVIEW, 2, 20), (_TECHNOLOGY, 3, 18))
     ]
-    return routing.route(
-        q,
-        c.drop("query"),
-        *picks,
-        predicates=routing.question_predicates("query", **_RULES),
-        metadata=meta,
-        profile=F.col("title").rlike(_PROFILE),
-        practice=F.concat_ws("\n", "title", "content").rlike(_PRACTICE),
-        explicit=routing.explicit_title("_query", "title", _EXPLICIT),
-        specific=routing.specific_evidence("_query", routing.section_text(), keyword_fillers="\x00", keyword_terms="[a-z0-9]+"),
-        counted=routing.count_evidence(pattern=_COUNTED),
-    )
+    return routing.route(q, c.drop("query"), *picks, predicates=routing.question_predicates("query", **_RULES), **rules)
 
 
 def title_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The routes of all titles. Rules are tested where a question meets the sections that may answer it, and the texts go
+    no further."""
     q = materialise(title_questions(spark, sf_dir))
-    return decide(q, materialise(title_candidates(spark, sf_dir, q)))
+    c = title_candidates(spark, sf_dir, q)
+    c = c.withColumns({f"is_{name}": F.when(F.col("may_answer"), rule) for name, rule in pair_rules("query").items()})
+    return decide(q, materialise(c.withColumn("content", F.lit(None).cast("string"))), tested=True)
 
 
 def _keys(array: str) -> F.Column:

@@ -284,3 +284,20 @@ def test_siblings_can_push_out_a_later_match(spark, limit):
     )
     got = routing.expand_siblings(m, s, limit=limit).orderBy("rank").collect()
     assert [(r.doc_ord, r.chunk_index) for r in got] == [(0, 1), (0, 0), (0, 2), (1, 2), (1, 0), (1, 1)][:limit]
+
+
+def test_title_routes_leave_texts_behind(spark, monkeypatch, tmp_path):
+    """The routes are those of whole candidates, and no section's text goes along with a question."""
+    from gleaner.plans import title_routing
+
+    lines = ["The memory agent needs ever more ", "Der index braucht ", "La agent tion ", "To the vector store tionth "]
+    docs = [(i, (lines[i % 4] + f"word{i % 5} ") * (5 + i % 3), "de" if i % 2 else "en", f"src{i % 3}", 0) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    given, decide = [], title_routing.decide
+    monkeypatch.setattr(title_routing, "decide", lambda q, c, *a, **k: given.append(c) or decide(q, c, *a, **k))
+    columns = ["query_id", "mode", "confidence", "reason", title_routing._keys("matches").alias("docs")]
+    got = sorted(map(tuple, title_routing.title_routes(spark, str(tmp_path)).select(*columns).collect()))
+    q = title_routing.title_questions(spark, str(tmp_path))
+    whole = decide(q, title_routing.title_candidates(spark, str(tmp_path), q))
+    assert got == sorted(map(tuple, whole.select(*columns).collect())) and any(row[4] for row in got)
+    assert given[0].count() and not given[0].where("content IS NOT NULL").count()
