@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.operators import features, lexical, lexical_index
 from gleaner.plans import base
 from gleaner.plans.registry import query, table
-from gleaner.session import scratch_folder
+from gleaner.session import bounded_broadcast, scratch_folder
 
 # Latin rule tables for the driver's prose.
 STOP = ("the", "of", "and", "to", "de", "la")
@@ -81,15 +81,23 @@ s AS (
   FROM sections WHERE NOT regexp_matches(source, '^src19'))"""
 
 
-def scored_sections(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+def scored_sections(
+    spark: SparkSession, sf_dir: str, only: DataFrame | None = None, parts=lexical.COMPONENTS, postings: DataFrame | None = None
+) -> DataFrame:
     """All sections, laid out for scoring; or those of the documents in ``only``, to fetch the texts of matches.
 
-    The SQL counts a title term once for each title that reads alike in lower case, hence ``title_forms``.
+    The SQL counts a title term once for each title that reads alike in lower case, hence ``title_forms`` where coverage is
+    among the ``parts``. Where title phrases alone score, or nothing is asked, documents whose title no posting quotes are not
+    cut into chunks.
     """
     if only is not None:
         return _with_names(base.chunk_sections(spark, sf_dir, only))
     docs = _with_names(base.document_sections(spark, sf_dir))
-    return base.partitioned_chunks(spark, lexical.with_title_forms(docs, lexical.exclude_glossary(docs, "^src19")))
+    if postings is not None and (tuple(parts) == ("phrase",) or postings.isEmpty()):
+        docs = lexical.quoted_sections(docs, postings)
+    elif "coverage" in parts:
+        docs = lexical.with_title_forms(docs, lexical.exclude_glossary(docs, "^src19"))
+    return base.partitioned_chunks(spark, docs)
 
 
 def _with_names(sections: DataFrame) -> DataFrame:
@@ -265,11 +273,14 @@ pairs AS (
 )
 
 
-def pairs(spark: SparkSession, sf_dir: str, stop=STOP, parts=lexical.COMPONENTS, best=()) -> DataFrame:
-    s = lexical.exclude_glossary(scored_sections(spark, sf_dir), "^src19")
+def pairs(spark: SparkSession, sf_dir: str, stop=STOP, parts=lexical.COMPONENTS, best=(), asked: DataFrame | None = None) -> DataFrame:
+    """The scored pairs of all questions, or of those in ``asked``."""
     q = question_features(spark, sf_dir)
+    if asked is not None:
+        q = q.join(bounded_broadcast(asked.select("query_id").distinct()), "query_id", "left_semi")
     # Titles come from the documents, so this pass does not chunk anything.
     postings = lexical.materialise(lexical.question_postings(q, base.document_sections(spark, sf_dir)))
+    s = lexical.exclude_glossary(scored_sections(spark, sf_dir, parts=parts, postings=postings), "^src19")
     scored = lexical.score_pairs(s, postings, stop=stop, groups=CONCEPTS, bonus=BONUS, partitioned=True, parts=parts, best=best)
     return scored.withColumn("chunk_index", F.col("chunk_index").cast("long"))
 

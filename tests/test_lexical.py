@@ -338,3 +338,29 @@ def test_needles_are_found_in_words_by_bytes(monkeypatch):
             want = {j for j, n in enumerate(names) if (n == word if rule or len(word) < 2 or len(n) < 2 else n in word)}
             mine = found[ends[i] : ends[i + 1]].tolist()
             assert sorted(mine) == sorted(want), word
+
+
+def test_only_documents_with_a_quoted_title_are_cut(spark, monkeypatch):
+    """Title phrases alone: the pairs are those of all documents, but few documents are cut, and no title form is sought."""
+    from gleaner.plans import base
+    from gleaner.plans import lexical as plans
+
+    texts = ["Agents meet again. " * 9, "agents meet in lower case", "Memory of all things", "Memory  of two blanks", "of", ""] * 5
+    docs = [(i, t, "src1", "de" if i % 2 else "en") for i, t in enumerate([*texts, None, "Quoted twice\n\nQuoted twice again"])]
+    asked = [("a", "where Agents meet Memory of old agents"), ("b", "Quoted twice, Quoted twice"), ("c", "nothing of that kind")]
+    tables = {
+        "documents": spark.createDataFrame(docs, "doc_id long, text string, source string, lang string"),
+        "benchmark": spark.createDataFrame(asked, "item_id string, text string"),
+    }
+    for module in (base, plans):
+        monkeypatch.setattr(module, "table", lambda spark, sf_dir, name: tables[name])
+    key = ("query_id", "doc_ord", "chunk_index", "phrase")
+    want = {tuple(r[k] for k in key) for r in plans.pairs(spark, "").filter("phrase > 0").collect()}
+    cut, whole = [], base.partitioned_chunks
+    monkeypatch.setattr(base, "partitioned_chunks", lambda spark, d: cut.append({r.title for r in d.collect()}) or whole(spark, d))
+    monkeypatch.setattr(lexical, "with_title_forms", None)
+    assert {tuple(r[k] for k in key) for r in plans.pairs(spark, "", parts=("phrase",)).collect()} == want and len(want) == 21
+    assert cut == [{"Agents meet", "Memory of", "Quoted twice", "of"}]
+    plans.pairs(spark, "", parts=("intent",))
+    nobody = spark.createDataFrame([], "query_id string")
+    assert plans.pairs(spark, "", asked=nobody).count() == 0 and cut[-1] == set()
