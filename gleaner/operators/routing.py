@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from gleaner import lexicons as lx
 from gleaner.functions import text as tx
 from gleaner.operators import annotate
+from gleaner.operators.containment import contains_join
 from gleaner.operators.fusion import IDENTITY
-from gleaner.operators.policy import no_blanks, phrase_in_title
-from gleaner.session import bounded_broadcast
+from gleaner.operators.policy import han_part, han_phrase, no_blanks, phrase_in_title
+from gleaner.session import bounded_broadcast, materialise
 
 SECTION_KEY = ("doc_ord", "section_ord", "chunk_index")
 MATCH_FIELDS = (*SECTION_KEY, "source", "project", "title", "content", "score", "match_type", "semantic_score")
@@ -106,6 +107,27 @@ def explicit_title(query: Column | str, title: Column | str, question_title: str
     return phrase_in_title(query, title) | technical
 
 
+def stated_questions(questions: DataFrame, titles: DataFrame, question_title: str = lx.QUESTION_TITLE) -> DataFrame:
+    """``query_id`` of the questions that some title states; the others have no explicit title, wherever sections rank.
+
+    A title that states a question holds its Han phrase or its longest technical term, so the two meet by these.
+    """
+
+    def alike(text: Column) -> Column:
+        # What a pattern that ignores case takes for s, k and i.
+        return F.lower(F.translate(text, "\u017f\u212a\u0130\u0131", "skii"))
+
+    terms = F.regexp_extract_all(tx.text_or_empty("query"), F.lit(f"(?iu){_TECH}"), 0)
+    longest = F.array_max(F.transform(terms, lambda t: F.struct(F.length(t).alias("n"), t.alias("term"))))["term"]
+    phrase = F.when(F.length(han_phrase("query")) >= 4, han_phrase("query"))
+    sought = F.array_compact(F.array(alike(longest), phrase))
+    needles = materialise(questions.select("query_id", "query", F.explode(sought).alias("needle")))
+    held = F.array_distinct(F.array(alike(F.col("title")), han_part("title")))
+    haystacks = titles.filter("title <> ''").select("title").distinct().withColumn("haystack", F.explode(held))
+    met = contains_join(haystacks, needles.select("needle").distinct(), sizes=(2, 3)).join(bounded_broadcast(needles), "needle")
+    return met.filter(explicit_title("query", "title", question_title)).select("query_id").distinct()
+
+
 def difference_subjects(
     query: Column | str,
     pattern: str = lx.DIFFERENCE_SUBJECT,

@@ -116,9 +116,9 @@ tested AS (SELECT *,
 )
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical top 12 per question with the section columns and the question."""
-    ranked = lexical.materialise(lexical.top_k(lexical_plans.pairs(spark, sf_dir, best=[("score", 12)]), 12))
+def candidates(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
+    """Lexical top 12 per question, or per question in ``asked``, with the section columns and the question."""
+    ranked = lexical.materialise(lexical.top_k(lexical_plans.pairs(spark, sf_dir, best=[("score", 12)], asked=asked), 12))
     s = lexical_plans.scored_sections(spark, sf_dir, only=ranked).select(
         "doc_ord", "section_ord", F.col("chunk_index").cast("long").alias("chunk_index"), "source", "project", "title", "content"
     )
@@ -132,7 +132,10 @@ def _specific(query: str) -> F.Column:
 
 @query("explicit_titles", base.with_ctes(_CANDIDATE_SQL, "SELECT query_id, doc_ord, chunk_index FROM tested WHERE explicit"))
 def explicit_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = candidates(spark, sf_dir).filter(routing.explicit_title("query", "title", _Q_TITLE))
+    """Whether a title states a question doesn't depend on scores, so sections are scored for the questions that one states."""
+    q = lexical_plans.question_features(spark, sf_dir)
+    stated = lexical.materialise(routing.stated_questions(q, base.document_sections(spark, sf_dir), _Q_TITLE))
+    c = candidates(spark, sf_dir, stated).filter(routing.explicit_title("query", "title", _Q_TITLE))
     return c.select("query_id", "doc_ord", "chunk_index")
 
 

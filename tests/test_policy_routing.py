@@ -301,3 +301,18 @@ def test_title_routes_leave_texts_behind(spark, monkeypatch, tmp_path):
     whole = decide(q, title_routing.title_candidates(spark, str(tmp_path), q))
     assert got == sorted(map(tuple, whole.select(*columns).collect())) and any(row[4] for row in got)
     assert given[0].count() and not given[0].where("content IS NOT NULL").count()
+
+
+def test_stated_questions_lose_none(spark):
+    """Against every pair of question and title: case, letters that fold to ASCII, terms with hyphens, Han phrases."""
+    questions = ["The AGENT", "agent the agent-memory", "agent-memory", "\u017ftate of \u212aey", "State of key", "in", "", None, "7 x",
+                 "项目背景怎么样", "项目背景 the agent", "agents", "the the THE", "key \u0130n", "rubric"]
+    titles = ["the Agent", "agent the", "Agent-Memory the", "the state of Key", "\u212aey OF \u017fTATE", "thing", "in the", "", None,
+              "关于项目背景怎么样", "the 项目背景", "theagents", "IN de key", "\u0130n the key", "评分规则 the"]
+    q = spark.createDataFrame(list(enumerate(questions)), "query_id long, query string")
+    t = spark.createDataFrame([(x,) for x in titles * 2], "title string")
+    for rule in ("(?i)th|de", "的|是"):
+        hit = routing.explicit_title("query", "title", rule)
+        want = {r.query_id for r in q.crossJoin(t).filter(hit).collect()}
+        assert sorted(r.query_id for r in routing.stated_questions(q, t, rule).collect()) == sorted(want)
+        assert len(want) >= (8 if rule.startswith("(") else 2)
