@@ -44,7 +44,11 @@ class RunLengthIndex:
         first = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
         end = np.append(first[1:], n)
         head = before[first].astype(np.int64)
-        order = np.argsort(head, kind="stable")  # by byte, then by row
+        order = np.argsort(before[first], kind="stable")  # by byte, then by row
+        number = np.empty(len(order), np.int32)
+        number[order] = np.arange(len(order), dtype=np.int32)
+        #: Run that holds each row.
+        self.run_at = np.repeat(number, end - first)
         head, first, end = head[order], first[order], end[order]
         sizes = end - first
         total = np.cumsum(sizes) - sizes
@@ -53,6 +57,7 @@ class RunLengthIndex:
         self.leads = total
         self.head, self.first, self.end = head, first, end
         self.key = head * (n + 1) + first
+        self.shift = total - first
         self.at_first, self.at_last = suffixes[first], suffixes[end - 1]
         self.start = int(suffixes[0])
 
@@ -78,16 +83,15 @@ class RunLengthIndex:
         return out_length[inner], out_place[inner]
 
     def _extend(self, byte, row, place, length):
-        run = np.searchsorted(self.key, byte * (self.n + 1) + row, side="right") - 1
-        above = (run >= 0) & (self.head[run] == byte)
-        inside = above & (row < self.end[run])
-        new_row = self.leads[run] + row - self.first[run]
+        run = self.run_at[row]
+        new_row = row + self.shift[run]
         new_place, new_length = place - 1, length + 1
-        out = np.flatnonzero(~inside)
+        out = np.flatnonzero(self.head[run] != byte)
         if len(out):
-            up = run[out]
+            # The rows that another byte stands before: its nearest runs above and below.
+            up = np.searchsorted(self.key, byte[out] * (self.n + 1) + row[out], side="right") - 1
             down = np.minimum(up + 1, len(self.head) - 1)
-            has_up, has_down = above[out], self.head[down] == byte[out]
+            has_up, has_down = (up >= 0) & (self.head[up] == byte[out]), self.head[down] == byte[out]
             shared_up = np.where(has_up, self._shared(place[out], self.at_last[up], length[out]), -1)
             shared_down = np.where(has_down, self._shared(place[out], self.at_first[down], length[out]), -1)
             upward = shared_up >= shared_down

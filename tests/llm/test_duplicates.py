@@ -167,6 +167,35 @@ def test_substring_removal(spark, monkeypatch, group):
     assert substring_dedup.digests(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("indexes", "cut"), [(1, 1 << 20), (5, 700)])
+def test_substring_removal_in_small_steps(spark, monkeypatch, indexes, cut):
+    monkeypatch.setattr(substring_dedup, "INDEXES", indexes)
+    monkeypatch.setattr(substring_dedup, "CUT", cut)
+    monkeypatch.setattr(substring_dedup, "TEXT_GROUP", 1 << 24)
+    rng = random.Random(indexes)
+    passages = [prose(rng, 30) for _ in range(6)] + ["z" * 50]
+    rows = [(i, " ".join(rng.sample(passages, rng.randint(0, 3)) + [prose(rng, 12)])) for i in range(60)] + [(100, "z" * 50), (101, "z" * 51)]
+    got = as_set(substring_dedup.digests(documents(spark, rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted([(*r[:4], hashlib.sha256(r[4]).hexdigest()) for r in brute_removal(rows)], key=repr)
+
+
+def test_messages_between_groups():
+    """With a partition for each 16 MB of text, there are no more groups than partitions."""
+    for size in (1 << 30, 10 << 30):
+        texts, hashes = substring_dedup.group_numbers(size, size >> 24)
+        assert texts * hashes <= (size >> 24) ** 2
+
+
+def test_index_searches_runs_only_for_other_bytes(monkeypatch):
+    rng = random.Random(2)
+    strings = list({"".join(rng.choice("abcd") for _ in range(60)).encode() for _ in range(300)})
+    index = RunLengthIndex(strings, np.arange(len(strings)), 50)
+    searched, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, **kw: (searched.append(np.size(v) if a is index.key else 0), search(a, v, **kw))[1])
+    assert (index.window_owners(strings)[::60] == np.arange(len(strings))).all()
+    assert sum(searched) < sum(map(len, strings)) / 2
+
+
 def plain_entries(text):
     """Slots by the operator's own hashes, but with dictionaries and sorting in Python."""
     import re
