@@ -4,8 +4,10 @@
 blocks of ``1 << BLOCK_BITS``. Below one path the index holds, as Parquet,
 
 * ``words``: every distinct word (or rule) with a number, and the grams under which a needle may find it;
-* ``blocks``: one row for each block, with its sections' keys, its postings ``(place, word, points)`` by word, and for each
-  word the highest points in the block.
+* ``blocks``: one row for each block, with its sections' keys, for each of its words the highest points in the block, and its
+  postings ``(word, place, points)`` by word, where a word is a place among the block's words.
+
+Both come from one pass over the sections in their order; a word's number is a hash of it, so no posting is moved or joined.
 
 At question time needles meet the distinct words, not the texts, and the corpus is neither cut nor shuffled again. The
 highest points bound what any section of a block can score. Each question's blocks of highest bound are scored first, which
@@ -16,18 +18,22 @@ question leave them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import functools
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from hashlib import blake2b
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner import lexicons as lx
 from gleaner.operators import lexical
 from gleaner.operators.containment import anchor_by_rarity, word_grams
-from gleaner.operators.needle_sums import POINTS, SUMS, Asked, spread, total
+from gleaner.operators.needle_sums import POINTS, Asked, Flags, total
 from gleaner.session import bounded_broadcast, materialise
 
 BLOCK_BITS = 4
@@ -38,7 +44,9 @@ EXPANSION_ROWS = 8_000_000
 #: Questions of one pass.
 QUESTIONS = 2_000
 #: Cells (section, question) whose sums a task holds at once.
-CELLS = 1 << 20
+CELLS = 1 << 16
+#: Blocks that a task makes together.
+BLOCKS = 64
 
 
 @dataclass
@@ -59,6 +67,11 @@ class Found:
     report: DataFrame
 
 
+def number_of(word: str, seed: int) -> int:
+    """64 bits of a word's digest."""
+    return int.from_bytes(blake2b(word.encode(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little", signed=True)
+
+
 def write(
     sections: DataFrame,
     path: str,
@@ -67,9 +80,10 @@ def write(
     stop: Sequence[str] = lx.STOP_TOKENS,
     groups: Sequence[tuple[str, Sequence[str]]] = lx.CONCEPTS,
     bonus: Sequence[tuple[str, str, str, int]] = lx.INTENT_BONUS,
+    number: Callable[[str, int], int] = number_of,
 ) -> Index:
     """Write the index of ``sections`` below ``path``. Similar sections should be near each other by ``cluster`` (columns);
-    within it they keep the order of ``key``. Keys must be unique."""
+    within it they keep the order of ``key``. Keys must be unique. ``number`` gives a word's number for a seed."""
     spark = sections.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     forms = [c for c in ("title_forms",) if c in sections.columns]
@@ -77,31 +91,110 @@ def write(
     order = [*cluster, *key]
     laid = sections.select(*columns).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
     # A number holds the partition above and the place below, so a block never spans two partitions.
-    laid = materialise(laid.withColumn("sid", F.monotonically_increasing_id()))
-    laid = laid.withColumn("block", F.shiftright("sid", BLOCK_BITS))
-
-    dealt = laid.repartition(partitions, "block")
-    scored = materialise(lexical.section_postings(dealt, ("block", "sid"), stop, groups, bonus, partitioned=True))
-    words = scored.select("word").distinct().withColumn("wid", F.monotonically_increasing_id())
-    rule = F.startswith(F.col("word"), F.lit(lexical._RULE))
-    words = words.withColumn("grams", F.when(rule, F.array("word")).otherwise(word_grams(F.col("word"))))
-    words.write.parquet(f"{path}/words")
-    numbers = spark.read.parquet(f"{path}/words").select("word", "wid")
-
-    place = F.col("sid").bitwiseAND((1 << BLOCK_BITS) - 1).cast("int").alias("place")
-    cell = F.struct("wid", place, *[F.col(p).cast("int").alias(p) for p in POINTS])
-    postings = scored.join(numbers, "word").groupBy("block").agg(F.array_sort(F.collect_list(cell)).alias("posts"))
-    tops = scored.join(numbers, "word").groupBy("block", "wid").agg(*[F.max(p).cast("int").alias(p) for p in POINTS])
-    tops = tops.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("wid", *POINTS))).alias("tops"))
-    keys = laid.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("sid", *key))).alias("keys"))
-    rows = keys.join(postings, "block").join(tops, "block").select(
-        "block",
-        F.transform("keys", lambda s: F.struct(*[s[c].alias(c) for c in key])).alias("keys"),
-        *[F.col(f"posts.{c}").alias(f"post_{c}") for c in ("wid", "place", *POINTS)],
-        *[F.col(f"tops.{c}").alias(f"top_{c}") for c in ("wid", *POINTS)],
+    laid = laid.withColumn("sid", F.monotonically_increasing_id())
+    fields = lexical.section_fields(laid, ("sid", *key), stop, groups, bonus, partitioned=True)
+    for seed in count():
+        _blocks(fields, key, functools.partial(number, seed=seed)).write.mode("overwrite").parquet(f"{path}/blocks")
+        found = spark.read.parquet(f"{path}/blocks").select(F.explode(F.arrays_zip("new_word", "new_wid")).alias("w"))
+        words = found.select(F.col("w.new_word").alias("word"), F.col("w.new_wid").alias("wid")).distinct()
+        rule = F.startswith(F.col("word"), F.lit(lexical._RULE))
+        words = words.withColumn("grams", F.when(rule, F.array("word")).otherwise(word_grams(F.col("word"))))
+        words.write.mode("overwrite").parquet(f"{path}/words")
+        words = spark.read.parquet(f"{path}/words")
+        # Numbers are hashes, so that no posting has to travel to get one. Should two words share one, all get others.
+        if words.groupBy("wid").count().filter("count > 1").isEmpty():
+            return read(spark, path, key)
+
+
+def _blocks(fields: DataFrame, key: Sequence[str], number: Callable[[str], int]) -> DataFrame:
+    """Rows of ``blocks`` from ``section_fields`` by ``sid`` and ``key``, in order of ``sid`` within each task. A task lists a
+    word, with its number, in the first block where it meets it (``new_word``, ``new_wid``)."""
+    kinds = {k: fields.schema[k].dataType for k in key}
+    ints, longs = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
+    schema = T.StructType(
+        [
+            T.StructField("block", T.LongType()),
+            T.StructField("keys", T.ArrayType(T.StructType([T.StructField(k, v) for k, v in kinds.items()]))),
+            *[T.StructField(f"post_{c}", ints) for c in ("word", "place", *POINTS)],
+            T.StructField("top_wid", longs),
+            *[T.StructField(f"top_{c}", ints) for c in POINTS],
+            T.StructField("new_word", T.ArrayType(T.StringType())),
+            T.StructField("new_wid", longs),
+        ]
     )
-    rows.repartitionByRange(partitions, "block").sortWithinPartitions("block").write.parquet(f"{path}/blocks")
-    return read(spark, path, key)
+
+    def lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+
+    def made(rows: pa.Table, numbers: dict[str, int]) -> pa.RecordBatch:
+        own = rows["fields"].combine_chunks()
+        lanes = dict(zip((*POINTS, "words"), own.flatten().flatten(), strict=True))
+        sid = rows["sid"].to_numpy()
+        block, begins = np.unique(sid >> BLOCK_BITS, return_index=True)
+        field_row = np.repeat(np.arange(len(sid)), own.value_lengths().to_numpy())
+        row_block = np.searchsorted(begins, np.arange(len(sid)), "right") - 1
+        field = np.repeat(np.arange(len(field_row)), lanes["words"].value_lengths().fill_null(0).to_numpy())
+        coded = lanes["words"].flatten().dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        if coded.null_count:
+            field, code = field[~np.isnan(code)], code[~np.isnan(code)].astype(np.int64)
+        names = coded.dictionary.to_pylist()
+        new = np.zeros(len(names), bool)
+        wids = np.empty(len(names), np.int64)
+        for i, name in enumerate(names):
+            known = numbers.get(name)
+            if known is None:
+                known = numbers[name] = number(name)
+                new[i] = True
+            wids[i] = known
+        # A word of a block comes by its number, its places one after the other.
+        rank = np.argsort(np.argsort(wids))
+        spot = (row_block[field_row[field]] * len(names) + rank[code]) * len(sid) + field_row[field]
+        by = np.argsort(spot, kind="stable")
+        spot, field = spot[by], field[by]
+        first = np.flatnonzero(np.append(True, spot[1:] != spot[:-1])) if len(spot) else np.zeros(0, np.int64)
+        word, row = np.divmod(spot[first], len(sid))
+        posts = []
+        for p, reduce in zip(POINTS, (np.add, *[np.maximum] * 5)):
+            values = lanes[p].to_numpy()
+            posts.append(reduce.reduceat(values[field], first) if len(first) else values[:0])
+        top = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
+        tops = [np.maximum.reduceat(p, top) if len(top) else p for p in posts]
+        at, code_of = np.divmod(word[top], max(1, len(names)))
+        post_ends = np.searchsorted(row_block[row], np.arange(len(block) + 1))
+        top_ends = np.searchsorted(at, np.arange(len(block) + 1))
+        nth = np.repeat(np.arange(len(top)), np.diff(np.append(top, len(word))))
+        local = nth - top_ends[row_block[row]]
+        named = np.argsort(rank)
+        fresh = np.flatnonzero(new[named[code_of]])
+        fresh = fresh[np.unique(code_of[fresh], return_index=True)[1]]
+        fresh.sort()
+        fresh_ends = np.searchsorted(at[fresh], np.arange(len(block) + 1))
+        code_of = named[code_of]
+        keys = pa.StructArray.from_arrays([rows[k].combine_chunks() for k in key], names=list(key))
+        columns = [pa.array(block), pa.ListArray.from_arrays(pa.array(np.append(begins, len(sid)), pa.int32()), keys)]
+        columns += [lists(v, post_ends, pa.int32()) for v in (local, sid[row] & ((1 << BLOCK_BITS) - 1), *posts)]
+        columns += [lists(wids[code_of], top_ends, pa.int64()), *(lists(v, top_ends, pa.int32()) for v in tops)]
+        columns.append(pa.ListArray.from_arrays(pa.array(fresh_ends, pa.int32()), coded.dictionary.take(pa.array(code_of[fresh]))))
+        columns.append(lists(wids[code_of[fresh]], fresh_ends, pa.int64()))
+        return pa.RecordBatch.from_arrays(columns, schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, numbers = None, {}  # held: the last block's rows, more of them may come
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            block = rows["sid"].to_numpy() >> BLOCK_BITS
+            starts = np.append(0, np.flatnonzero(block[1:] != block[:-1]) + 1)
+            for a, b in zip(starts[:-1:BLOCKS], np.append(starts[BLOCKS:-1:BLOCKS], starts[-1])):
+                yield made(rows.slice(a, b - a), numbers)
+            held = rows.slice(starts[-1])
+        if held is not None:
+            yield made(held, numbers)
+
+    return fields.mapInArrow(run, schema)
 
 
 def read(spark: SparkSession, path: str, key: Sequence[str] = lexical.SECTION_KEY) -> Index:
@@ -152,7 +245,7 @@ def _arrays(found: DataFrame, numbered: DataFrame) -> Asked:
     rows, pairs = numbered.toArrow(), found.toArrow()
     names, nid = np.unique(rows["nid"].to_numpy(), return_inverse=True)
     ids, place = np.unique(rows["query_id"].to_numpy(zero_copy_only=False), return_inverse=True)
-    order = np.argsort(nid, kind="stable")
+    flags = Flags.of(nid, place, {f: rows[f].to_numpy() for f in ("nt", "nx", "nc", "nr")}, len(names), len(ids))
     word_of = pairs["wid"].to_numpy()
     by_word = np.argsort(word_of, kind="stable")
     wids, starts = np.unique(word_of[by_word], return_index=True)
@@ -160,9 +253,7 @@ def _arrays(found: DataFrame, numbered: DataFrame) -> Asked:
         wids,
         np.append(starts, len(by_word)),
         np.searchsorted(names, pairs["nid"].to_numpy()[by_word]),
-        np.searchsorted(nid[order], np.arange(len(names) + 1)),
-        place[order],
-        np.array([rows[f].to_numpy()[order] for f in ("nt", "nx", "nc", "nr")], np.float64),
+        flags,
         ids.tolist(),
     )
 
@@ -196,32 +287,40 @@ def _bounds(index: Index, asked: Asked) -> DataFrame:
     return columns.mapInArrow(run, "block long, question int, bound long")
 
 
-def _exact(index: Index, asked: Asked, due: DataFrame, k: int) -> DataFrame:
+def _exact(index: Index, asked: Asked, due: DataFrame, k: int, least: np.ndarray | None = None) -> DataFrame:
     """``(question, keys, score and its parts)``: of each task, the sections of the ``due`` (block, question) that are among
-    the k best there, with all that tie with the last of them."""
-    shared = index.blocks.sparkSession.sparkContext.broadcast(asked)
+    the k best there, with all that tie with the last of them; and that reach the question's ``least`` score, if given."""
+    shared = index.blocks.sparkSession.sparkContext.broadcast((asked, least))
     names = ("score", "direct", "phrase", "coverage", "technical", "concept", "intent")
     per_block = due.groupBy("block").agg(F.collect_list("question").alias("due"))
-    rows = index.blocks.drop(*[f"top_{c}" for c in ("wid", *POINTS)]).join(bounded_broadcast(per_block), "block")
+    posts = [f"post_{c}" for c in ("word", "place", *POINTS)]
+    rows = index.blocks.select("block", "top_wid", *posts).join(bounded_broadcast(per_block), "block")
 
-    def prune(found: list[np.ndarray]) -> list[np.ndarray]:
+    def prune(found: list[np.ndarray], least: np.ndarray) -> list[np.ndarray]:
         question, score = found[0], found[3]
         order = np.lexsort((-score, question))
         own = question[order]
         first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(first, len(own)))
-        last = np.repeat(score[order][np.minimum(first + k, first + sizes) - 1], sizes)
-        return [f[order][score[order] >= last] for f in found]
+        ranked = score[order]
+        last = ranked[np.minimum(first + k, first + sizes) - 1]
+        full = sizes >= k
+        least[own[first[full]]] = np.maximum(least[own[first[full]]], last[full])
+        kept = order[ranked >= np.repeat(last, sizes)]
+        return [f[kept] for f in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known, least = shared.value
         size, width = len(known.ids), 1 << BLOCK_BITS
+        least = np.zeros(size) if least is None else least.astype(np.float64)
         step = max(1, CELLS // max(1, size * width))
         held: list[np.ndarray] | None = None
         for batch in batches:
             for start in range(0, batch.num_rows, step):
                 stop = min(start + step, batch.num_rows)
-                sizes, (wid, place, *points) = _cut(batch, "post", ("wid", "place", *POINTS), start, stop)
+                sizes, (word, place, *points) = _cut(batch, "post", ("word", "place", *POINTS), start, stop)
+                tops, (wid,) = _cut(batch, "top", ("wid",), start, stop)
+                wid = wid[np.repeat(np.cumsum(tops) - tops, sizes) + word]
                 n = (stop - start) * width
                 place = np.repeat(np.arange(stop - start), sizes) * width + place
                 asking = batch.column("due").slice(start, stop - start)
@@ -230,11 +329,11 @@ def _exact(index: Index, asked: Asked, due: DataFrame, k: int) -> DataFrame:
                 wanted[row, asking.flatten().to_numpy()] = True
                 sums = known.scores(place, wid, np.array(points), n, np.repeat(wanted, width, axis=0))
                 coverage, score = total(sums)
-                at, question = np.nonzero(score)
+                at, question = np.nonzero((score > 0) & (score >= least))
                 blocks = batch.column("block").to_numpy()[start:stop]
                 parts = [score, sums[0], sums[5], coverage, sums[1], sums[3], sums[4]]
                 new = [question, blocks[at // width], at % width, *(p[at, question].astype(np.int64) for p in parts)]
-                held = prune(new if held is None else [np.concatenate(p) for p in zip(held, new)])
+                held = prune(new if held is None else [np.concatenate(p) for p in zip(held, new)], least)
         if held is not None:
             columns = [pa.array(held[0].astype(np.int32)), pa.array(held[1]), pa.array(held[2].astype(np.int32))]
             columns += [pa.array(h) for h in held[3:]]
@@ -265,11 +364,14 @@ def search(index: Index, postings: DataFrame, k: int) -> Found:
         best = materialise(_best(_exact(index, asked, first, k), k))
         # A question without k matches has no threshold yet; a bound equal to it may still win by its key.
         threshold = best.groupBy("question").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
-        threshold = threshold.where(F.col("n") >= k).select("question", "least")
+        threshold = materialise(threshold.where(F.col("n") >= k).select("question", "least"))
+        least = np.zeros(len(asked.ids))
+        for r in threshold.toLocalIterator():
+            least[r["question"]] = r["least"]
         rest = bounds.join(bounded_broadcast(first.select("block", "question")), ["block", "question"], "left_anti")
         rest = rest.join(bounded_broadcast(threshold), "question", "left")
         rest = materialise(rest.where("least IS NULL OR bound >= least").select("block", "question"))
-        best = materialise(_best(best.unionByName(_exact(index, asked, rest, k)), k))
+        best = materialise(_best(best.unionByName(_exact(index, asked, rest, k, least)), k))
         keyed = best.join(index.blocks.select("block", "keys"), "block")
         ids = index.blocks.sparkSession.createDataFrame(
             list(enumerate(asked.ids)), f"question int, query_id {postings.schema['query_id'].dataType.simpleString()}"

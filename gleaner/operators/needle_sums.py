@@ -26,6 +26,76 @@ FEW = 32
 TABLE = 1 << 18
 
 
+@dataclass
+class Flags:
+    """The questions that ask for each needle, with their flags."""
+
+    size: int
+    questions: int
+    posts: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    often: dict[str, tuple[np.ndarray, np.ndarray]]
+    rare: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+    @classmethod
+    def of(cls, nid: np.ndarray, place: np.ndarray, flags: dict[str, np.ndarray], size: int, questions: int) -> Flags:
+        """From rows of needle, question and flags, of ``size`` needles."""
+        posts, often, rare = {}, {}, {}
+        for flag, given in flags.items():
+            value = given.astype(np.float64)
+            used = np.flatnonzero(value)
+            used = used[np.argsort(nid[used], kind="stable")]
+            asked = np.bincount(nid[used], minlength=size)
+            common = np.flatnonzero(asked * OFTEN >= max(1, questions))
+            column = np.full(size, -1)
+            column[common] = np.arange(len(common))
+            dense = column[nid[used]] >= 0
+            matrix = np.zeros((len(common), questions))
+            np.add.at(matrix, (column[nid[used[dense]]], place[used[dense]]), value[used[dense]])
+            often[flag] = common, matrix
+            for kept, some in ((posts, used), (rare, used[~dense])):
+                kept[flag] = np.searchsorted(nid[some], np.arange(size + 1)), place[some], value[some]
+        return cls(size, questions, posts, often, rare)
+
+    def sums(self, place: np.ndarray, points: np.ndarray, lists: np.ndarray, word: np.ndarray, ends: np.ndarray, nids: np.ndarray, n: int) -> np.ndarray:
+        """The six sums, ``(6, n, questions)``, of words in lists at ``place`` that have ``points[:, list]``; a word holds the
+        needles ``nids[ends[word]:ends[word + 1]]``."""
+        out = np.zeros((len(SUMS), n, self.questions))
+        for i, flag in enumerate(FLAGS):
+            own = np.flatnonzero(points[i][lists])
+            if not len(own):
+                continue
+            row, needle = spread(ends, word[own])
+            cell, got = (place[lists[own]] * self.size)[row] + nids[needle], points[i][lists[own]][row]
+            common, matrix = self.often[flag]
+            # Words that hold a needle add up to the cap; of the other points the highest counts.
+            if len(cell) * FEW < n * self.size or n * self.size > TABLE << 5:
+                order = np.argsort(cell, kind="stable")
+                cell, got = cell[order], got[order]
+                starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
+                if not len(starts):
+                    continue
+                cell = cell[starts]
+                got = np.minimum(np.add.reduceat(got, starts), lx.TOKEN_CAP) if i == 0 else np.maximum.reduceat(got, starts)
+                rest, at, value = self.posts[flag]
+            else:
+                if i == 0:
+                    best = np.minimum(np.bincount(cell, got, n * self.size), lx.TOKEN_CAP)
+                else:
+                    best = np.zeros(n * self.size)
+                    np.maximum.at(best, cell, got)
+                grid = best.reshape(n, self.size)
+                out[i] = grid[:, common] @ matrix
+                grid[:, common] = 0
+                cell = np.flatnonzero(best != 0)
+                got = best[cell]
+                rest, at, value = self.rare[flag]
+            section, nid = np.divmod(cell, self.size)
+            row, post = spread(rest, nid)
+            more = np.bincount((section * self.questions)[row] + at[post], got[row] * value[post], out[i].size)
+            out[i] += more.reshape(out[i].shape)
+        return out
+
+
 @dataclass
 class Asked:
     """Some questions as arrays: needles by word number, question flags by needle."""
@@ -33,39 +103,18 @@ class Asked:
     wids: np.ndarray
     word_ends: np.ndarray
     nids: np.ndarray
-    needle_ends: np.ndarray
-    places: np.ndarray
-    flags: np.ndarray
+    flags: Flags
     ids: list
 
     def scores(self, place: np.ndarray, wid: np.ndarray, points: np.ndarray, n: int, wanted: np.ndarray | None = None):
         """The six sums, ``(6, n, questions)``, of postings at ``place`` (below n); only of cells ``wanted[place,
         question]``, if given."""
-        size = len(self.ids)
-        if not len(self.wids) or not len(wid):
-            return np.zeros((len(SUMS), n, size))
+        if not len(self.wids) or not len(wid) or not n:
+            return np.zeros((len(SUMS), n, len(self.ids)))
         at = np.minimum(np.searchsorted(self.wids, wid), len(self.wids) - 1)
-        known = self.wids[at] == wid
-        place, points, at = place[known], points[:, known], at[known]
-        row, needle = spread(self.word_ends, at)
-        cell = place[row] * (len(self.needle_ends) - 1) + self.nids[needle]
-        order = np.argsort(cell, kind="stable")
-        cell, row = cell[order], row[order]
-        starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
-        if not len(starts):
-            return np.zeros((len(SUMS), n, size))
-        # Words that hold a needle add up to the cap; of the other points the highest counts.
-        got = [np.minimum(np.add.reduceat(points[0][row], starts), lx.TOKEN_CAP)]
-        got += [np.maximum.reduceat(p[row], starts) for p in points[1:]]
-        place, nid = np.divmod(cell[starts], len(self.needle_ends) - 1)
-        row, post = spread(self.needle_ends, nid)
-        to = place[row] * size + self.places[post]
-        if wanted is not None:
-            due = wanted.ravel()[to]
-            row, post, to = row[due], post[due], to[due]
-        flags = {name: self.flags[i][post] for i, name in enumerate(("nt", "nx", "nc", "nr"))}
-        sums = [np.bincount(to, g[row] * flags[f], n * size) for g, f in zip(got, FLAGS)]
-        return np.array(sums).reshape(len(SUMS), n, size)
+        known = np.flatnonzero(self.wids[at] == wid)
+        sums = self.flags.sums(place, points, known, at[known], self.word_ends, self.nids, n)
+        return sums if wanted is None else sums * wanted
 
 
 def spread(ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,10 +191,7 @@ class Needles:
     whole: pa.Array
     whole_ids: np.ndarray
     ids: pa.Array
-    size: int
-    posts: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
-    often: dict[str, tuple[np.ndarray, np.ndarray]]
-    rare: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    flags: Flags
 
     @classmethod
     def of(cls, postings: pa.Table) -> Needles:
@@ -157,23 +203,9 @@ class Needles:
         # Rules and needles of one character are whole words.
         part = np.array([len(n) > 1 and not n.startswith(RULE) for n in names], bool)
         steps = Steps.of([n.encode() for n, p in zip(names, part) if p], np.flatnonzero(part))
-        posts, often, rare = {}, {}, {}
-        for flag in dict.fromkeys(FLAGS):
-            value = rows[flag].to_numpy().astype(np.float64)
-            used = np.flatnonzero(value)
-            used = used[np.argsort(nid[used], kind="stable")]
-            asked = np.bincount(nid[used], minlength=len(names))
-            common = np.flatnonzero(asked * OFTEN >= max(1, len(ids)))
-            column = np.full(len(names), -1)
-            column[common] = np.arange(len(common))
-            dense = column[nid[used]] >= 0
-            matrix = np.zeros((len(common), len(ids)))
-            np.add.at(matrix, (column[nid[used[dense]]], place[used[dense]]), value[used[dense]])
-            often[flag] = common, matrix
-            for kept, some in ((posts, used), (rare, used[~dense])):
-                kept[flag] = np.searchsorted(nid[some], np.arange(len(names) + 1)), place[some], value[some]
+        flags = Flags.of(nid, place, {f: rows[f].to_numpy() for f in dict.fromkeys(FLAGS)}, len(names), len(ids))
         whole = np.flatnonzero(~part)
-        return cls(steps, needle.dictionary.cast(pa.large_string()).take(pa.array(whole)), whole, ids, len(names), posts, often, rare)
+        return cls(steps, needle.dictionary.cast(pa.large_string()).take(pa.array(whole)), whole, ids, flags)
 
     def inside(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """``(ends, numbers)``: the numbers of the needles that stand in a word are ``numbers[ends[i]:ends[i + 1]]``."""
@@ -190,48 +222,15 @@ class Needles:
 
     def scores(self, place: np.ndarray, points: np.ndarray, words: pa.ListArray, n: int) -> np.ndarray:
         """The six sums, ``(6, n, questions)``, of lists of words at ``place`` whose words have ``points[:, list]`` each."""
-        out = np.zeros((len(SUMS), n, len(self.ids)))
         lists = np.repeat(np.arange(len(words)), words.value_lengths().fill_null(0).to_numpy())
         # A word that is null holds nothing, like an empty one.
         coded = _coded(words.flatten().fill_null(""))
-        if not len(coded) or not self.size or not n:
-            return out
+        if not len(coded) or not self.flags.size or not n:
+            return np.zeros((len(SUMS), n, len(self.ids)))
         ends, nids = self.inside(coded.dictionary.cast(pa.large_string()))
         word = coded.indices.to_numpy()
         hit = np.flatnonzero(ends[word + 1] > ends[word])
-        lists, word = lists[hit], word[hit]
-        for i, flag in enumerate(FLAGS):
-            own = np.flatnonzero(points[i][lists])
-            if not len(own):
-                continue
-            row, needle = spread(ends, word[own])
-            cell, got = (place[lists[own]] * self.size)[row] + nids[needle], points[i][lists[own]][row]
-            common, matrix = self.often[flag]
-            # Words that hold a needle add up to the cap; of the other points the highest counts.
-            if len(cell) * FEW < n * self.size or n * self.size > TABLE << 5:
-                order = np.argsort(cell, kind="stable")
-                cell, got = cell[order], got[order]
-                starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-                cell = cell[starts]
-                got = np.minimum(np.add.reduceat(got, starts), lx.TOKEN_CAP) if i == 0 else np.maximum.reduceat(got, starts)
-                rest, at, value = self.posts[flag]
-            else:
-                if i == 0:
-                    best = np.minimum(np.bincount(cell, got, n * self.size), lx.TOKEN_CAP)
-                else:
-                    best = np.zeros(n * self.size)
-                    np.maximum.at(best, cell, got)
-                grid = best.reshape(n, self.size)
-                out[i] = grid[:, common] @ matrix
-                grid[:, common] = 0
-                cell = np.flatnonzero(best != 0)
-                got = best[cell]
-                rest, at, value = self.rare[flag]
-            section, nid = np.divmod(cell, self.size)
-            row, post = spread(rest, nid)
-            more = np.bincount((section * len(self.ids))[row] + at[post], got[row] * value[post], out[i].size)
-            out[i] += more.reshape(out[i].shape)
-        return out
+        return self.flags.sums(place, points, lists[hit], word[hit], ends, nids, n)
 
 
 def _coded(values: pa.Array | pa.ChunkedArray) -> pa.DictionaryArray:
