@@ -364,3 +364,30 @@ def test_only_documents_with_a_quoted_title_are_cut(spark, monkeypatch):
     plans.pairs(spark, "", parts=("intent",))
     nobody = spark.createDataFrame([], "query_id string")
     assert plans.pairs(spark, "", asked=nobody).count() == 0 and cut[-1] == set()
+
+
+def test_subject_pairs_are_written_from_their_join(spark, tmp_path, monkeypatch):
+    """Each pair once, with repeated and missing keys and a frequent phrase; what is shuffled are rows, not pairs."""
+    import re
+
+    from gleaner.operators import containment
+    from gleaner.plans import retrieval
+
+    monkeypatch.setattr(containment, "TILE", 3)
+    docs = [(i % 40, f"The Plan number {i}") for i in range(60)] + [(3, "Our plan b"), (None, "the plan"), (None, "a the plane"), (7, None), (8, "solo")]
+    docs += [(100 + i, f"{w} plan-b is") for i, w in enumerate(["other", "an other", "another"])]
+    turns = [(i % 9, i, "the plan, or É another plan-b") for i in range(20)] + [(1, 2, "the plan"), (None, None, "her plan É he plan"), (5, 5, None)]
+    turns += [(6, 6, "r plan-b É the plan")] * 2 + [(6, 7, "plan")]
+    spark.createDataFrame([(d, t, "en", "src1", 0) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(c, t, "user", x) for c, t, x in turns], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    made = retrieval.exact_subject_boost(spark, str(tmp_path))
+    phrase, want = re.compile(r"[a-z][a-z0-9_-]*(?:\s+[a-z][a-z0-9_-]*)+"), set()
+    for doc, text in docs:
+        title = re.match(r"\s*(\S+(?:\s+\S+)?)", text or "")
+        for conv, turn, said in turns:
+            if title and any(p in title[1].lower() for p in phrase.findall((said or "").lower())):
+                want.add((conv, turn, doc))
+    assert any(w[0] is None for w in want) and any(w[2] is None for w in want) and len(want) > 500
+    assert sorted(map(tuple, made.collect()), key=repr) == sorted(want, key=repr)
+    above = made._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0]
+    assert "Exchange" not in above and "Aggregate" not in above
