@@ -3,13 +3,12 @@
 ``write`` cuts and scores the corpus once. Sections are laid out in an order that keeps similar ones together and fall into
 blocks of ``1 << BLOCK_BITS``. Below one path the index holds, as Parquet,
 
-* ``words``: every distinct word (or rule) with a number, and the grams under which a needle may find it;
-* ``blocks``: one row for each block, with its sections' keys, for each of its words the highest points in the block, and its
-  postings ``(word, place, points)`` by word, where a word is a place among the block's words.
+* ``blocks``: one row for each block, with its sections' keys, for each of its words (or rules) the highest points in the
+  block, and its postings ``(word, place, points)`` by word, where a word is a place among the block's words;
+* ``titles``: the distinct titles that a question may quote.
 
-Both come from one pass over the sections in their order; a word's number is a hash of it, so no posting is moved or joined.
-
-At question time needles meet the distinct words, not the texts, and the corpus is neither cut nor shuffled again. The
+Blocks come from one pass over the sections in their order, so no posting is moved or joined. At question time needles, which are
+sent to every task, meet the words of blocks, not the texts, and the corpus is neither cut nor shuffled again. The
 highest points bound what any section of a block can score. Each question's blocks of highest bound are scored first, which
 gives it a threshold (its k-th best score so far); of the others only those are scored whose bound reaches it, so the result
 is that of a full scan. Points are added up by numpy inside the tasks that read the blocks, and k rows for each task and
@@ -18,30 +17,25 @@ question leave them.
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from hashlib import blake2b
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner import lexicons as lx
 from gleaner.operators import lexical
-from gleaner.operators.containment import anchor_by_rarity, word_grams
-from gleaner.operators.needle_sums import POINTS, Asked, Flags, total
+from gleaner.operators.needle_sums import POINTS, Needles, total
 from gleaner.session import bounded_broadcast, materialise
 
 BLOCK_BITS = 4
 #: Blocks of a question that are scored before the others, to get a threshold.
 FIRST = 4
-#: (word, needle) pairs that one pass over the blocks looks for. More questions are asked in several passes.
-EXPANSION_ROWS = 8_000_000
-#: Questions of one pass.
+#: Questions of one pass over the blocks.
 QUESTIONS = 2_000
 #: Cells (section, question) whose sums a task holds at once.
 CELLS = 1 << 16
@@ -53,7 +47,7 @@ BLOCKS = 64
 class Index:
     """The tables of a written index."""
 
-    words: DataFrame
+    titles: DataFrame
     blocks: DataFrame
     key: tuple[str, ...]
 
@@ -67,11 +61,6 @@ class Found:
     report: DataFrame
 
 
-def number_of(word: str, seed: int) -> int:
-    """64 bits of a word's digest."""
-    return int.from_bytes(blake2b(word.encode(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little", signed=True)
-
-
 def write(
     sections: DataFrame,
     path: str,
@@ -80,10 +69,9 @@ def write(
     stop: Sequence[str] = lx.STOP_TOKENS,
     groups: Sequence[tuple[str, Sequence[str]]] = lx.CONCEPTS,
     bonus: Sequence[tuple[str, str, str, int]] = lx.INTENT_BONUS,
-    number: Callable[[str, int], int] = number_of,
 ) -> Index:
     """Write the index of ``sections`` below ``path``. Similar sections should be near each other by ``cluster`` (columns);
-    within it they keep the order of ``key``. Keys must be unique. ``number`` gives a word's number for a seed."""
+    within it they keep the order of ``key``. Keys must be unique."""
     spark = sections.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     forms = [c for c in ("title_forms",) if c in sections.columns]
@@ -93,40 +81,32 @@ def write(
     # A number holds the partition above and the place below, so a block never spans two partitions.
     laid = laid.withColumn("sid", F.monotonically_increasing_id())
     fields = lexical.section_fields(laid, ("sid", *key), stop, groups, bonus, partitioned=True)
-    for seed in count():
-        _blocks(fields, key, functools.partial(number, seed=seed)).write.mode("overwrite").parquet(f"{path}/blocks")
-        found = spark.read.parquet(f"{path}/blocks").select(F.explode(F.arrays_zip("new_word", "new_wid")).alias("w"))
-        words = found.select(F.col("w.new_word").alias("word"), F.col("w.new_wid").alias("wid")).distinct()
-        rule = F.startswith(F.col("word"), F.lit(lexical._RULE))
-        words = words.withColumn("grams", F.when(rule, F.array("word")).otherwise(word_grams(F.col("word"))))
-        words.write.mode("overwrite").parquet(f"{path}/words")
-        words = spark.read.parquet(f"{path}/words")
-        # Numbers are hashes, so that no posting has to travel to get one. Should two words share one, all get others.
-        if words.groupBy("wid").count().filter("count > 1").isEmpty():
-            return read(spark, path, key)
-
-
-def _blocks(fields: DataFrame, key: Sequence[str], number: Callable[[str], int]) -> DataFrame:
-    """Rows of ``blocks`` from ``section_fields`` by ``sid`` and ``key``, in order of ``sid`` within each task. A task lists a
-    word, with its number, in the first block where it meets it (``new_word``, ``new_wid``)."""
+    _blocks(fields, key).write.parquet(f"{path}/blocks")
+    quotable = spark.read.parquet(f"{path}/blocks").select(F.explode("titles").alias("title")).distinct()
+    quotable.write.parquet(f"{path}/titles")
+    return read(spark, path, key)
+
+
+def _blocks(fields: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows of ``blocks`` from ``section_fields`` by ``sid`` and ``key``, in order of ``sid`` within each task."""
     kinds = {k: fields.schema[k].dataType for k in key}
-    ints, longs = T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType())
+    ints, strings = T.ArrayType(T.IntegerType()), T.ArrayType(T.StringType())
     schema = T.StructType(
         [
             T.StructField("block", T.LongType()),
             T.StructField("keys", T.ArrayType(T.StructType([T.StructField(k, v) for k, v in kinds.items()]))),
             *[T.StructField(f"post_{c}", ints) for c in ("word", "place", *POINTS)],
-            T.StructField("top_wid", longs),
+            T.StructField("top_word", strings),
             *[T.StructField(f"top_{c}", ints) for c in POINTS],
-            T.StructField("new_word", T.ArrayType(T.StringType())),
-            T.StructField("new_wid", longs),
+            T.StructField("titles", strings),
         ]
     )
 
-    def lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+    def lists(values: np.ndarray | pa.Array, ends: np.ndarray) -> pa.ListArray:
+        held = values if isinstance(values, pa.Array) else pa.array(values, pa.int32())
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held)
 
-    def made(rows: pa.Table, numbers: dict[str, int]) -> pa.RecordBatch:
+    def made(rows: pa.Table) -> pa.RecordBatch:
         own = rows["fields"].combine_chunks()
         lanes = dict(zip((*POINTS, "words"), own.flatten().flatten(), strict=True))
         sid = rows["sid"].to_numpy()
@@ -138,18 +118,8 @@ def _blocks(fields: DataFrame, key: Sequence[str], number: Callable[[str], int])
         code = coded.indices.to_numpy(zero_copy_only=False)
         if coded.null_count:
             field, code = field[~np.isnan(code)], code[~np.isnan(code)].astype(np.int64)
-        names = coded.dictionary.to_pylist()
-        new = np.zeros(len(names), bool)
-        wids = np.empty(len(names), np.int64)
-        for i, name in enumerate(names):
-            known = numbers.get(name)
-            if known is None:
-                known = numbers[name] = number(name)
-                new[i] = True
-            wids[i] = known
-        # A word of a block comes by its number, its places one after the other.
-        rank = np.argsort(np.argsort(wids))
-        spot = (row_block[field_row[field]] * len(names) + rank[code]) * len(sid) + field_row[field]
+        names = coded.dictionary
+        spot = (row_block[field_row[field]] * len(names) + code) * len(sid) + field_row[field]
         by = np.argsort(spot, kind="stable")
         spot, field = spot[by], field[by]
         first = np.flatnonzero(np.append(True, spot[1:] != spot[:-1])) if len(spot) else np.zeros(0, np.int64)
@@ -165,22 +135,18 @@ def _blocks(fields: DataFrame, key: Sequence[str], number: Callable[[str], int])
         top_ends = np.searchsorted(at, np.arange(len(block) + 1))
         nth = np.repeat(np.arange(len(top)), np.diff(np.append(top, len(word))))
         local = nth - top_ends[row_block[row]]
-        named = np.argsort(rank)
-        fresh = np.flatnonzero(new[named[code_of]])
-        fresh = fresh[np.unique(code_of[fresh], return_index=True)[1]]
-        fresh.sort()
-        fresh_ends = np.searchsorted(at[fresh], np.arange(len(block) + 1))
-        code_of = named[code_of]
+        title = pc.starts_with(names, f"{lexical._RULE}p").to_numpy(zero_copy_only=False)
+        quoted = np.flatnonzero(title[code_of])
+        quotable = pc.utf8_slice_codeunits(names.take(pa.array(code_of[quoted])), 2)
         keys = pa.StructArray.from_arrays([rows[k].combine_chunks() for k in key], names=list(key))
-        columns = [pa.array(block), pa.ListArray.from_arrays(pa.array(np.append(begins, len(sid)), pa.int32()), keys)]
-        columns += [lists(v, post_ends, pa.int32()) for v in (local, sid[row] & ((1 << BLOCK_BITS) - 1), *posts)]
-        columns += [lists(wids[code_of], top_ends, pa.int64()), *(lists(v, top_ends, pa.int32()) for v in tops)]
-        columns.append(pa.ListArray.from_arrays(pa.array(fresh_ends, pa.int32()), coded.dictionary.take(pa.array(code_of[fresh]))))
-        columns.append(lists(wids[code_of[fresh]], fresh_ends, pa.int64()))
+        columns = [pa.array(block), lists(keys, np.append(begins, len(sid)))]
+        columns += [lists(v, post_ends) for v in (local, sid[row] & ((1 << BLOCK_BITS) - 1), *posts)]
+        columns += [lists(names.take(pa.array(code_of)), top_ends), *(lists(v, top_ends) for v in tops)]
+        columns.append(lists(quotable, np.searchsorted(at[quoted], np.arange(len(block) + 1))))
         return pa.RecordBatch.from_arrays(columns, schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, numbers = None, {}  # held: the last block's rows, more of them may come
+        held = None  # the last block's rows, more of them may come
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -189,83 +155,44 @@ def _blocks(fields: DataFrame, key: Sequence[str], number: Callable[[str], int])
             block = rows["sid"].to_numpy() >> BLOCK_BITS
             starts = np.append(0, np.flatnonzero(block[1:] != block[:-1]) + 1)
             for a, b in zip(starts[:-1:BLOCKS], np.append(starts[BLOCKS:-1:BLOCKS], starts[-1])):
-                yield made(rows.slice(a, b - a), numbers)
+                yield made(rows.slice(a, b - a))
             held = rows.slice(starts[-1])
         if held is not None:
-            yield made(held, numbers)
+            yield made(held)
 
     return fields.mapInArrow(run, schema)
 
 
 def read(spark: SparkSession, path: str, key: Sequence[str] = lexical.SECTION_KEY) -> Index:
-    return Index(spark.read.parquet(f"{path}/words"), spark.read.parquet(f"{path}/blocks"), tuple(key))
+    return Index(spark.read.parquet(f"{path}/titles"), spark.read.parquet(f"{path}/blocks"), tuple(key))
 
 
 def titles(index: Index) -> DataFrame:
     """The distinct titles of the indexed sections that a question may quote, as ``title``."""
-    rule = F.lit(f"{lexical._RULE}p")
-    return index.words.where(F.startswith("word", rule)).select(F.substring("word", 3, 2**30).alias("title"))
-
-
-def _asked(index: Index, postings: DataFrame) -> Iterator[Asked]:
-    """The questions in groups whose needles meet at most ``EXPANSION_ROWS`` words (or one question)."""
-    needles = postings.select("needle").distinct()
-    rule = F.startswith(F.col("needle"), F.lit(lexical._RULE))
-    anchored = materialise(
-        anchor_by_rarity(needles.filter(~rule))
-        .unionByName(needles.filter(rule).withColumn("_gram", F.col("needle")))
-        .withColumn("nid", F.monotonically_increasing_id())
-    )
-    # A needle has one gram and a word has it once, so no pair comes twice.
-    words = index.words.select("wid", "word", F.explode("grams").alias("_gram"))
-    found = words.join(bounded_broadcast(anchored), "_gram").filter(F.contains("word", "needle")).select("wid", "nid")
-    found = materialise(found)
-    numbered = materialise(postings.join(anchored.select("needle", "nid"), "needle").drop("needle"))
-    if found.count() <= EXPANSION_ROWS and numbered.select("query_id").distinct().count() <= QUESTIONS:
-        yield _arrays(found, numbered)
-        return
-    sizes = found.groupBy("nid").count().join(numbered, "nid", "right").groupBy("query_id")
-    group, held = [], 0
-    for r in sizes.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n")).orderBy("query_id").toLocalIterator():
-        if group and (held + r["n"] > EXPANSION_ROWS or len(group) >= QUESTIONS):
-            yield _group(found, numbered, group)
-            group, held = [], 0
-        group.append(r["query_id"])
-        held += r["n"]
-    if group:
-        yield _group(found, numbered, group)
-
-
-def _group(found: DataFrame, numbered: DataFrame, ids: list) -> Asked:
-    own = numbered.where(F.col("query_id").isin(ids))
-    return _arrays(found.join(own.select("nid").distinct(), "nid", "left_semi"), own)
-
-
-def _arrays(found: DataFrame, numbered: DataFrame) -> Asked:
-    rows, pairs = numbered.toArrow(), found.toArrow()
-    names, nid = np.unique(rows["nid"].to_numpy(), return_inverse=True)
-    ids, place = np.unique(rows["query_id"].to_numpy(zero_copy_only=False), return_inverse=True)
-    flags = Flags.of(nid, place, {f: rows[f].to_numpy() for f in ("nt", "nx", "nc", "nr")}, len(names), len(ids))
-    word_of = pairs["wid"].to_numpy()
-    by_word = np.argsort(word_of, kind="stable")
-    wids, starts = np.unique(word_of[by_word], return_index=True)
-    return Asked(
-        wids,
-        np.append(starts, len(by_word)),
-        np.searchsorted(names, pairs["nid"].to_numpy()[by_word]),
-        flags,
-        ids.tolist(),
-    )
+    return index.titles
+
+
+def _asked(postings: DataFrame) -> Iterator[Needles]:
+    """The questions in groups of ``QUESTIONS``."""
+    held = materialise(postings.select("query_id", "needle", "nt", "nx", "nc", "nr"))
+    ids = [r["query_id"] for r in held.select("query_id").distinct().orderBy("query_id").toLocalIterator()]
+    for start in range(0, len(ids), QUESTIONS):
+        own = held if len(ids) <= QUESTIONS else held.where(F.col("query_id").isin(ids[start : start + QUESTIONS]))
+        yield Needles.of(own.toArrow())
 
 
-def _cut(batch: pa.RecordBatch, prefix: str, names: Sequence[str], start: int, stop: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def _cut(batch: pa.RecordBatch, prefix: str, names: Sequence[str], start: int, stop: int) -> tuple[np.ndarray, list[pa.Array]]:
     """Lengths and contents of list columns in rows ``start`` to ``stop``."""
     columns = [batch.column(f"{prefix}_{n}").slice(start, stop - start) for n in names]
     ends = columns[0].offsets.to_numpy()
-    return np.diff(ends), [c.flatten().to_numpy(zero_copy_only=False) for c in columns]
+    return np.diff(ends), [c.flatten() for c in columns]
+
+
+def _numbers(columns: Sequence[pa.Array]) -> np.ndarray:
+    return np.array([c.to_numpy(zero_copy_only=False) for c in columns], np.int64)
 
 
-def _bounds(index: Index, asked: Asked) -> DataFrame:
+def _bounds(index: Index, asked: Needles) -> DataFrame:
     """``(block, question, bound)`` of all blocks in which a section could score; ``question`` is a place in ``asked.ids``."""
     shared = index.blocks.sparkSession.sparkContext.broadcast(asked)
 
@@ -275,26 +202,26 @@ def _bounds(index: Index, asked: Asked) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, step):
                 stop = min(start + step, batch.num_rows)
-                sizes, (wid, *points) = _cut(batch, "top", ("wid", *POINTS), start, stop)
+                sizes, (words, *points) = _cut(batch, "top", ("word", *POINTS), start, stop)
                 place = np.repeat(np.arange(stop - start), sizes)
-                _, bound = total(known.scores(place, wid, np.array(points), stop - start))
+                _, bound = total(known.posted(place, _numbers(points), words, np.arange(len(words)), stop - start))
                 row, question = np.nonzero(bound)
                 blocks = batch.column("block").to_numpy()[start:stop]
                 columns = [blocks[row], question.astype(np.int32), bound[row, question].astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "question", "bound"])
 
-    columns = index.blocks.select("block", *[f"top_{c}" for c in ("wid", *POINTS)])
+    columns = index.blocks.select("block", *[f"top_{c}" for c in ("word", *POINTS)])
     return columns.mapInArrow(run, "block long, question int, bound long")
 
 
-def _exact(index: Index, asked: Asked, due: DataFrame, k: int, least: np.ndarray | None = None) -> DataFrame:
+def _exact(index: Index, asked: Needles, due: DataFrame, k: int, least: np.ndarray | None = None) -> DataFrame:
     """``(question, keys, score and its parts)``: of each task, the sections of the ``due`` (block, question) that are among
     the k best there, with all that tie with the last of them; and that reach the question's ``least`` score, if given."""
     shared = index.blocks.sparkSession.sparkContext.broadcast((asked, least))
     names = ("score", "direct", "phrase", "coverage", "technical", "concept", "intent")
     per_block = due.groupBy("block").agg(F.collect_list("question").alias("due"))
     posts = [f"post_{c}" for c in ("word", "place", *POINTS)]
-    rows = index.blocks.select("block", "top_wid", *posts).join(bounded_broadcast(per_block), "block")
+    rows = index.blocks.select("block", "top_word", *posts).join(bounded_broadcast(per_block), "block")
 
     def prune(found: list[np.ndarray], least: np.ndarray) -> list[np.ndarray]:
         question, score = found[0], found[3]
@@ -319,15 +246,15 @@ def _exact(index: Index, asked: Asked, due: DataFrame, k: int, least: np.ndarray
             for start in range(0, batch.num_rows, step):
                 stop = min(start + step, batch.num_rows)
                 sizes, (word, place, *points) = _cut(batch, "post", ("word", "place", *POINTS), start, stop)
-                tops, (wid,) = _cut(batch, "top", ("wid",), start, stop)
-                wid = wid[np.repeat(np.cumsum(tops) - tops, sizes) + word]
+                tops, (words,) = _cut(batch, "top", ("word",), start, stop)
                 n = (stop - start) * width
-                place = np.repeat(np.arange(stop - start), sizes) * width + place
+                (word, place), points = _numbers([word, place]), _numbers(points)
+                word, place = word + np.repeat(np.cumsum(tops) - tops, sizes), place + np.repeat(np.arange(stop - start), sizes) * width
                 asking = batch.column("due").slice(start, stop - start)
                 wanted = np.zeros((stop - start, size), bool)
                 row = np.repeat(np.arange(stop - start), np.diff(asking.offsets.to_numpy()))
                 wanted[row, asking.flatten().to_numpy()] = True
-                sums = known.scores(place, wid, np.array(points), n, np.repeat(wanted, width, axis=0))
+                sums = known.posted(place, points, words, word, n) * np.repeat(wanted, width, axis=0)
                 coverage, score = total(sums)
                 at, question = np.nonzero((score > 0) & (score >= least))
                 blocks = batch.column("block").to_numpy()[start:stop]
@@ -356,7 +283,7 @@ def search(index: Index, postings: DataFrame, k: int) -> Found:
     one row for each question and block that could match, stay in the shared folder.
     """
     matches, reports = None, None
-    for asked in _asked(index, postings):
+    for asked in _asked(postings):
         bounds = materialise(_bounds(index, asked))
         place = F.row_number().over(Window.partitionBy("question").orderBy(F.col("bound").desc(), "block"))
         first = bounds.withColumn("_place", place).where(F.col("_place") <= FIRST).drop("_place")
@@ -374,7 +301,7 @@ def search(index: Index, postings: DataFrame, k: int) -> Found:
         best = materialise(_best(best.unionByName(_exact(index, asked, rest, k, least)), k))
         keyed = best.join(index.blocks.select("block", "keys"), "block")
         ids = index.blocks.sparkSession.createDataFrame(
-            list(enumerate(asked.ids)), f"question int, query_id {postings.schema['query_id'].dataType.simpleString()}"
+            list(enumerate(asked.ids.to_pylist())), f"question int, query_id {postings.schema['query_id'].dataType.simpleString()}"
         )
         keyed = keyed.withColumn("_key", F.get("keys", F.col("place"))).join(F.broadcast(ids), "question")
         keyed = keyed.select("query_id", *[F.col(f"_key.{c}").alias(c) for c in index.key], *lexical.COMPONENTS, "score")

@@ -1,7 +1,7 @@
 """Sums of points over the questions whose needles stand in a section's words, by numpy inside a task.
 
-``Asked`` adds up postings of numbered words for a group of questions. ``Needles`` holds a question table's postings by needle
-and finds the needles inside words, so that sections can be scored where they are, without moving a posting.
+``Needles`` holds a question table's postings by needle and finds the needles inside words, so that sections, or the postings of
+a stored index, can be scored where they are, without moving a posting. ``Flags`` adds up their points by question.
 """
 
 from __future__ import annotations
@@ -96,27 +96,6 @@ class Flags:
         return out
 
 
-@dataclass
-class Asked:
-    """Some questions as arrays: needles by word number, question flags by needle."""
-
-    wids: np.ndarray
-    word_ends: np.ndarray
-    nids: np.ndarray
-    flags: Flags
-    ids: list
-
-    def scores(self, place: np.ndarray, wid: np.ndarray, points: np.ndarray, n: int, wanted: np.ndarray | None = None):
-        """The six sums, ``(6, n, questions)``, of postings at ``place`` (below n); only of cells ``wanted[place,
-        question]``, if given."""
-        if not len(self.wids) or not len(wid) or not n:
-            return np.zeros((len(SUMS), n, len(self.ids)))
-        at = np.minimum(np.searchsorted(self.wids, wid), len(self.wids) - 1)
-        known = np.flatnonzero(self.wids[at] == wid)
-        sums = self.flags.sums(place, points, known, at[known], self.word_ends, self.nids, n)
-        return sums if wanted is None else sums * wanted
-
-
 def spread(ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For the slices ``ends[a]:ends[a + 1]`` of all ``at``: the number of the slice and the place, one after the other."""
     sizes = ends[at + 1] - ends[at]
@@ -232,6 +211,17 @@ class Needles:
         hit = np.flatnonzero(ends[word + 1] > ends[word])
         return self.flags.sums(place, points, lists[hit], word[hit], ends, nids, n)
 
+    def posted(self, place: np.ndarray, points: np.ndarray, words: pa.Array, at: np.ndarray, n: int) -> np.ndarray:
+        """The six sums, ``(6, n, questions)``, of postings at ``place`` with ``points[:, posting]``, each of the word
+        ``words[at]``."""
+        coded = _coded(words.fill_null(""))
+        if not len(coded) or not self.flags.size or not n:
+            return np.zeros((len(SUMS), n, len(self.ids)))
+        ends, nids = self.inside(coded.dictionary.cast(pa.large_string()))
+        word = coded.indices.to_numpy()[at]
+        hit = np.flatnonzero(ends[word + 1] > ends[word])
+        return self.flags.sums(place, points, hit, word[hit], ends, nids, n)
+
 
 def _coded(values: pa.Array | pa.ChunkedArray) -> pa.DictionaryArray:
     whole = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
