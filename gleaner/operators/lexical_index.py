@@ -18,6 +18,7 @@ question leave them.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +40,7 @@ FIRST = 4
 QUESTIONS = 2_000
 #: Cells (section, question) whose sums a task holds at once.
 CELLS = 1 << 16
-#: Blocks that a task makes together.
+#: Blocks that a task makes together, or reads at once.
 BLOCKS = 64
 
 
@@ -81,12 +82,25 @@ def write(
     # A number holds the partition above and the place below, so a block never spans two partitions.
     laid = laid.withColumn("sid", F.monotonically_increasing_id())
     fields = lexical.section_fields(laid, ("sid", *key), stop, groups, bonus, partitioned=True)
-    _blocks(fields, key).write.parquet(f"{path}/blocks")
+    with _batches(spark, BLOCKS << BLOCK_BITS):
+        _blocks(fields, key).write.parquet(f"{path}/blocks")
     quotable = spark.read.parquet(f"{path}/blocks").select(F.explode("titles").alias("title")).distinct()
     quotable.write.parquet(f"{path}/titles")
     return read(spark, path, key)
 
 
+@contextmanager
+def _batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is executed inside sends so many rows at once to Python: a block is a long row."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _blocks(fields: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows of ``blocks`` from ``section_fields`` by ``sid`` and ``key``, in order of ``sid`` within each task."""
     kinds = {k: fields.schema[k].dataType for k in key}
@@ -282,13 +296,15 @@ def search(index: Index, postings: DataFrame, k: int) -> Found:
     One pass over the highest points gives the bounds; two passes over the blocks that are due give the scores. Bounds,
     one row for each question and block that could match, stay in the shared folder.
     """
-    matches, reports = None, None
+    matches, reports, spark = None, None, index.blocks.sparkSession
     for asked in _asked(postings):
-        bounds = materialise(_bounds(index, asked))
+        with _batches(spark, BLOCKS):
+            bounds = materialise(_bounds(index, asked))
         place = F.row_number().over(Window.partitionBy("question").orderBy(F.col("bound").desc(), "block"))
         first = bounds.withColumn("_place", place).where(F.col("_place") <= FIRST).drop("_place")
         first = materialise(first)
-        best = materialise(_best(_exact(index, asked, first, k), k))
+        with _batches(spark, BLOCKS):
+            best = materialise(_best(_exact(index, asked, first, k), k))
         # A question without k matches has no threshold yet; a bound equal to it may still win by its key.
         threshold = best.groupBy("question").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
         threshold = materialise(threshold.where(F.col("n") >= k).select("question", "least"))
@@ -298,9 +314,10 @@ def search(index: Index, postings: DataFrame, k: int) -> Found:
         rest = bounds.join(bounded_broadcast(first.select("block", "question")), ["block", "question"], "left_anti")
         rest = rest.join(bounded_broadcast(threshold), "question", "left")
         rest = materialise(rest.where("least IS NULL OR bound >= least").select("block", "question"))
-        best = materialise(_best(best.unionByName(_exact(index, asked, rest, k, least)), k))
+        with _batches(spark, BLOCKS):
+            best = materialise(_best(best.unionByName(_exact(index, asked, rest, k, least)), k))
         keyed = best.join(index.blocks.select("block", "keys"), "block")
-        ids = index.blocks.sparkSession.createDataFrame(
+        ids = spark.createDataFrame(
             list(enumerate(asked.ids.to_pylist())), f"question int, query_id {postings.schema['query_id'].dataType.simpleString()}"
         )
         keyed = keyed.withColumn("_key", F.get("keys", F.col("place"))).join(F.broadcast(ids), "question")
@@ -314,7 +331,7 @@ def search(index: Index, postings: DataFrame, k: int) -> Found:
         matches = keyed if matches is None else matches.unionByName(keyed)
         reports = report if reports is None else reports.unionByName(report)
     if matches is None:
-        spark, kind = index.blocks.sparkSession, postings.schema["query_id"].dataType.simpleString()
+        kind = postings.schema["query_id"].dataType.simpleString()
         fields = [f"{c} {index.blocks.schema['keys'].dataType.elementType[c].dataType.simpleString()}" for c in index.key]
         parts = ", ".join(f"{c} long" for c in (*lexical.COMPONENTS, "score"))
         matches = spark.createDataFrame([], f"query_id {kind}, {', '.join(fields)}, {parts}, match_type string")

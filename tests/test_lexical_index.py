@@ -63,9 +63,12 @@ def test_one_pass_over_the_sections(spark, tmp_path, monkeypatch):
     joined = []
     join = type(spark.range(1)).join
     monkeypatch.setattr(type(spark.range(1)), "join", lambda *a, **k: (joined.append(a), join(*a, **k))[1])
+    limit, sizes, set_conf = "spark.sql.execution.arrow.maxRecordsPerBatch", [], type(spark.conf).set
+    monkeypatch.setattr(type(spark.conf), "set", lambda c, k, v: (sizes.append((k, int(v))) if k == limit else None, set_conf(c, k, v))[1])
+    before = int(spark.conf.get(limit))
     sections = some_sections(spark)
     index = lexical_index.write(sections, str(tmp_path / "index"), KEY)
-    assert not joined
+    assert not joined and sizes == [(limit, 2 << lexical_index.BLOCK_BITS), (limit, before)]
     width = 1 << lexical_index.BLOCK_BITS
     got = {}
     for r in index.blocks.collect():
