@@ -91,14 +91,16 @@ def write(
 
 @contextmanager
 def _batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """What is executed inside sends so many rows at once to Python: a block is a long row."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    """What is executed inside reads, and sends to Python, so many rows at once: a block is a long row."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {name: spark.conf.get(name) for name in names}
+    for name in names:
+        spark.conf.set(name, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name in names:
+            spark.conf.set(name, before[name])
 
 
 def _blocks(fields: DataFrame, key: Sequence[str]) -> DataFrame:
